@@ -1,0 +1 @@
+"""Empty on purpose: the data model is batch only, there is no streaming operator."""
