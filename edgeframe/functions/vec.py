@@ -217,16 +217,10 @@ class V:
         return self.abs()
 
     def sign(self) -> V:
-        """-1, 0 or 1; NaN gives 0 (Spark orders NaN above every number)."""
-        zero, one, minus = (_literal(k, self.dtype) for k in (0, 1, -1))
-
-        def one_sign(a: Column) -> Column:
-            positive, guard = a > zero, _not_nan(a, self.dtype)
-            if guard is not None:
-                positive = guard & positive
-            return F.when(positive, one).when(a < zero, minus).otherwise(zero)
-
-        return self._each(one_sign)
+        """-1, 0 or 1; NaN and both zeros give 0."""
+        zero = F.lit(0.0)
+        return self._each(
+            lambda a: (F.nanvl(F.signum(a), zero) + zero).cast(self.dtype))
 
     def norm(self) -> V:
         """Euclidean length of the whole flattened row."""

@@ -38,7 +38,7 @@ def broadcastable(df: DataFrame) -> bool:
     spark = df.sparkSession
     limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 <= int(size.toString()) <= limit
+    return 0 <= int(str(size)) <= limit
 
 
 def hot_keys(df: DataFrame, key: str, *, share: int = HOT_SHARE,
@@ -83,7 +83,7 @@ def _attach(edges: DataFrame, table: DataFrame, idx: str, id: str,
             return salted_join(keyed, side, "_gather_id", hot).select(
                 *edges.columns, *outputs)
     return (edges.join(side, edges[idx] == side["_gather_id"], "inner")
-            .select(*[edges[c] for c in edges.columns], *outputs))
+            .select(*edges.columns, *outputs))
 
 
 def gather(edges: DataFrame, vertices: DataFrame, idx: str,
@@ -104,7 +104,7 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: str = "aut
         raise ValueError(f"skew must be 'auto' or 'off', got {skew!r}")
     grouped: dict[tuple[int, str, str], tuple[DataFrame, dict[str, Column]]] = {}
     for g in gathers:
-        _, outputs = grouped.setdefault((hash(g.table), g.idx, g.id), (g.table, {}))
+        _, outputs = grouped.setdefault((id(g.table), g.idx, g.id), (g.table, {}))
         for name, col in g.outputs().items():
             if name in outputs:
                 raise ValueError(f"gathered column {name!r} is named twice")

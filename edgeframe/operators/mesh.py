@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeframe.functions.vec import V, where
+from edgeframe.operators.assign import expand
 from edgeframe.operators.gather import Gather, gather_many
 
 CORNERS = (0, 1, 2)
+FACES = ((0, 1, 2), (1, 2, 0), (2, 0, 1))   # two corners of a face and the third corner
 
 
 def edge_cell_points(faces: DataFrame, cells: DataFrame) -> DataFrame:
@@ -77,14 +79,23 @@ def cell_geometry(cells: DataFrame, points: DataFrame) -> DataFrame:
         c[0].column.alias("x"), c[1].column.alias("y"), area_of(*p).column.alias("area"))
 
 
-def face_normal(p0: V, p1: V, p2: V) -> V:
-    """Normal of the face p1–p2, as long as the face, pointing away from p0."""
+def normal_side(p0: V, p1: V, p2: V) -> V:
+    """Which way the normal of p1–p2 must turn to point away from p0: -1, 0 or 1."""
+    along, off = p1 - p2, p0 - p2
+    return (along[0] * off[1] - along[1] * off[0]).sign()
+
+
+def turned(side: V, p1: V, p2: V) -> V:
+    """The normal of p1–p2 on the given side, as long as the face."""
     along = p1 - p2
-    off = p0 - p2
-    side = (along[0] * off[1] - along[1] * off[0]).sign()
     return V([(side * along[1]).column, (-side * along[0]).column])
 
 
+def face_normal(p0: V, p1: V, p2: V) -> V:
+    """Normal of the face p1–p2, as long as the face, pointing away from p0."""
+    return turned(normal_side(p0, p1, p2), p1, p2)
+
+
 def line_intersection_alpha(a: V, b: V, p0: V, p1: V) -> V:
     """Where the line p0–p1 meets the segment a → b, as a share of it; 0 if parallel."""
     face, off, path = p1 - p0, p0 - a, b - a
@@ -106,12 +117,20 @@ def shared_face(faces: DataFrame, geometry: DataFrame) -> DataFrame:
         Gather(geometry, "dst", {"d_x": "x", "d_y": "y"}, id="cell_id")])
     p = [corner(i, "s_") for i in CORNERS]
     src, dst = V.of("s_x", "s_y"), V.of("d_x", "d_y")
+    # Every value used more than once gets a column of its own: nested expressions would
+    # repeat it in the generated code at each use.
+    for k, (a, b, third) in enumerate(FACES):
+        ends = ends.withColumns({f"_own{k}": normal_side(p[third], p[a], p[b]).column,
+                                 f"_far{k}": normal_side(dst, p[a], p[b]).column})
+    for k, (a, b, _) in enumerate(FACES):
+        own = turned(V.of(f"_own{k}"), p[a], p[b])
+        far = turned(V.of(f"_far{k}"), p[a], p[b])
+        ends = ends.withColumns({**expand({f"_n{k}": own}),
+                                 f"_m{k}": ((own[0] * far[0] + own[1] * far[1]) < 0).column})
     normal, alpha = V.fill(0.0, 2), V.fill(0.0)
-    for a, b, third in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
-        own = face_normal(p[third], p[a], p[b])
-        far = face_normal(dst, p[a], p[b])
-        opposed = (own[0] * far[0] + own[1] * far[1]) < 0
-        normal = where(opposed, own, normal)
+    for k, (a, b, _) in enumerate(FACES):
+        opposed = V.of(f"_m{k}")
+        normal = where(opposed, V.of(f"_n{k}_0", f"_n{k}_1"), normal)
         alpha = where(opposed, line_intersection_alpha(src, dst, p[a], p[b]), alpha)
     return ends.select("edge_id", "src", "dst", normal[0].column.alias("sx"),
                        normal[1].column.alias("sy"), alpha.column.alias("alpha"))

@@ -47,36 +47,39 @@ def running_sum(df: DataFrame, pos: str, sums: Mapping[str, Expr], *, by: Sequen
     if limit is None:
         top = df.agg(F.max(pos)).first()[0]
         limit = 1 if top is None else top + 1
-    values = {f"_v_{n}": addend(c, scale) for n, c in flat.items()}
+    values = {f"_v_{n}": c if scale is None else addend(c, scale).cast("decimal(19,0)")
+              for n, c in flat.items()}
     out = _running(df.withColumns(values), pos, list(values), list(by), inclusive, block, limit)
-    results = [(F.col(f"_r_{v}") if scale is None else F.col(f"_r_{v}").cast("double")).alias(n)
-               for n, v in zip(flat, values)]
+
+    def finished(c: Column) -> Column:
+        return c if scale is None else c.cast("double") / F.lit(10.0 ** scale)
+
+    results = [finished(F.col(f"_r_{v}")).alias(n) for n, v in zip(flat, values)]
     return out.select(*[c for c in df.columns if c not in flat], *results)
 
 
 def _running(df: DataFrame, pos: str, values: list[str], by: list[str], inclusive: bool,
-             block: int, limit: int) -> DataFrame:
-    last = 0 if inclusive else -1
-    blocked = df.withColumn("_b", _block(F.col(pos), block))
-    w = Window.partitionBy(*by, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, last)
+             block: int, limit: int, level: int = 0) -> DataFrame:
+    b, last = f"_b{level}", 0 if inclusive else -1
+    blocked = df.withColumn(b, _block(F.col(pos), block))
+    w = Window.partitionBy(*by, b).orderBy(pos).rowsBetween(Window.unboundedPreceding, last)
     local = blocked.withColumns({f"_r_{v}": F.coalesce(F.sum(v).over(w), F.lit(0))
                                  for v in values})
     if limit <= block:
-        return local.drop("_b")
-    totals = blocked.groupBy(*by, "_b").agg(*[F.sum(v).alias(v) for v in values])
+        return local.drop(b)
+    totals = blocked.groupBy(*by, b).agg(*[F.sum(v).alias(v) for v in values])
     if by:
         # Most groups lie within one block and need no carry from earlier blocks.
-        wide = (totals.groupBy(*by).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+        wide = (totals.groupBy(*by).agg(F.min(b).alias("_lo"), F.max(b).alias("_hi"))
                 .where("_lo < _hi").select(*by))
         totals = totals.join(wide, by, "left_semi")
-    before = _running(totals, "_b", values, by, False, block, -(-limit // block)).select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*by, "_b"]],
-        *[F.col(f"_r_{v}").alias(f"_k_{v}") for v in values])
-    on = [local[c] == before[f"_k_{c}"] for c in [*by, "_b"]]
-    return local.join(before, on, "left").select(
-        *[local[c] for c in df.columns],
-        *[(local[f"_r_{v}"] + F.coalesce(before[f"_k_{v}"], F.lit(0))).alias(f"_r_{v}")
-          for v in values])
+    before = _running(totals, b, values, by, False, block, -(-limit // block), level + 1)
+    carry = before.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, b]],
+                          *[F.col(f"_r_{v}").alias(f"_k_{v}") for v in values])
+    met = local.join(carry, [F.col(c) == F.col(f"_k_{c}") for c in [*by, b]], "left")
+    return met.select(*df.columns, *[
+        (F.col(f"_r_{v}") + F.coalesce(F.col(f"_k_{v}"), F.lit(0))).alias(f"_r_{v}")
+        for v in values])
 
 
 def segment_running_sum(edges: DataFrame, key: str, pos: str, sums: Mapping[str, Expr], *,

@@ -17,20 +17,33 @@ from edgeframe.operators.assign import Expr, expand
 from edgeframe.operators.gather import Gather, gather, gather_many
 
 Domain = int | DataFrame | None
+LOW_BITS = 20
 
 
 def addend(c: Column, scale: int | None) -> Column:
-    """A number to be summed.
+    """A number to be summed, as a whole number of ``10^-scale`` when a scale is given.
 
-    Floating sums depend on the order of addition, hence on the partitioning.  With a
-    ``scale`` the addends are rounded to that many decimals and summed exactly; a sum
-    out of range raises.
+    Floating sums depend on the order of addition, hence on the partitioning; whole
+    numbers do not.  NaN, infinities and numbers beyond BIGINT raise.
     """
-    return c if scale is None else c.cast(f"decimal(28,{scale})")
+    if scale is None:
+        return c
+    return F.rint(c.cast("double") * F.lit(10.0 ** scale)).cast("bigint")
 
 
-def _finish(c: Column, scale: int | None) -> Column:
-    return c if scale is None else c.cast("double")
+def total(c: Column, scale: int | None) -> Column:
+    """The sum of addends, 0 over none.
+
+    With a scale the high and low bits are summed apart, both as BIGINT: exact for sums
+    up to 2^83 units over 2^43 rows, without decimal arithmetic per row.  A larger sum
+    raises.
+    """
+    if scale is None:
+        return F.coalesce(F.sum(c), F.lit(0))
+    high = F.coalesce(F.sum(F.shiftright(c, LOW_BITS)), F.lit(0)).cast("decimal(20,0)")
+    low = F.coalesce(F.sum(c.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))), F.lit(0))
+    units = high * F.lit(1 << LOW_BITS) + low
+    return units.cast("double") / F.lit(10.0 ** scale)
 
 
 def _domain(edges: DataFrame, domain: int | DataFrame, id: str) -> DataFrame:
@@ -69,7 +82,7 @@ def scatter_combine(parts: Sequence[tuple[DataFrame, str, Mapping[str, Expr]]],
         pieces.append(edges.where(F.col(key).isNotNull()).select(
             F.col(key).cast("bigint").alias("id"),
             *[addend(flat[n], scale).alias(n) for n in flat]))
-    aggs = [_finish(F.coalesce(F.sum(n), F.lit(0)), scale).alias(n) for n in names]
+    aggs = [total(F.col(n), scale).alias(n) for n in names]
     if domain is None:
         return _union(pieces).groupBy("id").agg(*aggs)
     rows = _domain(parts[0][0], domain, id)
@@ -92,18 +105,17 @@ def _union(pieces: Sequence[DataFrame]) -> DataFrame:
 def global_sum(df: DataFrame, sums: Mapping[str, Expr], *, scale: int | None = None) -> DataFrame:
     """One row: the sums over all rows, 0 over none."""
     flat = expand(sums)
-    return df.agg(*[
-        _finish(F.coalesce(F.sum(addend(c, scale)), F.lit(0)), scale).alias(n)
-        for n, c in flat.items()])
+    addends = df.select(*[addend(c, scale).alias(n) for n, c in flat.items()])
+    return addends.agg(*[total(F.col(n), scale).alias(n) for n in flat])
 
 
 def global_array_sum(df: DataFrame, col: str, key: str | None = None, *,
                      scale: int | None = None) -> DataFrame:
     """Component-wise sums of a wide array column, as rows ``([key], pos, v)``."""
     keys = [] if key is None else [key]
-    long = df.select(*keys, F.posexplode(col).alias("pos", "_x"))
-    return long.groupBy(*keys, "pos").agg(
-        _finish(F.sum(addend(F.col("_x").cast("double"), scale)), scale).alias("v"))
+    long = (df.select(*keys, F.posexplode(col).alias("pos", "_x"))
+            .select(*keys, "pos", addend(F.col("_x").cast("double"), scale).alias("_x")))
+    return long.groupBy(*keys, "pos").agg(total(F.col("_x"), scale).alias("v"))
 
 
 def count_by_row(edges: DataFrame, key: str, domain: Domain = None, *,
