@@ -16,14 +16,14 @@ from edgeframe.session import written
 
 def edge_interpolate(edges: DataFrame, vertices: DataFrame, columns: Sequence[str],
                      alpha: str | Column, *, src: str = "src", dst: str = "dst",
-                     id: str = "id", suffix: str = "_f") -> DataFrame:
+                     id: str = "id", suffix: str = "_f", skew: str = "auto") -> DataFrame:
     """``edges`` plus ``(1-alpha)·src + alpha·dst`` of each column, as ``<column>_f``.
 
     Two joins in all, however many columns.
     """
     both = gather_many(edges, [
         Gather(vertices, src, {f"_s_{c}": c for c in columns}, id=id),
-        Gather(vertices, dst, {f"_d_{c}": c for c in columns}, id=id)])
+        Gather(vertices, dst, {f"_d_{c}": c for c in columns}, id=id)], skew=skew)
     a = V.of(alpha)
     outs = [((1.0 - a) * V.of(f"_s_{c}") + a * V.of(f"_d_{c}")).column.alias(f"{c}{suffix}")
             for c in columns]

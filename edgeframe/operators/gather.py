@@ -3,7 +3,7 @@
 A gather is an inner equi-join on a unique vertex id.  Small vertex tables are
 broadcast by Spark itself, which knows their size.  For larger ones the edges are
 shuffled by the index; an index value that owns a large share of the edges would then
-land in one task, so such values are found by an exact count and spread over salts.
+land in one task, so such values are looked up first and spread over salts.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000    # an index value is hot when it owns more than 1/HOT_SHARE of the edges
-HOT_ROWS = 1_000_000    # … and at least this many rows
-SALTS = 64
+HOT_SHARE = 0.002           # an index value is hot when it owns more of the edges than this
+SMALL_EDGES = 1 << 30       # edge tables up to this many bytes need no spreading
+SALTS = 256                 # tasks one hot value is spread over
 
 
 @dataclass(frozen=True)
@@ -33,26 +33,26 @@ class Gather:
         return {n: F.col(c) if isinstance(c, str) else c for n, c in cols.items()}
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of the optimized plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcastable(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast ``df``."""
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 <= int(str(size)) <= limit
+    """Whether Spark's size estimate lets it broadcast ``df``."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
 
 
-def hot_keys(df: DataFrame, key: str, *, share: int = HOT_SHARE,
-             min_rows: int = HOT_ROWS) -> list:
-    """Values of ``key`` owning more than 1/``share`` of the rows: fewer than ``share``.
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> dict[str, list]:
+    """For each key column, every value owning more than ``share`` of the rows.
 
-    The count is exact and pre-aggregated before its shuffle.
+    One pass over the key columns, without a shuffle.  At most ``1/share`` values come
+    back; a value that is not hot may be among them, which costs a little spreading and
+    changes no result.
     """
-    total = df.count()
-    if total <= min_rows:
-        return []
-    least = max(min_rows, total // share)
-    heavy = df.groupBy(key).count().where(F.col("count") > least)
-    return [r[0] for r in heavy.select(key).collect() if r[0] is not None]
+    found = df.stat.freqItems(list(keys), share).first()
+    return {k: [v for v in found[f"{k}_freqItems"] if v is not None] for k in keys}
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence,
@@ -70,20 +70,13 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence,
             .drop("_salt"))
 
 
-def _attach(edges: DataFrame, table: DataFrame, idx: str, id: str,
-            outputs: Mapping[str, Column], skew: str) -> DataFrame:
-    clash = [n for n in outputs if n in edges.columns]
-    if clash:
-        raise ValueError(f"gathered columns {clash} already exist on the edges")
-    side = table.select(F.col(id).alias("_gather_id"), *[c.alias(n) for n, c in outputs.items()])
-    if skew == "auto" and not broadcastable(side):
-        hot = hot_keys(edges, idx)
-        if hot:
-            keyed = edges.withColumn("_gather_id", F.col(idx))
-            return salted_join(keyed, side, "_gather_id", hot).select(
-                *edges.columns, *outputs)
+def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Sequence) -> DataFrame:
+    added = [c for c in side.columns if c != "_gather_id"]
+    if hot:
+        keyed = edges.withColumn("_gather_id", F.col(idx))
+        return salted_join(keyed, side, "_gather_id", hot).select(*edges.columns, *added)
     return (edges.join(side, edges[idx] == side["_gather_id"], "inner")
-            .select(*edges.columns, *outputs))
+            .select(*edges.columns, *added))
 
 
 def gather(edges: DataFrame, vertices: DataFrame, idx: str,
@@ -99,22 +92,34 @@ def gather(edges: DataFrame, vertices: DataFrame, idx: str,
 
 
 def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: str = "auto") -> DataFrame:
-    """Several gathers; those of one table through one index share a single join."""
+    """Several gathers; those of one table through one index share a single join.
+
+    ``skew="off"`` leaves out the search for hot index values, for indices that cannot
+    have any (a triangle has three faces); adaptive execution still splits what it finds.
+    """
     if skew not in ("auto", "off"):
         raise ValueError(f"skew must be 'auto' or 'off', got {skew!r}")
     grouped: dict[tuple[int, str, str], tuple[DataFrame, dict[str, Column]]] = {}
+    taken = set(edges.columns)
     for g in gathers:
         _, outputs = grouped.setdefault((id(g.table), g.idx, g.id), (g.table, {}))
         for name, col in g.outputs().items():
-            if name in outputs:
-                raise ValueError(f"gathered column {name!r} is named twice")
+            if name in taken:
+                raise ValueError(f"gathered column {name!r} already exists")
+            taken.add(name)
             outputs[name] = col
-    out = edges
-    for (_, idx, id_), (table, outputs) in grouped.items():
-        out = _attach(out, table, idx, id_, outputs, skew)
-    return out
-
-
+    sides = [(idx, table.select(F.col(id_).alias("_gather_id"),
+                                *[c.alias(n) for n, c in outputs.items()]))
+             for (_, idx, id_), (table, outputs) in grouped.items()]
+    hot: dict[int, list] = {}
+    if skew == "auto" and estimated_bytes(edges) > SMALL_EDGES:
+        shuffled = {k: idx for k, (idx, side) in enumerate(sides) if not broadcastable(side)}
+        if shuffled:
+            found = hot_keys(edges, list(dict.fromkeys(shuffled.values())))
+            hot = {k: found[idx] for k, idx in shuffled.items()}
+    for k, (idx, side) in enumerate(sides):
+        edges = _attach(edges, side, idx, hot.get(k, ()))
+    return edges
 
 
 def check_index(edges: DataFrame, idx: str, n: int | None = None, *,

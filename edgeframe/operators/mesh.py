@@ -4,7 +4,9 @@
 (directed adjacency of cells) and ``bfaces(bface_id, cell, p0, p1)``.
 
 Coordinates are gathered onto cells first (three joins on the cell table); faces then
-take whole cells from its result (two joins), not six single points.
+take whole cells from its result (two joins), not six single points.  A cell has three
+faces at most, so joins from faces to cells have no hot keys; a point may belong to any
+number of cells.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def edge_cell_points(faces: DataFrame, cells: DataFrame) -> DataFrame:
     """``faces`` plus the point ids of both cells: ``src_p0 … src_p2, dst_p0 … dst_p2``."""
     return gather_many(faces, [
         Gather(cells, end, {f"{end}_p{i}": f"p{i}" for i in CORNERS}, id="cell_id")
-        for end in ("src", "dst")])
+        for end in ("src", "dst")], skew="off")
 
 
 def cell_points(cells: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def shared_face(faces: DataFrame, geometry: DataFrame) -> DataFrame:
     ends = gather_many(faces, [
         Gather(geometry, "src", {f"s_{c}": c for c in
                                  ("x0", "y0", "x1", "y1", "x2", "y2", "x", "y")}, id="cell_id"),
-        Gather(geometry, "dst", {"d_x": "x", "d_y": "y"}, id="cell_id")])
+        Gather(geometry, "dst", {"d_x": "x", "d_y": "y"}, id="cell_id")], skew="off")
     p = [corner(i, "s_") for i in CORNERS]
     src, dst = V.of("s_x", "s_y"), V.of("d_x", "d_y")
     # Every value used more than once gets a column of its own: nested expressions would
@@ -147,7 +149,7 @@ def boundary_normal(bfaces: DataFrame, geometry: DataFrame, points: DataFrame) -
     ends = gather_many(bfaces, [
         Gather(geometry, "cell", {"c_x": "x", "c_y": "y"}, id="cell_id"),
         Gather(points, "p0", {"x0": "x", "y0": "y"}, id="point_id"),
-        Gather(points, "p1", {"x1": "x", "y1": "y"}, id="point_id")])
+        Gather(points, "p1", {"x1": "x", "y1": "y"}, id="point_id")], skew="off")
     inward = -face_normal(V.of("c_x", "c_y"), corner(0), corner(1))
     return ends.select("bface_id", "cell", inward[0].column.alias("bsx"),
                        inward[1].column.alias("bsy"))

@@ -157,14 +157,16 @@ def _pieces(offsets: DataFrame, block: int) -> DataFrame:
                     F.least("end", (F.col("_b") + 1) * block).alias("_hi")))
 
 
-def csr_to_coo(offsets: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def csr_to_coo(offsets: DataFrame, *, nnz: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(row, pos)`` for every edge position of every row.
 
     Ranges are cut into blocks and the blocks spread over tasks before they are
-    expanded, so that a row owning most positions does not expand in one task.
+    expanded, so that a row owning most positions does not expand in one task.  ``nnz``,
+    the number of positions, sets the number of tasks; it is measured when not given.
     """
     spark = offsets.sparkSession
-    nnz = offsets.agg(F.max("end")).first()[0] or 0
+    if nnz is None:
+        nnz = offsets.agg(F.max("end")).first()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, -(-nnz // ROWS_PER_TASK))
     return (_pieces(offsets, block).repartition(tasks, "_b", "row")
             .select("row", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("pos")))

@@ -203,13 +203,16 @@ FROM state s LEFT JOIN units u USING (c)""")
 def mesh_flow(spark, d):
     """One flux balance on the mesh: interpolate to faces, sum inner and boundary, normalise."""
     points, cells, faces, bfaces = order_mesh(spark, d)
-    geo = written(mesh.cell_geometry(cells, points), "geometry")    # read six times below
+    # The geometry is fixed while the flow changes: it is stored once and read per step.
+    geo = written(mesh.cell_geometry(cells, points), "cell-geometry")
+    inner = written(mesh.shared_face(faces, geo), "face-geometry")
+    bounds = written(mesh.boundary_normal(bfaces, geo, points), "boundary-geometry")
     x, y = V.of("x"), V.of("y")
     state = geo.select(F.col("cell_id").alias("id"), "area",
                        mesh.gaussian_field(x, y).column.alias("h"),
                        (x * y).column.alias("uh"), (0.5 * x).column.alias("vh"))
-    on_faces = edge_interpolate(mesh.shared_face(faces, geo), state, ["h", "uh", "vh"], "alpha")
-    on_bounds = gather(mesh.boundary_normal(bfaces, geo, points), state, "cell", {"h": "h"})
+    on_faces = edge_interpolate(inner, state, ["h", "uh", "vh"], "alpha", skew="off")
+    on_bounds = gather(bounds, state, "cell", {"h": "h"}, skew="off")
     h, uh, vh = V.of("h_f"), V.of("uh_f"), V.of("vh_f")
     sx, sy = V.of("sx"), V.of("sy")
     u, v, pressure = uh / h, vh / h, 0.5 * h * h

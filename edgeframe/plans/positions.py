@@ -58,7 +58,7 @@ def csr_pointer(spark, d):
 SELECT l_orderkey AS "row", CAST(row_number() OVER (ORDER BY l_orderkey) - 1 AS BIGINT) AS pos
 FROM lineitem""", "csr_to_coo")
 def csr_to_coo_query(spark, d):
-    return csr_to_coo(offsets(spark, d))
+    return csr_to_coo(offsets(spark, d), nnz=table(spark, d, "lineitem").count())
 
 
 @queries.query(f"""
