@@ -43,7 +43,9 @@ def compare_close(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str], *
         diff = F.abs(x - y)
         rel = diff / (F.abs(x) + F.lit(REL_FLOOR))
         equal = (x == y) & ~F.isnan(x)
-        close = F.coalesce(equal | (diff <= F.lit(atol) + F.lit(rtol) * F.abs(y)), F.lit(False))
+        # `<` on a finite difference only: Spark orders NaN above infinity.
+        near = (diff < F.lit(float("inf"))) & (diff <= F.lit(atol) + F.lit(rtol) * F.abs(y))
+        close = F.coalesce(equal | near, F.lit(False))
         aggs += [
             F.coalesce(F.max(diff), F.lit(0.0)).alias(f"max_abs__{c}"),
             F.coalesce(F.avg(diff), F.lit(0.0)).alias(f"mean_abs__{c}"),

@@ -64,12 +64,14 @@ def weighted_update(state: DataFrame, deltas: Sequence[tuple[float, DataFrame]],
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, *,
-            checkpoint_every: int = 1, name: str = "state") -> DataFrame:
+            checkpoint_every: int = 1, name: str = "state",
+            on_step: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """``step`` applied ``n`` times.
 
     A step reads its state more than once, so an unbroken plan doubles with every
     step.  The state is therefore stored in the shared folder every
     ``checkpoint_every`` steps; a lost executor costs no more than those steps.
+    ``on_step`` is called with every stored step and its state, e.g. to snapshot it.
     """
     if n < 0 or checkpoint_every < 1:
         raise ValueError("steps must not be negative, checkpoints at least one step apart")
@@ -77,4 +79,6 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, *,
         state = step(state)
         if k % checkpoint_every == 0 and k < n:
             state = written(state, f"{name}-{k}")
+            if on_step is not None:
+                on_step(k, state)
     return state

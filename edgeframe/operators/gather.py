@@ -14,9 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeframe.session import estimated_bytes
+
 HOT_SHARE = 0.002           # an index value is hot when it owns more of the edges than this
 SMALL_EDGES = 1 << 30       # edge tables up to this many bytes need no spreading
 SALTS = 256                 # tasks one hot value is spread over
+SAMPLE = 0.001              # share of the edges in which hot values are looked for
 
 
 @dataclass(frozen=True)
@@ -33,26 +36,26 @@ class Gather:
         return {n: F.col(c) if isinstance(c, str) else c for n, c in cols.items()}
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of the optimized plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def broadcastable(df: DataFrame) -> bool:
     """Whether Spark's size estimate lets it broadcast ``df``."""
     conf = df.sparkSession._jsparkSession.sessionState().conf()
     return estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> dict[str, list]:
-    """For each key column, every value owning more than ``share`` of the rows.
+def hot_keys(df: DataFrame, key: str, *, share: float = HOT_SHARE,
+             fraction: float | None = None) -> list:
+    """Values of ``key`` that own more than ``share`` of the rows: fewer than ``1/share``.
 
-    One pass over the key columns, without a shuffle.  At most ``1/share`` values come
-    back; a value that is not hot may be among them, which costs a little spreading and
-    changes no result.
+    They are looked for in a sample of the key column, counted before its shuffle.  The
+    sample only decides which values get spread; every row is joined either way, and a
+    value it misses is left to adaptive execution.
     """
-    found = df.stat.freqItems(list(keys), share).first()
-    return {k: [v for v in found[f"{k}_freqItems"] if v is not None] for k in keys}
+    sample = df.select(key).where(F.col(key).isNotNull()).sample(
+        SAMPLE if fraction is None else fraction, 0)
+    counts = (sample.rollup(key).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(F.desc("n")).limit(int(1 / share) + 1).collect())
+    total = next((r["n"] for r in counts if r[key] is None), 0)
+    return [r[key] for r in counts if r[key] is not None and r["n"] > total * share]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence,
@@ -114,9 +117,8 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: str = "aut
     hot: dict[int, list] = {}
     if skew == "auto" and estimated_bytes(edges) > SMALL_EDGES:
         shuffled = {k: idx for k, (idx, side) in enumerate(sides) if not broadcastable(side)}
-        if shuffled:
-            found = hot_keys(edges, list(dict.fromkeys(shuffled.values())))
-            hot = {k: found[idx] for k, idx in shuffled.items()}
+        found = {idx: hot_keys(edges, idx) for idx in dict.fromkeys(shuffled.values())}
+        hot = {k: found[idx] for k, idx in shuffled.items()}
     for k, (idx, side) in enumerate(sides):
         edges = _attach(edges, side, idx, hot.get(k, ()))
     return edges

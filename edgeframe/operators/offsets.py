@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from edgeframe.functions.vec import V
 from edgeframe.operators.assign import Expr, expand
 from edgeframe.operators.reduce import addend, count_by_row, scatter_sum
-from edgeframe.session import written
+from edgeframe.session import partitions_for, written
 
 BLOCK = 1 << 14             # positions per block: the most rows one window spans
 ROWS_PER_TASK = 4_000_000   # rows one task generates when ranges are expanded
+COARSE_BITS = 10            # 2^10 blocks to a coarse piece when long ranges are cut
 LOCAL_BITS = 33             # low bits of monotonically_increasing_id: row within task
 
 
@@ -102,8 +103,10 @@ def global_position(df: DataFrame, order_by: Sequence[str], pos: str = "pos", *,
     run again keeps) splits them; their order among each other is free.
     """
     order = [*order_by, "_split"]
-    ranged = (df.withColumn("_split", F.spark_partition_id())
-              .repartitionByRange(*order).sortWithinPartitions(*order))
+    split = df.withColumn("_split", F.spark_partition_id())
+    n = partitions_for(df)
+    ranged = split.repartitionByRange(*order) if n is None else split.repartitionByRange(n, *order)
+    ranged = ranged.sortWithinPartitions(*order)
     stored = written(ranged.select(
         *df.columns,
         F.spark_partition_id().alias("_range"),
@@ -147,14 +150,24 @@ def offset_pointer(offsets: DataFrame, n: int) -> DataFrame:
     return offsets.select("row", F.col("start").alias("offset")).unionByName(total)
 
 
+def _cut(ranges: DataFrame, size: int) -> DataFrame:
+    """Ranges ``(row, _lo, _hi)`` cut at multiples of ``size``."""
+    k = F.explode(F.sequence(_block(F.col("_lo"), size), _block(F.col("_hi") - 1, size)))
+    return ranges.select("row", "_lo", "_hi", k.alias("_k")).select(
+        "row", F.greatest("_lo", F.col("_k") * size).alias("_lo"),
+        F.least("_hi", (F.col("_k") + 1) * size).alias("_hi"))
+
+
 def _pieces(offsets: DataFrame, block: int) -> DataFrame:
-    """Non-empty ranges cut at block borders: ``(row, _b, _lo, _hi)``."""
-    b = F.explode(F.sequence(_block(F.col("start"), block), _block(F.col("end") - 1, block)))
-    return (offsets.where(F.col("end") > F.col("start"))
-            .select("row", "start", "end", b.alias("_b"))
-            .select("row", "_b",
-                    F.greatest("start", F.col("_b") * block).alias("_lo"),
-                    F.least("end", (F.col("_b") + 1) * block).alias("_hi")))
+    """Non-empty ranges cut at block borders: ``(row, _b, _lo, _hi)``.
+
+    Cut coarsely first, so that no array of borders grows long even for a row that owns
+    most positions.
+    """
+    ranges = offsets.where(F.col("end") > F.col("start")).select(
+        "row", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
+    return _cut(_cut(ranges, block << COARSE_BITS), block).select(
+        "row", _block(F.col("_lo"), block).alias("_b"), "_lo", "_hi")
 
 
 def csr_to_coo(offsets: DataFrame, *, nnz: int | None = None, block: int = BLOCK) -> DataFrame:

@@ -80,10 +80,10 @@ def combine_normalise(spark, d):
 
 @queries.query(f"""
 SELECT p_partkey AS id,
-  round(a0 + (0.5::DOUBLE * (-coalesce(CAST(a AS DOUBLE), 0) / p_size)
-        + 0.25::DOUBLE * (coalesce(CAST(n AS DOUBLE), 0) / p_size)), 6) AS a,
-  round(b0 + (0.5::DOUBLE * (-coalesce(CAST(b AS DOUBLE), 0) / p_size)
-        + 0.25::DOUBLE * (coalesce(CAST(m AS DOUBLE), 0) / p_size)), 6) AS b
+  a0 + (0.5::DOUBLE * (-coalesce(CAST(a AS DOUBLE), 0) / p_size)
+        + 0.25::DOUBLE * (coalesce(CAST(n AS DOUBLE), 0) / p_size)) AS a,
+  b0 + (0.5::DOUBLE * (-coalesce(CAST(b AS DOUBLE), 0) / p_size)
+        + 0.25::DOUBLE * (coalesce(CAST(m AS DOUBLE), 0) / p_size)) AS b
 FROM (SELECT *, p_retailprice AS a0, p_size * 2.0::DOUBLE AS b0 FROM part)
 LEFT JOIN ({_FLUX}) ON k = p_partkey
 LEFT JOIN (SELECT l_suppkey AS k2, sum(CAST(l_quantity AS DECIMAL(28, 4))) AS n,
@@ -98,8 +98,7 @@ def weighted_update_query(spark, d):
                          scale=SCALE)
     second = normalise(inflow, part.withColumnRenamed("p_partkey", "id"), ["a", "b"], "p_size",
                        negate=False)
-    out = weighted_update(state, [(0.5, divergence(spark, d)), (0.25, second)], ["a", "b"])
-    return out.select("id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+    return weighted_update(state, [(0.5, divergence(spark, d)), (0.25, second)], ["a", "b"])
 
 
 STEPS = 3

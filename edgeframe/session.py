@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTITION_BYTES = 128 << 20
+MAX_PARTITIONS = 100_000    # estimates of joins can be far too high
+
 _own_roots: dict[str, str] = {}
 
 
@@ -27,6 +30,29 @@ def make_session(master: str, app: str = "edgeframe", **conf: str) -> SparkSessi
     return builder.getOrCreate()
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with a partition per ``PARTITION_BYTES``; adaptive execution merges
+    small ones but never splits a partition that holds many keys."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            -(-input_bytes // PARTITION_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of the optimized plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions_for(df: DataFrame) -> int | None:
+    """Partitions to shuffle ``df`` into, or None where the session's setting suffices."""
+    conf = df.sparkSession.conf
+    set_ = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+               or conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-estimated_bytes(df) // PARTITION_BYTES)
+    return min(wanted, MAX_PARTITIONS) if wanted > set_ else None
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
