@@ -11,7 +11,7 @@ from edgeframe.functions.vec import V
 from edgeframe.operators.assign import Expr
 from edgeframe.operators.gather import Gather, gather_many
 from edgeframe.operators.reduce import Domain, normalise, scatter_sum
-from edgeframe.session import written
+from edgeframe.session import discard, written, written_path
 
 
 def edge_interpolate(edges: DataFrame, vertices: DataFrame, columns: Sequence[str],
@@ -72,13 +72,19 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, *,
     step.  The state is therefore stored in the shared folder every
     ``checkpoint_every`` steps; a lost executor costs no more than those steps.
     ``on_step`` is called with every stored step and its state, e.g. to snapshot it.
+    A stored state is deleted once the next one is stored; only the last one stays.
     """
     if n < 0 or checkpoint_every < 1:
         raise ValueError("steps must not be negative, checkpoints at least one step apart")
+    spark, last = state.sparkSession, None
     for k in range(1, n + 1):
         state = step(state)
         if k % checkpoint_every == 0 and k < n:
-            state = written(state, f"{name}-{k}")
+            path = written_path(spark, f"{name}-{k}")
+            state = written(state, name, path)
             if on_step is not None:
                 on_step(k, state)
+            if last is not None:
+                discard(spark, last)
+            last = path
     return state

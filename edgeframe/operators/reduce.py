@@ -75,8 +75,8 @@ def scatter_combine(parts: Sequence[tuple[DataFrame, str, Mapping[str, Expr]]],
     """
     flats = [expand(sums) for _, _, sums in parts]
     names = list(dict.fromkeys(n for flat in flats for n in flat))
-    if not names:
-        raise ValueError("nothing to sum")
+    if not names or "id" in names:
+        raise ValueError("give at least one sum, and none named 'id'")
     pieces = []
     for (edges, key, _), flat in zip(parts, flats):
         pieces.append(edges.where(F.col(key).isNotNull()).select(

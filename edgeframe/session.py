@@ -75,13 +75,21 @@ def written_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/edgeframe/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` stored as a parquet table in the shared folder and read back.
 
     Cuts the lineage, survives the loss of executors, fixes the outcome of anything
     that depends on partition order, and gives later plans real sizes and pruning.
     """
     spark = df.sparkSession
-    path = written_path(spark, name)
+    path = path or written_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table this application has stored and no plan reads any more."""
+    if f"/edgeframe/{spark.sparkContext.applicationId}/" not in path:
+        raise ValueError(f"{path} is not an intermediate table of this application")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from edgeframe import (
     Gather, V, compare_close, edge_divergence, edge_interpolate, gather_many, iterate,
     restore, scatter_sum, snapshot, weighted_update,
 )
+from edgeframe.session import discard, written_path
 
 
 @pytest.fixture
@@ -76,6 +78,17 @@ def test_stored_steps_can_be_snapshot(spark, ring, tmp_path):
     assert compare_close(back, want, "id", ["h"]).first()["all_close"]
 
 
+def test_only_the_last_stored_state_stays(spark, ring):
+    edges, state = ring
+    out = iterate(state, diffuse(edges), 5, name="kept")
+    folder = os.path.dirname(written_path(spark, "x"))
+    assert [n for n in os.listdir(folder) if n.startswith("kept-")][0].startswith("kept-4-")
+    assert len([n for n in os.listdir(folder) if n.startswith("kept-")]) == 1
+    assert out.count() == 6
+    with pytest.raises(ValueError):
+        discard(spark, "/somewhere/else")
+
+
 def test_checkpoints_cut_the_plan(ring):
     edges, state = ring
     sizes = [len(iterate(state, diffuse(edges), n)._jdf.queryExecution().optimizedPlan().toString())

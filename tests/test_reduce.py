@@ -61,6 +61,14 @@ def test_combine_edge_tables(spark, edges):
     assert by_id(out) == {0: (5.0, 3), 1: (10.0, 0), 2: (0.0, 3)}
 
 
+def test_sums_need_names(edges):
+    for sums in ({}, {"id": V.of("v")}):
+        with pytest.raises(ValueError):
+            scatter_sum(edges, "row", sums, 2)
+    with pytest.raises(ValueError):
+        scatter_sum(edges, "row", {"s": V.of("v")}, -1)
+
+
 def test_global_sums(spark, edges):
     assert tuple(global_sum(edges, {"t": V.of("v", "c")}).first()) == (19.0, 9.0)
     assert tuple(global_sum(edges.limit(0), {"t": V.of("v", "c")}, scale=2).first()) == (0.0, 0.0)

@@ -6,7 +6,9 @@ from edgeframe import (
     write_tensor, zeros,
 )
 from edgeframe.functions import mixed_index, mixed_unit
-from edgeframe.session import shared_root, written
+from edgeframe.session import (
+    PARTITION_BYTES, partitions_for, shared_root, size_shuffles, written,
+)
 
 
 def test_tensor_roundtrip_with_types(spark, tmp_path):
@@ -98,3 +100,15 @@ def test_written_tables_go_to_the_shared_folder(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert shared_root(spark) in df.inputFiles()[0]
     assert df.count() == 4
+
+
+def test_shuffles_are_sized_by_the_input(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, 1) == 4
+        assert size_shuffles(spark, 10 * PARTITION_BYTES + 1) == 11
+        assert spark.conf.get(key) == "11"
+        assert partitions_for(spark.range(10)) is None
+        assert partitions_for(spark.range(12 * PARTITION_BYTES // 8)) == 12
+    finally:
+        spark.conf.unset(key)
