@@ -8,17 +8,17 @@ land in one task, so such values are looked up first and spread over salts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeframe.session import estimated_bytes
+from edgeframe.session import estimated_bytes, shuffle_partitions
 
-HOT_SHARE = 0.002           # an index value is hot when it owns more of the edges than this
+HOT_SHARE = 0.001           # least share of the edges that makes an index value hot
 SMALL_EDGES = 1 << 30       # edge tables up to this many bytes need no spreading
-SALTS = 256                 # tasks one hot value is spread over
 SAMPLE = 0.001              # share of the edges in which hot values are looked for
 
 
@@ -43,41 +43,47 @@ def broadcastable(df: DataFrame) -> bool:
 
 
 def hot_keys(df: DataFrame, key: str, *, share: float = HOT_SHARE,
-             fraction: float | None = None) -> list:
-    """Values of ``key`` that own more than ``share`` of the rows: fewer than ``1/share``.
+             fraction: float | None = None) -> dict:
+    """Values of ``key`` that own more than ``share`` of the rows, with their share.
 
-    They are looked for in a sample of the key column, counted before its shuffle.  The
-    sample only decides which values get spread; every row is joined either way, and a
-    value it misses is left to adaptive execution.
+    Fewer than ``1/share`` values, largest first.  They are looked for in a sample of the
+    key column, counted before its shuffle.  The sample only decides which values get
+    spread; every row is joined either way, and a value it misses is left to adaptive
+    execution.
     """
     sample = df.select(key).where(F.col(key).isNotNull()).sample(
         SAMPLE if fraction is None else fraction, 0)
     counts = (sample.rollup(key).agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.desc("n")).limit(int(1 / share) + 1).collect())
     total = next((r["n"] for r in counts if r[key] is None), 0)
-    return [r[key] for r in counts if r[key] is not None and r["n"] > total * share]
+    return {r[key]: r["n"] / total for r in counts
+            if r[key] is not None and r["n"] > total * share}
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence,
-                salts: int = SALTS) -> DataFrame:
-    """``left ⋈ right`` on ``key``; rows of hot keys are spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Mapping[object, float],
+                partitions: int) -> DataFrame:
+    """``left ⋈ right`` on ``key``; the rows of a hot key are spread over several tasks.
 
-    Only the few matching rows of ``right`` are repeated.  The salt is the number of
-    the input task, which a task that is run again keeps.
+    A key gets twice its share of the shuffle's partitions, so the copies of the matching
+    rows of ``right`` are fewer than 2·partitions in all, plus two per hot key.  The salt
+    comes from the number of the input task, which a task that is run again keeps.
     """
     is_hot = F.col(key).isin(list(hot))
-    spread = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    tasks = {k: max(2, math.ceil(2 * share * partitions)) for k, share in hot.items()}
+    salts = F.create_map(*[F.lit(x) for pair in tasks.items() for x in pair])[F.col(key)]
+    spread = F.when(is_hot, F.pmod(F.spark_partition_id(), salts)).otherwise(F.lit(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     return (left.withColumn("_salt", spread)
             .join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"])
             .drop("_salt"))
 
 
-def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Sequence) -> DataFrame:
+def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping) -> DataFrame:
     added = [c for c in side.columns if c != "_gather_id"]
     if hot:
         keyed = edges.withColumn("_gather_id", F.col(idx))
-        return salted_join(keyed, side, "_gather_id", hot).select(*edges.columns, *added)
+        return salted_join(keyed, side, "_gather_id", hot, shuffle_partitions(
+            edges.sparkSession)).select(*edges.columns, *added)
     return (edges.join(side, edges[idx] == side["_gather_id"], "inner")
             .select(*edges.columns, *added))
 
@@ -114,13 +120,16 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: str = "aut
     sides = [(idx, table.select(F.col(id_).alias("_gather_id"),
                                 *[c.alias(n) for n, c in outputs.items()]))
              for (_, idx, id_), (table, outputs) in grouped.items()]
-    hot: dict[int, list] = {}
+    hot: dict[int, dict] = {}
     if skew == "auto" and estimated_bytes(edges) > SMALL_EDGES:
         shuffled = {k: idx for k, (idx, side) in enumerate(sides) if not broadcastable(side)}
-        found = {idx: hot_keys(edges, idx) for idx in dict.fromkeys(shuffled.values())}
+        # A value with less than half a partition's share needs no spreading.
+        share = max(HOT_SHARE, 0.5 / shuffle_partitions(edges.sparkSession))
+        found = {idx: hot_keys(edges, idx, share=share)
+                 for idx in dict.fromkeys(shuffled.values())}
         hot = {k: found[idx] for k, idx in shuffled.items()}
     for k, (idx, side) in enumerate(sides):
-        edges = _attach(edges, side, idx, hot.get(k, ()))
+        edges = _attach(edges, side, idx, hot.get(k, {}))
     return edges
 
 

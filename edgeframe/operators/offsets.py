@@ -208,7 +208,11 @@ def position_owner(positions: DataFrame, offsets: DataFrame, pos: str = "pos", *
 
 
 def segment_sum(values: DataFrame, offsets: DataFrame, sums: Mapping[str, Expr],
-                pos: str = "pos", *, scale: int | None = None, block: int = BLOCK) -> DataFrame:
-    """``(id, sums…)`` over the positions of each row's range; empty ranges give 0."""
+                pos: str = "pos", *, n: int | None = None, scale: int | None = None,
+                block: int = BLOCK) -> DataFrame:
+    """``(id, sums…)`` over the positions of each row's range; empty ranges give 0.
+
+    With the number of rows ``n`` the offsets are read once, not again for their rows.
+    """
     owned = position_owner(values, offsets, pos, block=block)
-    return scatter_sum(owned, "row", sums, offsets, id="row", scale=scale)
+    return scatter_sum(owned, "row", sums, offsets if n is None else n, id="row", scale=scale)

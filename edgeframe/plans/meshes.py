@@ -49,14 +49,15 @@ def order_mesh(spark, d):
 MESH_SQL = """
 p AS (SELECT CAST(ceil(sqrt((max(o_orderkey) + 1) / 2.0)) AS BIGINT) AS w FROM orders),
 q AS (SELECT o_orderkey AS c, o_orderkey // 2 AS q, (o_orderkey // 2) % w AS i,
-        (o_orderkey // 2) // w AS j, o_orderkey % 2 = 1 AS up, w FROM orders, p),
+        (o_orderkey // 2) // w AS j, o_orderkey % 2 = 1 AS up, w
+        FROM (SELECT o_orderkey, (SELECT w FROM p) AS w FROM orders)),
 cells AS (SELECT c, q, i, w, up, j * (w + 1) + i AS p0,
         CASE WHEN up THEN (j + 1) * (w + 1) + i + 1 ELSE j * (w + 1) + i + 1 END AS p1,
         CASE WHEN up THEN (j + 1) * (w + 1) + i ELSE (j + 1) * (w + 1) + i + 1 END AS p2 FROM q),
 used AS (SELECT DISTINCT unnest([p0, p1, p2]) AS id FROM cells),
 points AS (SELECT id, (id % (w + 1) + (coalesce(cents, 0) % 100) / 400.0::DOUBLE) / w::DOUBLE AS x,
         (id // (w + 1) + (coalesce(cents, 0) // 100 % 100) / 400.0::DOUBLE) / w::DOUBLE AS y
-        FROM used CROSS JOIN p LEFT JOIN (SELECT o_orderkey AS k,
+        FROM (SELECT id, (SELECT w FROM p) AS w FROM used) LEFT JOIN (SELECT o_orderkey AS k,
           CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) ON k = id),
 sides AS (
   SELECT c * 3 AS id, c, p0 AS a, p1 AS b,

@@ -85,9 +85,11 @@ WITH {OFFSETS_SQL} SELECT r AS id, CAST(coalesce(a, 0) AS DOUBLE) AS a,
 def segment_sum_query(spark, d):
     values = placed(spark, d, "l_discount", "l_tax").select(
         "pos", "l_extendedprice", "l_discount", "l_quantity", "l_tax")
-    return segment_sum(values, offsets(spark, d), {
+    n = row_count(spark, d, "orders", "o_orderkey")
+    starts = coo_to_csr_offsets(table(spark, d, "lineitem"), "l_orderkey", n)
+    return segment_sum(values, starts, {
         "a": V.of("l_extendedprice") * V.of("l_discount"),
-        "b": V.of("l_quantity") * V.of("l_tax")}, scale=SCALE)
+        "b": V.of("l_quantity") * V.of("l_tax")}, n=n, scale=SCALE)
 
 
 @queries.query(f"""

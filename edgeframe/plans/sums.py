@@ -158,8 +158,9 @@ def global_sum_vec(spark, d):
 
 @queries.query("""
 SELECT label, CAST(i AS INTEGER) AS pos,
-  CAST(sum(CAST(round_even(CAST(embedding[i + 1] AS DOUBLE) * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS v
-FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2""")
+  CAST(sum(CAST(round_even(CAST(x AS DOUBLE) * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS v
+FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)
+GROUP BY 1, 2""")
 def embedding_label_sums(spark, d):
     return global_array_sum(table(spark, d, "embeddings"), "embedding", "label", scale=6)
 

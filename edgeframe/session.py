@@ -20,6 +20,8 @@ def make_session(master: str, app: str = "edgeframe", **conf: str) -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split skewed joins even where a sum by the same key then needs its own shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         # Recording the caller of every column operation makes building a plan slow.
@@ -44,13 +46,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions a shuffle starts with."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(first or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def partitions_for(df: DataFrame) -> int | None:
     """Partitions to shuffle ``df`` into, or None where the session's setting suffices."""
-    conf = df.sparkSession.conf
-    set_ = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-               or conf.get("spark.sql.shuffle.partitions"))
     wanted = -(-estimated_bytes(df) // PARTITION_BYTES)
-    return min(wanted, MAX_PARTITIONS) if wanted > set_ else None
+    return min(wanted, MAX_PARTITIONS) if wanted > shuffle_partitions(df.sparkSession) else None
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -42,14 +42,13 @@ def test_columns_of_one_selector_share_a_join(edges, vertices):
 
 def test_hot_values_are_spread_and_nothing_is_lost(spark, edges, vertices, monkeypatch):
     monkeypatch.setattr(g, "SMALL_EDGES", 0)
-    monkeypatch.setattr(g, "SALTS", 8)
     monkeypatch.setattr(g, "SAMPLE", 1.0)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert g.hot_keys(edges, "i", share=0.3) == [3]
-        assert g.hot_keys(edges.limit(0), "i") == []
-        assert g.hot_keys(edges.select(F.lit(None).cast("long").alias("i")), "i") == []
+        assert g.hot_keys(edges, "i", share=0.3) == {3: 0.6}
+        assert g.hot_keys(edges.limit(0), "i") == {}
+        assert g.hot_keys(edges.select(F.lit(None).cast("long").alias("i")), "i") == {}
         out = gather_many(edges, [Gather(vertices, "i", {"xi": "x"}),
                                   Gather(vertices, "j", {"yj": "y"})])
         assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -64,6 +64,8 @@ def test_segment_sum_equals_keyed_sum(edges, block):
     values = edge_position(edges, "row", ["t"]).select("pos", "v")
     a = segment_sum(values, offsets, {"s": V.of("v")}, block=block).collect()
     b = scatter_sum(edges, "row", {"s": V.of("v")}, 10).collect()
+    c = segment_sum(values, offsets, {"s": V.of("v")}, n=10, block=block).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, c))
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
