@@ -3,7 +3,7 @@
 from .assign import add_in_place, assign, assign_copy, edge_map
 from .check import check_schema, compare_close, compare_eps, compare_exact, validate_inputs
 from .flow import edge_divergence, edge_interpolate, iterate, weighted_update
-from .gather import Gather, check_index, duplicate_ids, gather, gather_many
+from .gather import Gather, check_index, duplicate_ids, gather, gather_many, hot_values
 from .offsets import (
     coo_to_csr_offsets,
     csr_to_coo,
@@ -33,7 +33,7 @@ __all__ = [
     "compare_close", "compare_eps", "compare_exact", "coo_to_csr_offsets", "count_by_row",
     "csr_to_coo", "duplicate_ids", "edge_divergence", "edge_interpolate", "edge_map",
     "edge_map_reduce", "edge_position", "gather", "gather_many", "global_array_sum",
-    "global_position", "global_sum", "infer_num_rows", "iterate", "normalise",
+    "global_position", "global_sum", "hot_values", "infer_num_rows", "iterate", "normalise",
     "offset_pointer", "position_owner", "running_sum", "scatter_combine", "scatter_sum",
     "segment_running_sum", "segment_sum", "spmm", "spmv", "validate_inputs",
     "weighted_update",

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from edgeframe.functions.vec import V
 from edgeframe.operators.assign import Expr
-from edgeframe.operators.gather import Gather, gather_many
+from edgeframe.operators.gather import Gather, Skew, gather_many
 from edgeframe.operators.reduce import Domain, normalise, scatter_sum
 from edgeframe.session import discard, written, written_path
 
 
 def edge_interpolate(edges: DataFrame, vertices: DataFrame, columns: Sequence[str],
                      alpha: str | Column, *, src: str = "src", dst: str = "dst",
-                     id: str = "id", suffix: str = "_f", skew: str = "auto") -> DataFrame:
+                     id: str = "id", suffix: str = "_f", skew: Skew = "auto") -> DataFrame:
     """``edges`` plus ``(1-alpha)·src + alpha·dst`` of each column, as ``<column>_f``.
 
     Two joins in all, however many columns.

@@ -9,7 +9,7 @@ land in one task, so such values are looked up first and spread over salts.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,8 @@ HOT_SHARE = 0.001           # least share of the edges that makes an index value
 SMALL_EDGES = 1 << 30       # edge tables up to this many bytes need no spreading
 SAMPLE = 0.001              # share of the edges in which hot values are looked for
 
+Skew = str | Mapping[str, Mapping[object, float]]
+
 
 @dataclass(frozen=True)
 class Gather:
@@ -60,6 +62,15 @@ def hot_keys(df: DataFrame, key: str, *, share: float = HOT_SHARE,
             if r[key] is not None and r["n"] > total * share}
 
 
+def hot_values(edges: DataFrame, indices: Iterable[str]) -> dict[str, dict]:
+    """Per index column, the values worth spreading over tasks, with their share."""
+    if estimated_bytes(edges) <= SMALL_EDGES:
+        return {}
+    # A value with less than half a partition's share needs no spreading.
+    share = max(HOT_SHARE, 0.5 / shuffle_partitions(edges.sparkSession))
+    return {idx: hot_keys(edges, idx, share=share) for idx in dict.fromkeys(indices)}
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Mapping[object, float],
                 partitions: int) -> DataFrame:
     """``left ⋈ right`` on ``key``; the rows of a hot key are spread over several tasks.
@@ -90,7 +101,7 @@ def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping) -> DataFr
 
 def gather(edges: DataFrame, vertices: DataFrame, idx: str,
            columns: Mapping[str, str | Column] | Sequence[str], *, id: str = "id",
-           skew: str = "auto") -> DataFrame:
+           skew: Skew = "auto") -> DataFrame:
     """Each edge with ``columns`` of the vertex that ``idx`` names.
 
     Columns may be expressions over the vertex table, evaluated before the join.
@@ -100,14 +111,16 @@ def gather(edges: DataFrame, vertices: DataFrame, idx: str,
     return gather_many(edges, [Gather(vertices, idx, columns, id)], skew=skew)
 
 
-def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: str = "auto") -> DataFrame:
+def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "auto") -> DataFrame:
     """Several gathers; those of one table through one index share a single join.
 
     ``skew="off"`` leaves out the search for hot index values, for indices that cannot
     have any (a triangle has three faces); adaptive execution still splits what it finds.
+    A mapping from ``hot_values`` is used as it is, which saves the search when the same
+    edges are gathered again and again.
     """
-    if skew not in ("auto", "off"):
-        raise ValueError(f"skew must be 'auto' or 'off', got {skew!r}")
+    if isinstance(skew, str) and skew not in ("auto", "off"):
+        raise ValueError(f"skew must be 'auto', 'off' or a mapping, got {skew!r}")
     grouped: dict[tuple[int, str, str], tuple[DataFrame, dict[str, Column]]] = {}
     taken = set(edges.columns)
     for g in gathers:
@@ -120,14 +133,11 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: str = "aut
     sides = [(idx, table.select(F.col(id_).alias("_gather_id"),
                                 *[c.alias(n) for n, c in outputs.items()]))
              for (_, idx, id_), (table, outputs) in grouped.items()]
-    hot: dict[int, dict] = {}
-    if skew == "auto" and estimated_bytes(edges) > SMALL_EDGES:
+    hot: dict[int, Mapping] = {}
+    if skew and skew != "off" and estimated_bytes(edges) > SMALL_EDGES:
         shuffled = {k: idx for k, (idx, side) in enumerate(sides) if not broadcastable(side)}
-        # A value with less than half a partition's share needs no spreading.
-        share = max(HOT_SHARE, 0.5 / shuffle_partitions(edges.sparkSession))
-        found = {idx: hot_keys(edges, idx, share=share)
-                 for idx in dict.fromkeys(shuffled.values())}
-        hot = {k: found[idx] for k, idx in shuffled.items()}
+        found = hot_values(edges, shuffled.values()) if skew == "auto" else skew
+        hot = {k: found.get(idx, {}) for k, idx in shuffled.items()}
     for k, (idx, side) in enumerate(sides):
         edges = _attach(edges, side, idx, hot.get(k, {}))
     return edges

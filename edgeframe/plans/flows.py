@@ -8,6 +8,7 @@ from edgeframe.operators import (
     edge_divergence,
     edge_interpolate,
     gather_many,
+    hot_values,
     iterate,
     normalise,
     scatter_combine,
@@ -123,9 +124,11 @@ def iterate_k(spark, d):
     start = table(spark, d, "part").select(F.col("p_partkey").alias("id"),
                                            F.col("p_retailprice").alias("h"))
 
+    hot = hot_values(edges, ["l_partkey", "l_suppkey"])     # the edges stay the same
+
     def step(state):
         ends = gather_many(edges, [Gather(state, "l_partkey", {"h_src": "h"}),
-                                   Gather(state, "l_suppkey", {"h_dst": "h"})])
+                                   Gather(state, "l_suppkey", {"h_dst": "h"})], skew=hot)
         pull = 0.001 * V.of("l_quantity") * (V.of("h_dst") - V.of("h_src"))
         change = scatter_sum(ends, "l_partkey", {"h": pull}, scale=SCALE)
         return weighted_update(state, [(0.1, change)], ["h"])

@@ -53,6 +53,12 @@ def test_hot_values_are_spread_and_nothing_is_lost(spark, edges, vertices, monke
                                   Gather(vertices, "j", {"yj": "y"})])
         assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(tuple(r) for r in out.collect()) == expected(edges)
+        hot = g.hot_values(edges, ["i"])
+        assert list(hot) == ["i"] and 3 in hot["i"]
+        known = gather_many(edges, [Gather(vertices, "i", {"xi": "x"}),
+                                    Gather(vertices, "j", {"yj": "y"})], skew=hot)
+        assert "_salt" in known._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(tuple(r) for r in known.collect()) == expected(edges)
         plain = gather_many(edges, [Gather(vertices, "i", ["x"])], skew="off")
         assert "_salt" not in plain._jdf.queryExecution().optimizedPlan().toString()
     finally:
