@@ -16,12 +16,14 @@ from .offsets import (
     segment_sum,
 )
 from .reduce import (
+    component_arrays,
     count_by_row,
     edge_map_reduce,
     global_array_sum,
     global_sum,
     infer_num_rows,
     normalise,
+    scatter_array_sum,
     scatter_combine,
     scatter_sum,
     spmm,
@@ -30,11 +32,11 @@ from .reduce import (
 
 __all__ = [
     "Gather", "add_in_place", "assign", "assign_copy", "check_index", "check_schema",
-    "compare_close", "compare_eps", "compare_exact", "coo_to_csr_offsets", "count_by_row",
+    "compare_close", "compare_eps", "compare_exact", "component_arrays", "coo_to_csr_offsets", "count_by_row",
     "csr_to_coo", "duplicate_ids", "edge_divergence", "edge_interpolate", "edge_map",
     "edge_map_reduce", "edge_position", "gather", "gather_many", "global_array_sum",
     "global_position", "global_sum", "hot_values", "infer_num_rows", "iterate", "normalise",
-    "offset_pointer", "position_owner", "running_sum", "scatter_combine", "scatter_sum",
+    "offset_pointer", "position_owner", "running_sum", "scatter_array_sum", "scatter_combine", "scatter_sum",
     "segment_running_sum", "segment_sum", "spmm", "spmv", "validate_inputs",
     "weighted_update",
 ]

@@ -18,6 +18,7 @@ from edgeframe.operators.gather import Gather, gather, gather_many
 
 Domain = int | DataFrame | None
 LOW_BITS = 20
+SLICE = 16      # components of a wide array summed by one aggregation
 
 
 def addend(c: Column, scale: int | None) -> Column:
@@ -118,6 +119,46 @@ def global_array_sum(df: DataFrame, col: str, key: str | None = None, *,
     return long.groupBy(*keys, "pos").agg(total(F.col("_x"), scale).alias("v"))
 
 
+def scatter_array_sum(edges: DataFrame, key: str, col: str | Column, dim: int,
+                      domain: Domain = None, *, id: str = "id",
+                      scale: int | None = None) -> DataFrame:
+    """Row sums of a wide array column, as rows ``(id, pos, v)``; see ``scatter_sum``.
+
+    Every row of the domain has ``dim`` components, 0 where there are no edges.  The
+    arrays are summed in slices: one aggregation of all components is too large for code
+    generation, one row per component three times slower.  One shuffle, pre-aggregated.
+    """
+    arr = F.col(col) if isinstance(col, str) else col
+    slices = -(-dim // SLICE)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)),
+                      lambda k: F.slice(F.col("_arr"), k * SLICE + 1, F.lit(SLICE)))
+    names = [f"_x{i}" for i in range(min(SLICE, dim))]
+    parts = (edges.where(F.col(key).isNotNull())
+             .select(F.col(key).cast("bigint").alias("id"), arr.alias("_arr"))
+             .select("id", F.posexplode(cut).alias("_slice", "_part"))
+             .select("id", "_slice", F.lit(False).alias("_row"), *[
+                 addend(F.get("_part", F.lit(i)).cast("double"), scale).alias(n)
+                 for i, n in enumerate(names)]))
+    sums = [total(F.col(n), scale).alias(n) for n in names]
+    if domain is None:
+        summed = parts.groupBy("id", "_slice").agg(*sums)
+    else:
+        rows = _domain(edges, domain, id).select(
+            "id", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"),
+            F.lit(True).alias("_row"))
+        summed = (parts.unionByName(rows, allowMissingColumns=True).groupBy("id", "_slice")
+                  .agg(F.max("_row").alias("_row"), *sums).where("_row"))
+    long = summed.select("id", "_slice", F.posexplode(F.array(*names)).alias("_i", "v"))
+    pos = F.col("_slice") * SLICE + F.col("_i")
+    return long.select("id", pos.alias("pos"), "v").where(F.col("pos") < dim)
+
+
+def component_arrays(long: DataFrame) -> DataFrame:
+    """``(id, pos, v)`` to one array per id."""
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return long.groupBy("id").agg(F.transform(pairs, lambda p: p["v"]).alias("v"))
+
+
 def count_by_row(edges: DataFrame, key: str, domain: Domain = None, *,
                  id: str = "id", name: str = "n") -> DataFrame:
     """Edges per row, 0 for rows without one."""

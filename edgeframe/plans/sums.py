@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from edgeframe.functions import V
+from edgeframe.functions import V, array_map
 from edgeframe.functions.mix import PRIME, ROUNDS
 from edgeframe.operators import (
     Gather,
@@ -14,6 +14,7 @@ from edgeframe.operators import (
     gather_many,
     global_array_sum,
     global_sum,
+    scatter_array_sum,
     scatter_sum,
     spmm,
     spmv,
@@ -165,6 +166,22 @@ def embedding_label_sums(spark, d):
     return global_array_sum(table(spark, d, "embeddings"), "embedding", "label", scale=6)
 
 
+@queries.query("""
+SELECT p_partkey AS id, CAST(i AS INTEGER) AS pos, CAST(coalesce(s, 0) AS DOUBLE) / 1e4 AS v
+FROM (SELECT p_partkey, unnest(range(64)) AS i FROM part) LEFT JOIN (
+  SELECT k, j, sum(CAST(round_even(CAST(x AS DOUBLE) * l_quantity * 1e4, 0) AS BIGINT)) AS s
+  FROM (SELECT l_partkey AS k, l_quantity, unnest(embedding) AS x, unnest(range(64)) AS j
+        FROM lineitem JOIN embeddings ON l_suppkey = vec_id)
+  GROUP BY 1, 2) ON k = p_partkey AND j = i""")
+def wide_gather_scatter(spark, d):
+    """Vectors of 64 gathered by supplier key, scaled per edge and summed by part."""
+    edges = gather(table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"),
+                   table(spark, d, "embeddings"), "l_suppkey", {"vec": "embedding"}, id="vec_id")
+    scaled = array_map(F.col("vec"), lambda x: x.cast("double") * F.col("l_quantity"))
+    return scatter_array_sum(edges, "l_partkey", scaled, 64, table(spark, d, "part"),
+                             id="p_partkey", scale=SCALE)
+
+
 @queries.query(per_order({"y": "(0.5 * p_retailprice + p_size) * l_quantity"},
                          where="WHERE l_returnflag = 'R'"))
 def subset_gather_scatter(spark, d):

@@ -22,6 +22,8 @@ def make_session(master: str, app: str = "edgeframe", **conf: str) -> SparkSessi
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split skewed joins even where a sum by the same key then needs its own shuffle.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Hash instead of sort where a shuffled vertex partition is measured to be small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         # Recording the caller of every column operation makes building a plan slow.

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeframe import (
-    Gather, V, add_in_place, assign, assign_copy, count_by_row, edge_map, edge_map_reduce,
-    global_array_sum, global_sum, infer_num_rows, normalise, random_coo, scatter_combine,
+    Gather, V, add_in_place, assign, assign_copy, count_by_row, component_arrays, edge_map, edge_map_reduce,
+    global_array_sum, global_sum, infer_num_rows, normalise, random_coo, scatter_array_sum, scatter_combine,
     scatter_sum, spmm, spmv,
 )
 
@@ -79,6 +79,24 @@ def test_global_sums(spark, edges):
     assert {r["pos"]: r["v"] for r in global_array_sum(wide, "v", scale=1).collect()} == {0: 9.0, 1: 12.0}
 
 
+def test_wide_row_sums(spark):
+    edges = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (9, [5.0, 6.0]), (None, [1.0, 1.0])],
+                                  "k long, v array<double>")
+    for scale in (None, 2):
+        long = scatter_array_sum(edges, "k", "v", 2, 3, scale=scale)
+        assert by_id(component_arrays(long)) == {0: ([0.0, 0.0],), 1: ([4.0, 6.0],), 2: ([0.0, 0.0],)}
+    assert by_id(component_arrays(scatter_array_sum(edges, "k", "v", 2))) == {
+        1: ([4.0, 6.0],), 9: ([5.0, 6.0],)}
+
+
+def test_arrays_wider_than_a_slice(spark):
+    edges = spark.range(12).select((F.col("id") % 2).alias("k"), F.transform(
+        F.sequence(F.lit(0), F.lit(36)), lambda i: i * F.col("id")).alias("v"))
+    out = by_id(component_arrays(scatter_array_sum(edges, "k", "v", 37, 3)))
+    assert out == {0: ([30.0 * i for i in range(37)],), 1: ([36.0 * i for i in range(37)],),
+                   2: ([0.0] * 37,)}
+
+
 def test_counts_and_row_number(edges):
     assert by_id(count_by_row(edges, "row", 3)) == {0: (2,), 1: (0,), 2: (2,)}
     assert infer_num_rows(edges, "row") == 8
