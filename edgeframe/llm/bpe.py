@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from edgeframe.llm.common import map_rows
 
-MEMO = 150_000          # words and pieces whose encoding is remembered, in two generations
-TRANSITIONS = 250_000   # of the determinised transducer, before it starts afresh
+MEMO = 300_000          # words and pieces whose encoding is remembered, in two generations
+TRANSITIONS = 800_000   # of the determinised transducer, before it starts afresh
 NO_TOKEN = -1
 
 

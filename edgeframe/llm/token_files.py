@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from edgeframe.llm.bpe import MEMO, few_collections
+from edgeframe.llm.bpe import few_collections
 from edgeframe.llm.common import free_name, small_batches, with_row_id
 from edgeframe.session import written, written_path
 
@@ -30,6 +30,7 @@ LENGTH = 2048
 ROWS = 256              # sequences of one record batch
 PART_BYTES = 64 << 20   # of text in one part
 END = 1
+KNOWN = 600_000         # words whose ids are remembered, in two generations
 
 
 def blank_separated(text: str) -> list[str]:
@@ -60,7 +61,7 @@ class Texts:
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > 4 * MEMO:
+        if len(self.known) + len(words) > KNOWN:
             self.older, self.known = self.known, {}
         new = []
         for w in words:
