@@ -218,9 +218,13 @@ class Part:
         self.open = pa.memory_map if local else files.open_input_file
         self.ipc = pa.ipc.open_file(self.open(f"{self.name}.arrow"))
         self.length = self.ipc.schema.field("ids").type.list_size
+        self.at = -1
 
     def batch(self, k: int) -> np.ndarray:
-        return self.ipc.get_batch(k).column("ids").flatten().to_numpy()
+        """All ids of batch ``k``, a view of the file; the last one asked for is at hand."""
+        if k != self.at:
+            self.at, self.ids = k, self.ipc.get_batch(k).column("ids").values.to_numpy()
+        return self.ids
 
     def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of row ``row``; batches hold ``ROWS`` rows each but the last."""
