@@ -38,13 +38,14 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
 
     Each step counts rows per key with partial sums, so a key with a third of all rows is
     one row per task; the keys of repeated lengths and prefixes decide which rows the next
-    step reads.
+    step reads.  They are stored, so the join with them is free to split such a key.
     """
     again = F.col("n") > 1
     sizes = rows.groupBy("size").agg(F.count("*").alias("n")).where(again).select("size")
-    by_prefix = (rows.select("size", "prefix").join(sizes, "size", "left_semi")
-                 .groupBy("size", "prefix").agg(F.count("*").alias("n")).where(again)
-                 .select("size", "prefix"))
+    by_prefix = written(rows.select("size", "prefix").join(written(sizes, "sizes"), "size",
+                                                           "left_semi")
+                        .groupBy("size", "prefix").agg(F.count("*").alias("n")).where(again)
+                        .select("size", "prefix"), "prefixes")
     return (rows.join(by_prefix, ["size", "prefix"], "left_semi")
             .groupBy("full").agg(F.max(F.struct("id", "row")).alias("stays"),
                                  F.count("*").alias("n")).where(again))
