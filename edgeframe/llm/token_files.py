@@ -119,13 +119,14 @@ class PartWriter:
 
     def flush(self, last: bool) -> None:
         ids = np.concatenate([np.empty(0, self.type), *self.waiting]).astype(self.type, copy=False)
-        full = len(ids) // self.length * self.length
+        size = self.length * ROWS       # every batch but the last is full, so places are known
+        full = len(ids) // size * size
         rest = ids[full:]
-        mask = np.ones(full, bool)
+        mask = np.ones(len(ids), bool)
         if last and len(rest):
-            pad = self.length - len(rest)
+            pad = -len(ids) % self.length
             ids = np.concatenate([ids, np.zeros(pad, self.type)])
-            mask = np.concatenate([mask, np.ones(len(rest), bool), np.zeros(pad, bool)])
+            mask = np.concatenate([mask, np.zeros(pad, bool)])
             full, rest = len(ids), rest[:0]
         for at in range(0, full, self.length * ROWS):
             end = min(full, at + self.length * ROWS)
@@ -239,6 +240,8 @@ class Part:
         while n > 0:
             k, at = divmod(start, size)
             piece = self.batch(k)[at:at + n]
+            if not len(piece):
+                raise ValueError(f"{self.name} ends before id {start}")
             yield piece
             start, n = start + len(piece), n - len(piece)
 
