@@ -21,6 +21,7 @@ from edgeframe.llm.common import small_batches
 
 DIM = 1024
 NONE = "und"
+UNIT = 1e6              # weight of a text in a prototype; sums are of whole numbers
 LETTERS = 1 << 16       # letters beyond share vectors with others by their low bits
 
 
@@ -83,9 +84,13 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> dict
             owner, codes = trigrams(texts)
             used, at = np.unique(codes, return_inverse=True)
             of_used = vectors(used).astype(np.float32)
+            # Every text weighs the same, so a single long one can't drown the others.
+            weight = UNIT / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[owner]
             for name in np.unique(langs):
-                n = np.bincount(at[langs[owner] == name], minlength=len(used))
-                sums[name] = sums.get(name, 0) + (n.astype(np.float32) @ of_used).astype(np.int64)
+                mine = langs[owner] == name
+                n = np.bincount(at[mine], weight[mine], minlength=len(used))
+                sums[name] = sums.get(name, 0) + np.rint(
+                    n.astype(np.float32) @ of_used).astype(np.int64)
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([str(name)] * DIM), pa.array(np.arange(DIM, dtype=np.int32)),
