@@ -21,7 +21,7 @@ from edgeframe.session import make_session  # noqa: E402
 HEADLINE = [
     "spmv", "spmm", "two_selectors_map", "multi_reducer", "map_and_reduce_red", "global_sum",
     "vec_arith", "subset_gather_scatter", "csr_offsets", "csr_to_coo", "segment_sum",
-    "segment_running_sum", "mesh_geometry", "mesh_shared_face", "mesh_flow", "edge_divergence",
+    "segment_running_sum", "mesh_geometry", "mesh_shared_face", "edge_divergence",
     "iterate_k", "compare_close",
 ]
 RUNS = 3

@@ -72,14 +72,17 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, *,
     step.  The state is therefore stored in the shared folder every
     ``checkpoint_every`` steps; a lost executor costs no more than those steps.
     ``on_step`` is called with every stored step and its state, e.g. to snapshot it.
-    A stored state is deleted once the next one is stored; only the last one stays.
+    A stored state is deleted once the next one is stored, so ``on_step`` copies what it
+    wants to keep; only the last one before step ``n`` stays.
     """
     if n < 0 or checkpoint_every < 1:
         raise ValueError("steps must not be negative, checkpoints at least one step apart")
     spark, last = state.sparkSession, None
     for k in range(1, n + 1):
         state = step(state)
-        if k % checkpoint_every == 0 and k < n:
+        if k % checkpoint_every == 0 and k == n and on_step is not None:
+            on_step(k, state)       # the result itself: not stored here, the caller reads it
+        elif k % checkpoint_every == 0 and k < n:
             path = written_path(spark, f"{name}-{k}")
             state = written(state, name, path)
             if on_step is not None:

@@ -133,8 +133,10 @@ def scatter_array_sum(edges: DataFrame, key: str, col: str | Column, dim: int,
     cut = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)),
                       lambda k: F.slice(F.col("_arr"), k * SLICE + 1, F.lit(SLICE)))
     names = [f"_x{i}" for i in range(min(SLICE, dim))]
+    whole = F.when(F.size(arr) == dim, arr).when(arr.isNotNull(), F.raise_error(F.concat(
+        F.lit(f"an array of {dim} components is needed, not of "), F.size(arr).cast("string"))))
     parts = (edges.where(F.col(key).isNotNull())
-             .select(F.col(key).cast("bigint").alias("id"), arr.alias("_arr"))
+             .select(F.col(key).cast("bigint").alias("id"), whole.alias("_arr"))
              .select("id", F.posexplode(cut).alias("_slice", "_part"))
              .select("id", "_slice", F.lit(False).alias("_row"), *[
                  addend(F.get("_part", F.lit(i)).cast("double"), scale).alias(n)
@@ -202,10 +204,19 @@ def edge_map_reduce(edges: DataFrame, gathers: Sequence[Gather], *,
 
 
 def normalise(sums: DataFrame, weights: DataFrame, columns: Sequence[str], weight: str, *,
-              id: str = "id", negate: bool = True) -> DataFrame:
-    """Each sum divided by its row's weight (0 for a zero weight), negated by default."""
+              id: str = "id", negate: bool = True, on_missing: str = "raise") -> DataFrame:
+    """Each sum divided by its row's weight (0 for a zero weight), negated by default.
+
+    A row without a weight fails the query; ``on_missing="drop"`` leaves it out instead.
+    """
+    if on_missing not in ("raise", "drop"):
+        raise ValueError("on_missing is 'raise' or 'drop'")
     side = weights.select(F.col(id).alias("_wid"), F.col(weight).cast("double").alias("_w"))
-    joined = sums.join(side, sums["id"] == side["_wid"])
+    how = "inner" if on_missing == "drop" else "left"
+    joined = sums.join(side, sums["id"] == side["_wid"], how)
+    if how == "left":
+        joined = joined.withColumn("_w", F.when(F.col("_wid").isNotNull(), F.col("_w")).otherwise(
+            F.raise_error(F.lit("a row has no weight")).cast("double")))
     outs = []
     for c in columns:
         v = V.of(c)

@@ -9,12 +9,10 @@ import math
 from pyspark.sql import functions as F
 
 from edgeframe.functions import V
-from edgeframe.operators import mesh, normalise, scatter_combine
-from edgeframe.operators.flow import edge_interpolate
-from edgeframe.operators.gather import gather
+from edgeframe.operators import mesh, scatter_combine
 from edgeframe.plans.mesh_job import grid_mesh, mesh_job
 from edgeframe.plans.registry import Registry, row_count, table
-from edgeframe.session import written, written_path
+from edgeframe.session import written_path
 
 queries = Registry()
 DIGITS = 9
@@ -173,57 +171,3 @@ def mesh_job_query(spark, d):
     return cells.join(sums, cells["cell_id"] == sums["id"]).select(
         "cell_id", *[F.round(c, DIGITS).alias(c) for c in ("x", "y", "area")],
         F.col("faces").cast("bigint").alias("faces"), "alpha")
-
-
-FLOW_SCALE = 9
-
-
-@queries.query(f"""
-WITH {MESH_SQL}, shared AS (SELECT f.id AS edge_id, src, dst, {SHARED_COLUMNS} FROM {SHARED_FROM}),
-bound AS ({BOUNDARY_SQL}),
-state AS (SELECT c, area, 1 + 0.1::DOUBLE * exp(-100 * (x * x + y * y)) AS h, x * y AS uh,
-  0.5::DOUBLE * x AS vh FROM geo),
-face AS (SELECT dst, sx, sy, (1 - alpha) * s.h + alpha * t.h AS h,
-  (1 - alpha) * s.uh + alpha * t.uh AS uh, (1 - alpha) * s.vh + alpha * t.vh AS vh
-  FROM shared JOIN state s ON src = s.c JOIN state t ON dst = t.c),
-terms AS (
-  SELECT dst AS c, uh * sx + vh * sy AS h,
-    (uh / h * uh + 0.5::DOUBLE * h * h) * sx + uh / h * (vh * sy) AS uh,
-    vh / h * (uh * sx) + (vh / h * vh + 0.5::DOUBLE * h * h) * sy AS vh FROM face
-  UNION ALL
-  SELECT cell, 0, 0.5::DOUBLE * (h * h) * bsx, 0.5::DOUBLE * (h * h) * bsy
-  FROM bound JOIN state ON cell = c),
-units AS (SELECT c, sum(CAST(round_even(h * 1e9, 0) AS BIGINT)) AS h,
-  sum(CAST(round_even(uh * 1e9, 0) AS BIGINT)) AS uh,
-  sum(CAST(round_even(vh * 1e9, 0) AS BIGINT)) AS vh FROM terms GROUP BY 1)
-SELECT s.c AS id,
-  round(-(CAST(coalesce(u.h, 0) AS DOUBLE) / 1e9) / area * 1e-4, 6) + 0.0 AS h,
-  round(-(CAST(coalesce(u.uh, 0) AS DOUBLE) / 1e9) / area * 1e-4, 6) + 0.0 AS uh,
-  round(-(CAST(coalesce(u.vh, 0) AS DOUBLE) / 1e9) / area * 1e-4, 6) + 0.0 AS vh
-FROM state s LEFT JOIN units u USING (c)""")
-def mesh_flow(spark, d):
-    """One flux balance on the mesh: interpolate to faces, sum inner and boundary, normalise."""
-    points, cells, faces, bfaces = order_mesh(spark, d)
-    # The geometry is fixed while the flow changes: it is stored once and read per step.
-    geo = written(mesh.cell_geometry(cells, points), "cell-geometry")
-    inner = written(mesh.shared_face(faces, geo), "face-geometry")
-    bounds = written(mesh.boundary_normal(bfaces, geo, points), "boundary-geometry")
-    x, y = V.of("x"), V.of("y")
-    state = geo.select(F.col("cell_id").alias("id"), "area",
-                       mesh.gaussian_field(x, y).column.alias("h"),
-                       (x * y).column.alias("uh"), (0.5 * x).column.alias("vh"))
-    on_faces = edge_interpolate(inner, state, ["h", "uh", "vh"], "alpha", skew="off")
-    on_bounds = gather(bounds, state, "cell", {"h": "h"}, skew="off")
-    h, uh, vh = V.of("h_f"), V.of("uh_f"), V.of("vh_f")
-    sx, sy = V.of("sx"), V.of("sy")
-    u, v, pressure = uh / h, vh / h, 0.5 * h * h
-    wall = 0.5 * V.of("h") ** 2
-    sums = scatter_combine([
-        (on_faces, "dst", {"h": uh * sx + vh * sy,
-                           "uh": (u * uh + pressure) * sx + u * (vh * sy),
-                           "vh": v * (uh * sx) + (v * vh + pressure) * sy}),
-        (on_bounds, "cell", {"uh": wall * V.of("bsx"), "vh": wall * V.of("bsy")}),
-    ], state, scale=FLOW_SCALE)
-    out = normalise(sums, state, ["h", "uh", "vh"], "area")
-    return out.select("id", *[
-        (F.round(F.col(c) * F.lit(1e-4), 6) + F.lit(0.0)).alias(c) for c in ("h", "uh", "vh")])
