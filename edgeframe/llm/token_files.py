@@ -69,8 +69,16 @@ class Texts:
                 self.known[w] = ids
             else:
                 new.append(w)
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+        # A mark behind a letter is a piece of its own, so the word before it is enough.
+        marked = {w for w in new if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()
+                  and len(w[-2].lower()) == 1}
+        missing = ({w[:-1] for w in marked} | {w[-1] for w in marked} | (set(new) - marked)) \
+            - self.known.keys()
+        todo = list(missing)
+        for w, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, self.type).tobytes()
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
     def encode(self, texts: list) -> list[bytes]:
         split = [blank_separated(t) if t else [] for t in texts]
