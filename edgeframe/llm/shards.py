@@ -9,6 +9,8 @@ crosses the network once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -85,8 +87,12 @@ def write_shards(docs: DataFrame, path: str | None = None, **how) -> str:
     return path
 
 
-def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """doc, shard, slot (gapless from 0 in the shard) of what ``write_shards`` wrote."""
+def read_shards(docs: DataFrame, path: str, columns: Sequence[Column] = ()) -> DataFrame:
+    """doc, shard, slot (gapless from 0 in the shard) of what ``write_shards`` wrote.
+
+    ``columns``, expressions over ``doc``, take its place: they are evaluated as the shards
+    are read, so whole records do not move again to find their slots.
+    """
     schema = StructType().add("doc", StructType(docs.schema.fields)) \
         .add("bucket", "integer").add("pos", "long").add("shard", "integer")
     rows = docs.sparkSession.read.schema(schema).parquet(path)
@@ -94,16 +100,16 @@ def read_shards(docs: DataFrame, path: str) -> DataFrame:
     first = Window.partitionBy("shard").orderBy("bucket")
     offsets = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
         "shard", "bucket", (F.sum("n").over(first) - F.col("n")).alias("offset"))
-    return rows.join(offsets, ["shard", "bucket"]).select(
-        "doc", "shard", (F.col("offset") + F.col("pos")).alias("slot"))
+    taken = [F.struct(*columns).alias("doc")] if columns else ["doc"]
+    return rows.select(*taken, "shard", "bucket", "pos").join(offsets, ["shard", "bucket"]).select(
+        "doc.*" if columns else "doc", "shard", (F.col("offset") + F.col("pos")).alias("slot"))
 
 
 def op2(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """Digest of the written shards; law ``key``: id and shard count decide."""
-    rows = read_shards(docs, write_shards(docs, shards=shards, seed=seed))
     text, id = F.col("doc.text"), F.col("doc.doc_id")
-    return rows.select(
-        id.alias("doc_id"), size_of(text).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"), "shard", "slot",
-        shard_of(id, shards + 1, seed).alias("grown_shard"))
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    path = write_shards(docs, shards=shards, seed=seed)
+    return read_shards(docs, path, [
+        id.alias("doc_id"), size_of(text).alias("size"), crc.alias("text_crc32"),
+        F.lit("key").alias("law"), shard_of(id, shards + 1, seed).alias("grown_shard")])
