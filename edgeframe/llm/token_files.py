@@ -61,10 +61,11 @@ class Texts:
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KNOWN:
+        """Afterwards ``known`` has every one of ``words``, also those the older table had."""
+        if len(self.known) + len(words - self.known.keys()) > KNOWN:
             self.older, self.known = self.known, {}
         new = []
-        for w in words:
+        for w in words - self.known.keys():
             if (ids := self.older.get(w)) is not None:
                 self.known[w] = ids
             else:
@@ -82,7 +83,7 @@ class Texts:
 
     def encode(self, texts: list) -> list[bytes]:
         split = [blank_separated(t) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws} - self.known.keys())
+        self.learn({w for ws in split for w in ws})
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
