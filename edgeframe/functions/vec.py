@@ -55,8 +55,11 @@ class V:
 
     @classmethod
     def from_array(cls, col: str | Column, dim: int, dtype: str = "double") -> V:
-        """The components of an array column of known length."""
+        """The components of an array column of ``dim`` values.  A null array has null
+        components; one of another length fails the query."""
         arr = F.col(col) if isinstance(col, str) else col
+        arr = F.when(F.size(arr) == dim, arr).when(arr.isNotNull(), F.raise_error(F.concat(
+            F.lit(f"an array of {dim} components is needed, not of "), F.size(arr).cast("string"))))
         return cls([F.get(arr, F.lit(i)).cast(dtype) for i in range(dim)], dtype)
 
     @classmethod

@@ -72,7 +72,7 @@ def hot_values(edges: DataFrame, indices: Iterable[str]) -> dict[str, dict]:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Mapping[object, float],
-                partitions: int) -> DataFrame:
+                partitions: int, how: str = "inner") -> DataFrame:
     """``left ⋈ right`` on ``key``; the rows of a hot key are spread over several tasks.
 
     A key gets twice its share of the shuffle's partitions, so the copies of the matching
@@ -85,12 +85,30 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: Mapping[object
     spread = F.when(is_hot, F.pmod(F.spark_partition_id(), salts)).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     return (left.withColumn("_salt", spread)
-            .join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"])
+            .join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"], how)
             .drop("_salt"))
 
 
-def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping) -> DataFrame:
+def _found(c: str, idx: str) -> Column:
+    """A gathered column; an edge without a vertex fails the query that reads it."""
+    message = F.concat(F.lit(f"{idx} names no vertex: "),
+                       F.coalesce(F.col(idx).cast("string"), F.lit("null")))
+    return F.when(F.col("_gather_id").isNotNull(), F.col(c)).otherwise(
+        F.raise_error(message)).alias(c)
+
+
+def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping,
+            on_missing: str) -> DataFrame:
     added = [c for c in side.columns if c != "_gather_id"]
+    if on_missing == "raise":
+        if hot:
+            side = side.withColumnRenamed("_gather_id", "_key").withColumn(
+                "_gather_id", F.col("_key"))
+            joined = salted_join(edges.withColumn("_key", F.col(idx)), side, "_key", hot,
+                                 shuffle_partitions(edges.sparkSession), "left")
+        else:
+            joined = edges.join(side, edges[idx] == side["_gather_id"], "left")
+        return joined.select(*edges.columns, *[_found(c, idx) for c in added])
     if hot:
         keyed = edges.withColumn("_gather_id", F.col(idx))
         return salted_join(keyed, side, "_gather_id", hot, shuffle_partitions(
@@ -101,19 +119,24 @@ def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping) -> DataFr
 
 def gather(edges: DataFrame, vertices: DataFrame, idx: str,
            columns: Mapping[str, str | Column] | Sequence[str], *, id: str = "id",
-           skew: Skew = "auto") -> DataFrame:
+           skew: Skew = "auto", on_missing: str = "drop") -> DataFrame:
     """Each edge with ``columns`` of the vertex that ``idx`` names.
 
     Columns may be expressions over the vertex table, evaluated before the join.
-    Vertex ids are unique and indices valid (``check_index``), so the number of edges
-    is kept.
+    Vertex ids must be unique (``duplicate_ids``).  An edge whose index is null or names no
+    vertex is left out; with ``on_missing="raise"`` it fails the query that reads a gathered
+    column of it, at the cost of no further shuffle.
     """
-    return gather_many(edges, [Gather(vertices, idx, columns, id)], skew=skew)
+    return gather_many(edges, [Gather(vertices, idx, columns, id)], skew=skew,
+                       on_missing=on_missing)
 
 
-def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "auto") -> DataFrame:
+def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "auto",
+                on_missing: str = "drop") -> DataFrame:
     """Several gathers; those of one table through one index share a single join.
 
+    ``on_missing`` is that of ``gather``.
+
     ``skew="off"`` leaves out the search for hot index values, for indices that cannot
     have any (a triangle has three faces); adaptive execution still splits what it finds.
     A mapping from ``hot_values`` is used as it is, which saves the search when the same
@@ -121,6 +144,8 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "au
     """
     if isinstance(skew, str) and skew not in ("auto", "off"):
         raise ValueError(f"skew must be 'auto', 'off' or a mapping, got {skew!r}")
+    if on_missing not in ("raise", "drop"):
+        raise ValueError("on_missing is 'raise' or 'drop'")
     grouped: dict[tuple[int, str, str], tuple[DataFrame, dict[str, Column]]] = {}
     taken = set(edges.columns)
     for g in gathers:
@@ -139,7 +164,7 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "au
         found = hot_values(edges, shuffled.values()) if skew == "auto" else skew
         hot = {k: found.get(idx, {}) for k, idx in shuffled.items()}
     for k, (idx, side) in enumerate(sides):
-        edges = _attach(edges, side, idx, hot.get(k, {}))
+        edges = _attach(edges, side, idx, hot.get(k, {}), on_missing)
     return edges
 
 

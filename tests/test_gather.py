@@ -100,3 +100,20 @@ def test_check_index_counts_edges(spark):
 def test_duplicate_ids(spark):
     df = spark.createDataFrame([(1,), (2,), (1,)], "id long")
     assert [tuple(r) for r in duplicate_ids(df).collect()] == [(1, 2)]
+
+
+def test_an_edge_without_a_vertex_raises_or_is_left_out(spark, edges, vertices):
+    assert gather(edges, vertices, "i", {"xi": "x"}, on_missing="raise").count() == 600
+    lost = edges.withColumn("i", F.when(F.col("e") == 5, 99).when(F.col("e") != 7, F.col("i")))
+    assert gather(lost, vertices, "i", {"xi": "x"}).count() == 598
+    for hot in ({}, {"i": {3: 0.6}}):
+        one = g._attach(lost, vertices.select(F.col("id").alias("_gather_id"), F.col("x").alias("xi")),
+                        "i", hot.get("i", {}), "raise")
+        with pytest.raises(Exception, match="names no vertex"):
+            one.collect()
+        good = g._attach(edges, vertices.select(F.col("id").alias("_gather_id"), F.col("x").alias("xi")),
+                         "i", hot.get("i", {}), "raise")
+        assert sorted((r["e"], r["xi"]) for r in good.collect()) == sorted(
+            (r["e"], r["i"] * 1.5) for r in edges.collect())
+    with pytest.raises(ValueError):
+        gather(edges, vertices, "i", ["x"], on_missing="keep")

@@ -129,3 +129,12 @@ def test_array_forms(spark):
     assert row["b"] == [3.0, 40.0, 0.0, 0.0]
     assert row["e"] == [6.0, 8.0, 0.0, 0.0]
     assert row["f"] == [2.0, 2.0, 2.0] and row["back"] == [3.0, 4.0, 0.0, 0.0]
+
+
+def test_an_array_of_another_length_raises(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), (None,)], "a array<double>")
+    assert [tuple(r) for r in rows.select(*V.from_array("a", 2).columns("v")).collect()] == [
+        (1.0, 2.0), (None, None)]
+    with pytest.raises(Exception, match="2 components"):
+        spark.createDataFrame([([1.0, 2.0, 3.0],)], "a array<double>").select(
+            *V.from_array("a", 2).columns("v")).collect()
