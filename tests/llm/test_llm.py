@@ -236,3 +236,14 @@ def test_token_files(docs, monkeypatch):
     one = parts.first()
     seq, mask = token_files.Part(one.path, one.part).sequence(0)
     assert len(seq) == len(mask) == 8
+
+
+def test_words_survive_the_change_of_word_tables(monkeypatch):
+    path = queries.tokenizer("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "KNOWN", 8)
+    small = token_files.texts_of.__wrapped__(path)
+    for k in range(12):     # words of earlier batches return after the table has changed
+        texts = [f"In, the day, w{k}. the", f"x{k - 1} w{k - 1}. In, y{k}", "", None]
+        want = [small.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        got = [np.frombuffer(b, small.type).tolist() for b in small.encode(texts)]
+        assert got == want
