@@ -48,6 +48,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Is ``df`` a scan of parquet files with at most projections and filters on top, so
+    that file and position tell its rows apart?"""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return "parquet" in plan.simpleString(100).lower() and "Relation" in plan.simpleString(100)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions a shuffle starts with."""
     first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
