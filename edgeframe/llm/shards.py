@@ -43,16 +43,21 @@ def scatter(docs: DataFrame, *, shards: int = SHARDS, seed: int = 11, text: str
     """Pass one: columns doc (the whole record), shard, bucket, tie (an order of records
     that does not depend on how they arrive)."""
     row = free_name(docs, "__row")
-    total = docs.agg(F.sum(size_of(F.col(f"`{text}`")))).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
     key = F.col(f"`{id}`")
     at = F.col(row)["at"]
+    # One number per shard: a shard of a much repeated id has as many buckets as it fills.
+    sums = docs.groupBy(shard_of(key, shards, seed).alias("shard")).agg(
+        F.sum(size_of(F.col(f"`{text}`"))).alias("bytes")).collect()
+    filled = {r["shard"]: -(-r["bytes"] // bucket_bytes) for r in sums}
+    buckets = F.get(F.array(*[F.lit(max(1, filled.get(k, 1))) for k in range(shards)]),
+                    F.col("shard"))
     return with_row_id(docs, row).select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         shard_of(key, shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(key, at, F.lit(seed + 1)), F.lit(buckets)).cast("int").alias("bucket"),
+        F.xxhash64(key, F.col(row), F.lit(seed + 1)).alias("bucket"),
         F.struct(F.xxhash64(key, F.col(f"`{text}`"), F.lit(seed)).alias("h"),
-                 at.alias("at")).alias("tie"))
+                 at.alias("at")).alias("tie")) \
+        .withColumn("bucket", F.pmod("bucket", buckets).cast("int"))
 
 
 def shuffle_buckets(scattered: DataFrame, seed: int = 11) -> DataFrame:
