@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from edgeframe.session import written
+from edgeframe.session import is_scan, written
 
 SPACES = " \t\n\x0b\x0c\r"     # the white space of every contract: U+0020, U+0009 to U+000D
 ARROW_ROWS = 512               # whole texts travel in batches of so many rows
@@ -54,24 +54,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def as_scan(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain scan of files, else a stored copy.  An operator that takes
+    row ids of one table twice takes them from this, so they are the same."""
+    return df if is_scan(df) else written(df, "rows")
+
+
 def with_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
     """``df`` with a column that tells rows apart, the same at every evaluation.
 
     It is the file and the position in it.  A ``df`` that is no plain scan of files is
-    stored first, because positions in a computed result are not repeatable.
+    stored first, because positions in a computed result are not repeatable and rows that
+    were multiplied share one.
     """
-    try:
-        return _by_position(df, name)
-    except Exception:       # the analyzer knows no file metadata for this plan
-        return _by_position(written(df, "rows"), name)
-
-
-def _by_position(df: DataFrame, name: str) -> DataFrame:
+    df = as_scan(df)
     meta = df.metadataColumn("_metadata")
-    out = df.withColumn(name, F.struct(meta["file_path"].alias("file"),
-                                       meta["row_index"].alias("at")))
-    out.schema  # noqa: B018  analysis happens here
-    return out
+    return df.withColumn(name, F.struct(meta["file_path"].alias("file"),
+                                        meta["row_index"].alias("at")))
 
 
 def free_name(df: DataFrame, name: str) -> str:

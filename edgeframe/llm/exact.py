@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from edgeframe.llm.common import free_name, with_row_id
+from edgeframe.llm.common import as_scan, free_name, with_row_id
 from edgeframe.session import written
 
 PREFIX = 64     # code points of the prefix hash
@@ -71,7 +71,7 @@ def exact_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id")
 def drop_exact_duplicates(docs: DataFrame, *, text: str = "text",
                           id: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` does not keep; same columns."""
-    row = free_name(docs, "__row")
+    docs, row = as_scan(docs), free_name(docs, "__row")
     found = exact_duplicates(docs, text=text, id=id)
     gone = found.where(~F.col("kept")).select(F.col("row").alias(row))
     return with_row_id(docs, row).join(gone, row, "left_anti").select(

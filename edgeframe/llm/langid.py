@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from edgeframe.llm.common import small_batches
+from edgeframe.llm.common import free_name, small_batches
 
 DIM = 1024
 NONE = "und"
@@ -45,7 +46,7 @@ def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     lower = [f" {t.lower()} " if t else "  " for t in texts]
     codes = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in lower])
-    codes = np.where(is_letter[codes], codes & (LETTERS - 1), 0).astype(np.int64)
+    codes = np.where(is_letter[codes], np.maximum(codes & (LETTERS - 1), 1), 0).astype(np.int64)
     blank = codes == 0
     keep = np.ones(len(codes), bool)
     keep[1:] = ~(blank[1:] & blank[:-1] & (owner[1:] == owner[:-1]))
@@ -154,9 +155,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(best, pa.float64())],
                 names=[*columns, "p", "s"])
 
-    types = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
-    return numbered.mapInArrow(run, f"{types}, p string, s double").toDF(
-        *docs.columns, pred, score)
+    schema = StructType([StructField(c, f.dataType) for c, f in zip(columns, docs.schema)]) \
+        .add("p", "string").add("s", "double")
+    return numbered.mapInArrow(run, schema).toDF(*docs.columns, pred, score)
 
 
 def held_out(id: Column) -> Column:
@@ -172,6 +173,7 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def drop_unknown(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` without texts of no language, learned from all of its labelled rows."""
-    kept = predict(docs, profiles(docs), pred="__lang", score="__score").where(
-        (F.col("__lang") != NONE) & (F.col("__score") >= least))
-    return kept.drop("__lang", "__score")
+    pred, score = free_name(docs, "__lang"), free_name(docs, "__score")
+    kept = predict(docs, profiles(docs), pred=pred, score=score).where(
+        (F.col(pred) != NONE) & (F.col(score) >= least))
+    return kept.drop(pred, score)

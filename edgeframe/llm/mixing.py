@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from edgeframe.llm.common import free_name, let, with_row_id, words
+from edgeframe.llm.common import as_scan, free_name, let, with_row_id, words
 from edgeframe.session import written
 
 RANGES = 1 << 14
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; same columns."""
+    docs = as_scan(docs)
     row, n = free_name(docs, "__row"), free_name(docs, "__copies")
     taken = mix(docs, **how).where(F.col("copies") > 0).select(
         F.col("row").alias(row), F.col("copies").cast("int").alias(n))

@@ -91,7 +91,7 @@ def ips(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k:k + 4]
             end = start + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(v := p.lstrip("0")) <= 3 and int(v or 0) <= 255 for p in four):
                 yield start, end
             start = end + 1
 

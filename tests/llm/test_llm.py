@@ -247,3 +247,32 @@ def test_words_survive_the_change_of_word_tables(monkeypatch):
         want = [small.library.encode(t or "", add_special_tokens=False).ids for t in texts]
         got = [np.frombuffer(b, small.type).tolist() for b in small.encode(texts)]
         assert got == want
+
+
+def test_rows_that_were_multiplied_are_told_apart(docs):
+    from pyspark.sql import functions as F
+    twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    got = exact.op5(twice).collect()
+    assert len(got) == 2 * len(rows())
+    assert sum(r.kept for r in got) == len({r[1] or "" for r in rows()})
+    assert exact.drop_exact_duplicates(twice).count() == len({r[1] or "" for r in rows()})
+    assert mixing.mixed(twice).count() == sum(r.copies for r in mixing.mix(twice).collect())
+
+
+def test_a_much_repeated_id_fills_several_buckets(docs):
+    from pyspark.sql import functions as F
+    one = docs.withColumn("doc_id", F.lit(7).cast("bigint"))
+    scattered = shards.scatter(one, bucket_bytes=1 << 12)
+    assert scattered.select("shard").distinct().count() == 1
+    assert scattered.select("bucket").distinct().count() > 5
+
+
+def test_odd_letters_columns_and_numbers(spark, docs):
+    from pyspark.sql import functions as F
+    owner, codes = langid.trigrams(["\U00020000"])      # low bits of this letter are 0
+    assert codes.any()
+    odd = docs.withColumn("__lang", F.struct(F.lit(1).alias("a b"))).withColumn("__score", F.lit(2))
+    out = langid.drop_unknown(odd)
+    assert out.columns == odd.columns and out.select("__lang").first()[0][0] == 1
+    zeros = "0" * 5000
+    assert [(s.kind, s.start) for s in pii.find(f"{zeros}.1.2.3")] == [("ip", 0)]
