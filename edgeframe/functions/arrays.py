@@ -32,8 +32,12 @@ def array_map(col: Column, op: Callable[[Column], Column]) -> Column:
 
 def array_broadcast(a: Column, b: Column, op: Callable[[Column, Column], Column],
                     dims: tuple[int, int]) -> Column:
-    """``out[i] = a[i % N] op b[i % M]`` over ``max(N, M)`` components."""
+    """``out[i] = a[i % N] op b[i % M]`` over ``max(N, M)`` components.
+
+    An array whose length is not the one that ``dims`` gives fails the query.
+    """
     n, m = dims
+    a, b = _sized(a, n), _sized(b, m)
     if n == m:
         return F.zip_with(a, b, op)
     return F.transform(
@@ -42,6 +46,11 @@ def array_broadcast(a: Column, b: Column, op: Callable[[Column, Column], Column]
     )
 
 
+def _sized(a: Column, n: int) -> Column:
+    return F.when(F.size(a) == n, a).when(a.isNotNull(), F.raise_error(F.concat(
+        F.lit(f"an array of {n} components is needed, not of "), F.size(a).cast("string"))))
+
+
 def array_norm(col: Column) -> Column:
     return F.aggregate(col, F.lit(0.0),
                        lambda acc, x: acc + x.cast("double") * x.cast("double"),

@@ -38,5 +38,5 @@ def mixed_index(id_: Column, n: int, seed: int, stream: int) -> Column:
 
 
 def mixed_unit(id_: Column, seed: int, stream: int) -> Column:
-    """A value in ``[0, 1)`` with three decimals."""
-    return (_mixed(id_, seed, 2 * stream) % F.lit(1000).cast("bigint")) / F.lit(1000.0)
+    """A value in ``[0, 1)``."""
+    return _mixed(id_, seed, 2 * stream) / F.lit(float(PRIME))

@@ -22,6 +22,26 @@ def _one_sided() -> Column:
     return F.col("_ia").isNull() | F.col("_ib").isNull()
 
 
+def _is_array(a: DataFrame, b: DataFrame, c: str) -> bool:
+    kinds = {isinstance(t.schema[c].dataType, T.ArrayType) for t in (a, b)}
+    if len(kinds) > 1:
+        raise TypeError(f"{c} is an array on one side only")
+    return kinds.pop()
+
+
+def _components(a: DataFrame, b: DataFrame, c: str) -> Column:
+    """Array of (x, y): the components of both sides as DOUBLE, one for a scalar.
+
+    Null where a side is missing or null, or the lengths differ.
+    """
+    x, y = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+    if _is_array(a, b, c):
+        return F.when(F.size(x) == F.size(y), F.zip_with(x, y, lambda p, q: F.struct(
+            p.cast("double").alias("x"), q.cast("double").alias("y"))))
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(F.struct(
+        x.cast("double").alias("x"), y.cast("double").alias("y"))))
+
+
 def _per_column(agg: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One aggregated row to one row per compared column."""
     rows = F.array(*[F.struct(F.lit(c).alias("column"),
@@ -33,24 +53,39 @@ def compare_close(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str], *
                   rtol: float = 1e-10, atol: float = 1e-10) -> DataFrame:
     """Per column: largest and mean absolute and relative difference, and ``all_close``.
 
-    Close means ``|a-b| ≤ atol + rtol·|b|``; NaN is close to nothing.  Rows without a
+    Array columns are compared component by component; arrays of different length have no
+    difference and fail.  Close means ``|a-b| ≤ atol + rtol·|b|``; NaN is close to nothing.  Rows without a
     partner are counted and fail.
     """
     pairs = _paired(a, b, on, columns)
     aggs = []
     for c in columns:
-        x, y = F.col(f"_a_{c}").cast("double"), F.col(f"_b_{c}").cast("double")
-        diff = F.abs(x - y)
-        rel = diff / (F.abs(x) + F.lit(REL_FLOOR))
-        equal = (x == y) & ~F.isnan(x)
-        # `<` on a finite difference only: Spark orders NaN above infinity.
-        near = (diff < F.lit(float("inf"))) & (diff <= F.lit(atol) + F.lit(rtol) * F.abs(y))
-        close = F.coalesce(equal | near, F.lit(False))
+        def gap(p: Column) -> Column:
+            return F.abs(p["x"] - p["y"])
+
+        def relative(p: Column) -> Column:
+            return gap(p) / (F.abs(p["x"]) + F.lit(REL_FLOOR))
+
+        def is_close(p: Column) -> Column:
+            # `<` on a finite difference only: Spark orders NaN above infinity.
+            near = (gap(p) < F.lit(float("inf"))) & (
+                gap(p) <= F.lit(atol) + F.lit(rtol) * F.abs(p["y"]))
+            return F.coalesce(((p["x"] == p["y"]) & ~F.isnan(p["x"])) | near, F.lit(False))
+
+        def added(of) -> Column:
+            return F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.coalesce(of(p), F.lit(0.0)))
+
+        parts = _components(a, b, c)
+        n = F.sum(F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s + F.when(
+            gap(p).isNotNull(), 1).otherwise(0).cast("bigint")))
+        close = F.coalesce(F.forall(parts, is_close), F.lit(False))
         aggs += [
-            F.coalesce(F.max(diff), F.lit(0.0)).alias(f"max_abs__{c}"),
-            F.coalesce(F.avg(diff), F.lit(0.0)).alias(f"mean_abs__{c}"),
-            F.coalesce(F.max(rel), F.lit(0.0)).alias(f"max_rel__{c}"),
-            F.coalesce(F.avg(rel), F.lit(0.0)).alias(f"mean_rel__{c}"),
+            F.coalesce(F.max(F.array_max(F.transform(parts, gap))), F.lit(0.0))
+            .alias(f"max_abs__{c}"),
+            F.when(n > 0, F.sum(added(gap)) / n).otherwise(0.0).alias(f"mean_abs__{c}"),
+            F.coalesce(F.max(F.array_max(F.transform(parts, relative))), F.lit(0.0))
+            .alias(f"max_rel__{c}"),
+            F.when(n > 0, F.sum(added(relative)) / n).otherwise(0.0).alias(f"mean_rel__{c}"),
             F.count_if(_one_sided()).alias(f"unmatched__{c}"),
             F.coalesce(F.bool_and(close), F.lit(True)).alias(f"all_close__{c}"),
         ]
@@ -59,7 +94,9 @@ def compare_close(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str], *
 
 
 def compare_exact(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
-    """Per column: same type, row counts, mismatches, their share, largest difference."""
+    """Per column: same type, row counts, mismatches, their share, largest difference.
+
+    Arrays match as wholes; their largest difference is over components."""
     pairs = _paired(a, b, on, columns)
     aggs = []
     for c in columns:
@@ -73,7 +110,9 @@ def compare_exact(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str]) -
             wrong.alias(f"mismatches__{c}"),
             F.when(F.count(F.lit(1)) == 0, 0.0).otherwise(
                 wrong / F.count(F.lit(1))).alias(f"fraction__{c}"),
-            F.coalesce(F.max(F.abs(x - y)), F.lit(0)).cast("double").alias(f"max_abs__{c}"),
+            F.coalesce(F.max(F.array_max(F.transform(
+                F.zip_with(x, y, lambda p, q: p - q) if _is_array(a, b, c) else F.array(x - y),
+                F.abs))), F.lit(0)).cast("double").alias(f"max_abs__{c}"),
         ]
     return _per_column(pairs.agg(*aggs), columns, (
         "same_type", "rows_a", "rows_b", "mismatches", "fraction", "max_abs"))
@@ -81,13 +120,17 @@ def compare_exact(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str]) -
 
 def compare_eps(a: DataFrame, b: DataFrame, on: str, columns: Sequence[str], *,
                 eps: float = 1e-5) -> DataFrame:
-    """Per column: passed, number of rows off by more than ``eps``, and the first of them."""
+    """Per column: passed, number of rows off by more than ``eps``, and the first of them.
+
+    A row of arrays is off if a component is, or if their lengths differ."""
     pairs = _paired(a, b, on, columns)
     aggs = []
     row = F.coalesce(F.col("_ia"), F.col("_ib"))
     for c in columns:
-        x, y = F.col(f"_a_{c}").cast("double"), F.col(f"_b_{c}").cast("double")
-        fails = ~F.coalesce(F.abs(x - y) <= F.lit(eps), F.lit(False))
+        kind = "array<double>" if _is_array(a, b, c) else "double"
+        x, y = F.col(f"_a_{c}").cast(kind), F.col(f"_b_{c}").cast(kind)
+        fails = ~F.coalesce(F.forall(_components(a, b, c), lambda p: F.coalesce(
+            F.abs(p["x"] - p["y"]) <= F.lit(eps), F.lit(False))), F.lit(False))
         first = F.min(F.when(fails, F.struct(row.alias("id"), x.alias("a"), y.alias("b"))))
         aggs += [
             (F.count_if(fails) == 0).alias(f"passed__{c}"),

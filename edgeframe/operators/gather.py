@@ -1,6 +1,6 @@
 """Gather: attach vertex values to edges through an index column.
 
-A gather is an inner equi-join on a unique vertex id.  Small vertex tables are
+A gather is an equi-join on a unique vertex id that gives one row per edge.  Small vertex tables are
 broadcast by Spark itself, which knows their size.  For larger ones the edges are
 shuffled by the index; an index value that owns a large share of the edges would then
 land in one task, so such values are looked up first and spread over salts.
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeframe.session import estimated_bytes, shuffle_partitions
+from edgeframe.session import broadcast_limit, estimated_bytes, leaf_bytes, shuffle_partitions
 
 HOT_SHARE = 0.001           # least share of the edges that makes an index value hot
 SMALL_EDGES = 1 << 30       # edge tables up to this many bytes need no spreading
@@ -40,8 +40,7 @@ class Gather:
 
 def broadcastable(df: DataFrame) -> bool:
     """Whether Spark's size estimate lets it broadcast ``df``."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
+    return estimated_bytes(df) <= broadcast_limit(df.sparkSession)
 
 
 def hot_keys(df: DataFrame, key: str, *, share: float = HOT_SHARE,
@@ -64,7 +63,7 @@ def hot_keys(df: DataFrame, key: str, *, share: float = HOT_SHARE,
 
 def hot_values(edges: DataFrame, indices: Iterable[str]) -> dict[str, dict]:
     """Per index column, the values worth spreading over tasks, with their share."""
-    if estimated_bytes(edges) <= SMALL_EDGES:
+    if leaf_bytes(edges) <= SMALL_EDGES:
         return {}
     # A value with less than half a partition's share needs no spreading.
     share = max(HOT_SHARE, 0.5 / shuffle_partitions(edges.sparkSession))
@@ -97,6 +96,18 @@ def _found(c: str, idx: str) -> Column:
         F.raise_error(message)).alias(c)
 
 
+def _unique(side: DataFrame, idx: str) -> DataFrame:
+    """``side``, failing the query that reads it if several rows hold one id."""
+    added = [c for c in side.columns if c != "_gather_id"]
+    once = side.groupBy("_gather_id").agg(F.count(F.lit(1)).alias("_n"),
+                                          *[F.first(c).alias(c) for c in added])
+    message = F.concat(F.lit(f"{idx} names several vertices: "),
+                       F.col("_gather_id").cast("string"))
+    return once.select("_gather_id", *[
+        F.when((F.col("_n") == 1) | F.col("_gather_id").isNull(), F.col(c)).otherwise(
+            F.raise_error(message)).alias(c) for c in added])
+
+
 def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping,
             on_missing: str) -> DataFrame:
     added = [c for c in side.columns if c != "_gather_id"]
@@ -119,23 +130,25 @@ def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping,
 
 def gather(edges: DataFrame, vertices: DataFrame, idx: str,
            columns: Mapping[str, str | Column] | Sequence[str], *, id: str = "id",
-           skew: Skew = "auto", on_missing: str = "drop") -> DataFrame:
+           skew: Skew = "auto", on_missing: str = "raise",
+           unique: str = "assume") -> DataFrame:
     """Each edge with ``columns`` of the vertex that ``idx`` names.
 
-    Columns may be expressions over the vertex table, evaluated before the join.
-    Vertex ids must be unique (``duplicate_ids``).  An edge whose index is null or names no
-    vertex is left out; with ``on_missing="raise"`` it fails the query that reads a gathered
-    column of it, at the cost of no further shuffle.
+    Columns may be expressions over the vertex table, evaluated before the join.  An edge
+    whose index is null or names no vertex fails the query that reads a gathered column of
+    it, at the cost of no further shuffle; with ``on_missing="drop"`` it is left out.
+    Vertex ids must be unique; with ``unique="check"``, which aggregates the vertex side,
+    a table with a repeated id fails the query too.
     """
     return gather_many(edges, [Gather(vertices, idx, columns, id)], skew=skew,
-                       on_missing=on_missing)
+                       on_missing=on_missing, unique=unique)
 
 
 def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "auto",
-                on_missing: str = "drop") -> DataFrame:
+                on_missing: str = "raise", unique: str = "assume") -> DataFrame:
     """Several gathers; those of one table through one index share a single join.
 
-    ``on_missing`` is that of ``gather``.
+    ``on_missing`` and ``unique`` are those of ``gather``.
 
     ``skew="off"`` leaves out the search for hot index values, for indices that cannot
     have any (a triangle has three faces); adaptive execution still splits what it finds.
@@ -146,6 +159,8 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "au
         raise ValueError(f"skew must be 'auto', 'off' or a mapping, got {skew!r}")
     if on_missing not in ("raise", "drop"):
         raise ValueError("on_missing is 'raise' or 'drop'")
+    if unique not in ("assume", "check"):
+        raise ValueError("unique is 'assume' or 'check'")
     grouped: dict[tuple[int, str, str], tuple[DataFrame, dict[str, Column]]] = {}
     taken = set(edges.columns)
     for g in gathers:
@@ -158,11 +173,15 @@ def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "au
     sides = [(idx, table.select(F.col(id_).alias("_gather_id"),
                                 *[c.alias(n) for n, c in outputs.items()]))
              for (_, idx, id_), (table, outputs) in grouped.items()]
+    if unique == "check":
+        sides = [(idx, _unique(side, idx)) for idx, side in sides]
     hot: dict[int, Mapping] = {}
-    if skew and skew != "off" and estimated_bytes(edges) > SMALL_EDGES:
+    if skew == "auto" and leaf_bytes(edges) > SMALL_EDGES:
         shuffled = {k: idx for k, (idx, side) in enumerate(sides) if not broadcastable(side)}
-        found = hot_values(edges, shuffled.values()) if skew == "auto" else skew
+        found = hot_values(edges, shuffled.values())
         hot = {k: found.get(idx, {}) for k, idx in shuffled.items()}
+    elif not isinstance(skew, str):
+        hot = {k: skew.get(idx, {}) for k, (idx, _) in enumerate(sides)}
     for k, (idx, side) in enumerate(sides):
         edges = _attach(edges, side, idx, hot.get(k, {}), on_missing)
     return edges

@@ -3,7 +3,7 @@
 ``points(point_id, x, y)``, ``cells(cell_id, p0, p1, p2)``, ``faces(edge_id, src, dst)``
 (directed adjacency of cells) and ``bfaces(bface_id, cell, p0, p1)``.
 
-Coordinates are gathered onto cells first (three joins on the cell table); faces then
+Coordinates are gathered onto cells first (one join and one sum by cell); faces then
 take whole cells from its result (two joins), not six single points.  A cell has three
 faces at most, so joins from faces to cells have no hot keys; a point may belong to any
 number of cells.
@@ -40,9 +40,20 @@ def boundary_points(bfaces: DataFrame) -> DataFrame:
 
 
 def with_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """``cells`` plus their corners: ``x0, y0 … x2, y2``."""
-    return gather_many(cells, [
-        Gather(points, f"p{i}", {f"x{i}": "x", f"y{i}": "y"}, id="point_id") for i in CORNERS])
+    """``cells`` plus their corners: ``x0, y0 … x2, y2``.
+
+    One row per corner takes its point in a single join; one aggregation by cell brings
+    the three back together.  Cell ids are unique.
+    """
+    rest = [c for c in cells.columns if c != "cell_id"]
+    long = cells.select("*", F.posexplode(F.array(*[f"p{i}" for i in CORNERS]))
+                        .alias("_corner", "_point"))
+    met = gather_many(long, [Gather(points, "_point", {"x": "x", "y": "y"}, id="point_id")])
+    at = {f"{a}{i}": F.max(F.when(F.col("_corner") == i, F.col(a)))
+          for i in CORNERS for a in ("x", "y")}
+    return met.groupBy("cell_id").agg(
+        *[F.max(c).alias(c) for c in rest], *[v.alias(n) for n, v in at.items()]).select(
+        *cells.columns, *at)
 
 
 def corner(i: int, prefix: str = "") -> V:

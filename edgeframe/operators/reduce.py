@@ -56,19 +56,30 @@ def _domain(edges: DataFrame, domain: int | DataFrame, id: str) -> DataFrame:
 
 
 def scatter_sum(edges: DataFrame, key: str, sums: Mapping[str, Expr], domain: Domain = None, *,
-                id: str = "id", scale: int | None = None) -> DataFrame:
+                id: str = "id", scale: int | None = None, on_null: str = "raise") -> DataFrame:
     """``(id, sums…)``: the sums over the edges of each row.
 
     ``domain`` is the number of rows, or a table whose ``id`` column lists them; every
     row of it appears once and edges outside it do not count.  Without a domain only
-    rows that have edges appear.  Vector sums expand to ``name_i``.
+    rows that have edges appear.  Vector sums expand to ``name_i``.  An edge without a row
+    (null) fails the query; ``on_null="drop"`` leaves it out.
     """
-    return scatter_combine([(edges, key, sums)], domain, id=id, scale=scale)
+    return scatter_combine([(edges, key, sums)], domain, id=id, scale=scale, on_null=on_null)
+
+
+def _keyed(edges: DataFrame, key: str, on_null: str) -> tuple[DataFrame, Column]:
+    """Edges and their row id as BIGINT."""
+    row = F.col(key).cast("bigint")
+    if on_null == "drop":
+        return edges.where(F.col(key).isNotNull()), row
+    if on_null != "raise":
+        raise ValueError("on_null is 'raise' or 'drop'")
+    return edges, F.coalesce(row, F.raise_error(F.lit(f"{key} is null")).cast("bigint"))
 
 
 def scatter_combine(parts: Sequence[tuple[DataFrame, str, Mapping[str, Expr]]],
-                    domain: Domain = None, *, id: str = "id",
-                    scale: int | None = None) -> DataFrame:
+                    domain: Domain = None, *, id: str = "id", scale: int | None = None,
+                    on_null: str = "raise") -> DataFrame:
     """Row sums over several edge tables at once, e.g. inner and boundary edges.
 
     Sums of the same name add up; a table that lacks a name adds nothing to it.  All
@@ -80,9 +91,9 @@ def scatter_combine(parts: Sequence[tuple[DataFrame, str, Mapping[str, Expr]]],
         raise ValueError("give at least one sum, and none named 'id'")
     pieces = []
     for (edges, key, _), flat in zip(parts, flats):
-        pieces.append(edges.where(F.col(key).isNotNull()).select(
-            F.col(key).cast("bigint").alias("id"),
-            *[addend(flat[n], scale).alias(n) for n in flat]))
+        edges, row = _keyed(edges, key, on_null)
+        pieces.append(edges.select(row.alias("id"),
+                                   *[addend(flat[n], scale).alias(n) for n in flat]))
     aggs = [total(F.col(n), scale).alias(n) for n in names]
     if domain is None:
         return _union(pieces).groupBy("id").agg(*aggs)
@@ -114,14 +125,25 @@ def global_array_sum(df: DataFrame, col: str, key: str | None = None, *,
                      scale: int | None = None) -> DataFrame:
     """Component-wise sums of a wide array column, as rows ``([key], pos, v)``."""
     keys = [] if key is None else [key]
-    long = (df.select(*keys, F.posexplode(col).alias("pos", "_x"))
-            .select(*keys, "pos", addend(F.col("_x").cast("double"), scale).alias("_x")))
-    return long.groupBy(*keys, "pos").agg(total(F.col("_x"), scale).alias("v"))
+    # In slices, like ``scatter_array_sum``; arrays may differ in length.
+    cut = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(col) - 1, F.lit(SLICE))
+                                 .cast("int")),
+                      lambda k: F.slice(F.col(col), k * SLICE + 1, F.lit(SLICE)))
+    names = [f"_x{i}" for i in range(SLICE)]
+    parts = (df.where(F.size(col) > 0).select(*keys, F.posexplode(cut).alias("_slice", "_part"))
+             .select(*keys, "_slice", F.size("_part").alias("_n"), *[
+                 addend(F.get("_part", F.lit(i)).cast("double"), scale).alias(n)
+                 for i, n in enumerate(names)]))
+    summed = parts.groupBy(*keys, "_slice").agg(
+        F.max("_n").alias("_n"), *[total(F.col(n), scale).alias(n) for n in names])
+    long = summed.select(*keys, "_slice", F.posexplode(
+        F.slice(F.array(*names), F.lit(1), F.col("_n"))).alias("_i", "v"))
+    return long.select(*keys, (F.col("_slice") * SLICE + F.col("_i")).alias("pos"), "v")
 
 
 def scatter_array_sum(edges: DataFrame, key: str, col: str | Column, dim: int,
-                      domain: Domain = None, *, id: str = "id",
-                      scale: int | None = None) -> DataFrame:
+                      domain: Domain = None, *, id: str = "id", scale: int | None = None,
+                      on_null: str = "raise") -> DataFrame:
     """Row sums of a wide array column, as rows ``(id, pos, v)``; see ``scatter_sum``.
 
     Every row of the domain has ``dim`` components, 0 where there are no edges.  The
@@ -135,8 +157,8 @@ def scatter_array_sum(edges: DataFrame, key: str, col: str | Column, dim: int,
     names = [f"_x{i}" for i in range(min(SLICE, dim))]
     whole = F.when(F.size(arr) == dim, arr).when(arr.isNotNull(), F.raise_error(F.concat(
         F.lit(f"an array of {dim} components is needed, not of "), F.size(arr).cast("string"))))
-    parts = (edges.where(F.col(key).isNotNull())
-             .select(F.col(key).cast("bigint").alias("id"), whole.alias("_arr"))
+    keyed, row = _keyed(edges, key, on_null)
+    parts = (keyed.select(row.alias("id"), whole.alias("_arr"))
              .select("id", F.posexplode(cut).alias("_slice", "_part"))
              .select("id", "_slice", F.lit(False).alias("_row"), *[
                  addend(F.get("_part", F.lit(i)).cast("double"), scale).alias(n)
@@ -195,9 +217,10 @@ def spmm(coo: DataFrame, x: DataFrame, columns: Mapping[str, str], *, row: str =
 
 def edge_map_reduce(edges: DataFrame, gathers: Sequence[Gather], *,
                     reduce: Mapping[str, Expr], key: str | None = None, domain: Domain = None,
-                    id: str = "id", scale: int | None = None) -> DataFrame:
+                    id: str = "id", scale: int | None = None,
+                    on_missing: str = "raise") -> DataFrame:
     """Gather, map and sum in one plan: by row with a ``key``, over everything without."""
-    on_edges = gather_many(edges, gathers)
+    on_edges = gather_many(edges, gathers, on_missing=on_missing)
     if key is None:
         return global_sum(on_edges, reduce, scale=scale)
     return scatter_sum(on_edges, key, reduce, domain, id=id, scale=scale)

@@ -114,12 +114,11 @@ def _steps_sql() -> str:
   FROM lineitem JOIN {prev} a ON l_partkey = a.id JOIN {prev} b ON l_suppkey = b.id GROUP BY 1)""")
         ctes.append(f"""h{k} AS (SELECT id, h + 0.1::DOUBLE * coalesce(CAST(s AS DOUBLE) / 1e4, 0) AS h
   FROM {prev} LEFT JOIN d{k} USING (id))""")
-    return f"WITH {', '.join(ctes)} SELECT id, h FROM h{STEPS}"
+    return f"WITH {', '.join(ctes)}"
 
 
-@queries.query(_steps_sql())
-def iterate_k(spark, d):
-    """Each part moves towards the parts its edges lead to, three times over."""
+def pull_step(spark, d):
+    """The prices of the parts, and a step that moves each towards its neighbours'."""
     edges = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     start = table(spark, d, "part").select(F.col("p_partkey").alias("id"),
                                            F.col("p_retailprice").alias("h"))
@@ -133,6 +132,13 @@ def iterate_k(spark, d):
         change = scatter_sum(ends, "l_partkey", {"h": pull}, scale=SCALE)
         return weighted_update(state, [(0.1, change)], ["h"])
 
+    return start, step
+
+
+@queries.query(f"{_steps_sql()} SELECT id, h FROM h{STEPS}")
+def iterate_k(spark, d):
+    """Each part moves towards the parts its edges lead to, three times over."""
+    start, step = pull_step(spark, d)
     return iterate(start, step, STEPS, checkpoint_every=1)
 
 
@@ -150,3 +156,17 @@ def snapshot_roundtrip(spark, d):
     back = restore(spark, path, 10, list(state))
     return back["orders"].join(back["part"], F.col("id") == F.col("p_partkey"), "left").select(
         "id", "h", (F.col("h") * 2).alias("h2"), "p_size")
+
+
+@queries.query(_steps_sql() + " UNION ALL ".join(
+    f" SELECT {k} AS step, id, h FROM h{k}" for k in range(1, STEPS + 1)))
+def iterate_snapshots(spark, d):
+    """The states of all steps, the last one included, saved as they are reached."""
+    start, step = pull_step(spark, d)
+    path = written_path(spark, "steps")
+    iterate(start, step, STEPS, on_step=lambda k, state: snapshot({"h": state}, path, k))
+    first, *rest = [restore(spark, path, k, ["h"])["h"].select(F.lit(k).alias("step"), "id", "h")
+                    for k in range(1, STEPS + 1)]
+    for r in rest:
+        first = first.union(r)
+    return first

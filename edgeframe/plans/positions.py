@@ -3,15 +3,19 @@
 from pyspark.sql import functions as F
 
 from edgeframe.functions import V
+from edgeframe.functions.mix import PRIME
 from edgeframe.operators import (
+    Gather,
     coo_to_csr_offsets,
     csr_to_coo,
     edge_position,
+    gather_many,
     offset_pointer,
     position_owner,
     running_sum,
     segment_running_sum,
     segment_sum,
+    spmv,
 )
 from edgeframe.plans.registry import EDGE_ORDER, EDGE_ORDER_SQL, Registry, row_count, table
 from edgeframe.plans.sums import mix_sql
@@ -117,13 +121,34 @@ def running_sum_query(spark, d):
 WITH p AS (SELECT (SELECT max(o_orderkey) + 1 FROM orders) AS rows,
                   (SELECT count(*) FROM lineitem) AS nnz),
 cuts AS (SELECT row_number() OVER (ORDER BY c, i) AS r, c FROM (
-  SELECT i, {mix_sql('i', 123, 0)} % ((SELECT nnz FROM p) + 1) AS c
+  SELECT i, {mix_sql('i', 29, 0)} % ((SELECT nnz FROM p) + 1) AS c
   FROM (SELECT unnest(range((SELECT rows FROM p) - 1)) AS i))),
-bounds AS (SELECT r, c FROM cuts UNION ALL SELECT 0, 0 UNION ALL SELECT rows, nnz FROM p)
-SELECT a.r AS "row", CAST(a.c AS BIGINT) AS "start", CAST(b.c AS BIGINT) AS "end"
-FROM bounds a JOIN bounds b ON b.r = a.r + 1""", "random_csr")
+bounds AS (SELECT max(r) AS r, c FROM (SELECT r, c FROM cuts UNION ALL SELECT 0, 0) GROUP BY c),
+e AS (SELECT i, {mix_sql('i', 29, 2)} % (SELECT max(p_partkey) + 1 FROM part) AS col,
+  {mix_sql('i', 29, 4)} / {PRIME}::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE AS v
+  FROM (SELECT unnest(range((SELECT nnz FROM p))) AS i)),
+y AS (SELECT r, sum(CAST(round_even(v * p_retailprice * 1e4, 0) AS BIGINT)) AS y
+  FROM e ASOF JOIN bounds ON e.i >= bounds.c JOIN part ON col = p_partkey GROUP BY r)
+SELECT o_orderkey AS id, coalesce(CAST(y AS DOUBLE) / 1e4, 0) AS y
+FROM orders LEFT JOIN y ON r = o_orderkey""", "random_csr")
 def random_csr_query(spark, d):
-    """Row offsets of a random system with as many rows as orders, as many edges as lineitems."""
-    return random_csr(spark, row_count(spark, d, "orders", "o_orderkey"),
-                      row_count(spark, d, "part", "p_partkey"),
-                      table(spark, d, "lineitem").count())[0]
+    """A random system of a row per order and an edge per lineitem, applied to the parts."""
+    nnz = table(spark, d, "lineitem").count()
+    starts, edges = random_csr(spark, row_count(spark, d, "orders", "o_orderkey"),
+                               row_count(spark, d, "part", "p_partkey"), nnz)
+    coo = edges.join(csr_to_coo(starts, nnz=nnz), "pos")
+    return spmv(coo, table(spark, d, "part"), value="v", x_value="p_retailprice",
+                x_id="p_partkey", domain=table(spark, d, "orders"), id="o_orderkey", scale=SCALE)
+
+
+@queries.query(f"""
+SELECT {EDGE_ORDER_SQL}, p_retailprice AS price, s_acctbal AS balance,
+  CAST(row_number() OVER (ORDER BY {EDGE_ORDER_SQL}) - 1 AS BIGINT) AS pos
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""")
+def edge_position_gathered(spark, d):
+    """Positions of edges that already took values from two vertex tables."""
+    edges = gather_many(table(spark, d, "lineitem").select("l_orderkey", *EDGE_ORDER), [
+        Gather(table(spark, d, "part"), "l_partkey", {"price": "p_retailprice"}, id="p_partkey"),
+        Gather(table(spark, d, "supplier"), "l_suppkey", {"balance": "s_acctbal"},
+               id="s_suppkey")])
+    return edge_position(edges, "l_orderkey", EDGE_ORDER)

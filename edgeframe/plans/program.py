@@ -1,12 +1,12 @@
 """``EdgeProgram``: a user class whose ``forward`` becomes one DataFrame plan.
 
-    class System(EdgeProgram):
+    class Revenue(EdgeProgram):
         def forward(self):
-            x = self.vertices(part, "p_retailprice", "p_size", id="p_partkey")
-            r = self.selector("l_partkey")(x) + self.selector("l_suppkey")(x)
-            y = r + self.edge("l_quantity", "l_discount")
-            self.output("y_map", y)
-            self.output("y_sum", self.reducer("l_orderkey", orders, id="o_orderkey")(y))
+            price = self.selector("l_partkey")(
+                self.vertices(part, "p_retailprice", id="p_partkey"))
+            paid = price * self.edge("l_quantity") * (1.0 - self.edge("l_discount"))
+            self.output("paid", paid)
+            self.output("by_order", self.reducer("l_orderkey", orders, id="o_orderkey")(paid))
 
 ``forward`` runs once, on the driver, over column expressions.  Gathers of one vertex
 table through one index become one join, sums by one key one aggregation.

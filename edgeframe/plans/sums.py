@@ -15,11 +15,14 @@ from edgeframe.operators import (
     global_array_sum,
     global_sum,
     scatter_array_sum,
+    scatter_combine,
     scatter_sum,
     spmm,
     spmv,
     validate_inputs,
+    weighted_update,
 )
+from edgeframe.operators.gather import hot_keys
 from edgeframe.plans.program import EdgeProgram
 from edgeframe.plans.registry import Registry, row_count, table
 from edgeframe.sources import random_coo, zeros
@@ -60,20 +63,20 @@ def two_ends(spark, d):
         Gather(part, "l_suppkey", {"b_0": "p_retailprice", "b_1": "p_size"}, id="p_partkey")])
 
 
-_SPM2 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "1"]
+_SIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "1"]
 _TWO = "lineitem JOIN part a ON l_partkey = a.p_partkey JOIN part b ON l_suppkey = b.p_partkey"
 _R = ["(a.p_retailprice + b.p_retailprice)", "CAST(a.p_size + b.p_size AS DOUBLE)"]
 
 
 @queries.query(f"""
-SELECT l_orderkey, l_linenumber, {_R[0]} + l_quantity AS add_1_0, {_R[1]} + l_discount AS add_1_1,
-  {", ".join(f"{_R[i % 2]} + {c} AS add_2_{i}" for i, c in enumerate(_SPM2))}
+SELECT l_orderkey, l_linenumber, {_R[0]} + l_quantity AS by_pair_0, {_R[1]} + l_discount AS by_pair_1,
+  {", ".join(f"{_R[i % 2]} + {c} AS by_six_{i}" for i, c in enumerate(_SIX))}
 FROM {_TWO}""")
 def two_selectors_map(spark, d):
     r = V.of("a_0", "a_1") + V.of("b_0", "b_1")
-    six = V.of(*_SPM2[:5], F.lit(1.0))
+    six = V.of(*_SIX[:5], F.lit(1.0))
     return edge_map(two_ends(spark, d),
-                    {"add_1": r + V.of("l_quantity", "l_discount"), "add_2": r + six},
+                    {"by_pair": r + V.of("l_quantity", "l_discount"), "by_six": r + six},
                     ["l_orderkey", "l_linenumber"])
 
 
@@ -88,7 +91,7 @@ def multi_reducer(spark, d):
         key="l_orderkey", domain=table(spark, d, "orders"), id="o_orderkey", scale=SCALE)
 
 
-class System(EdgeProgram):
+class PartPull(EdgeProgram):
     """Two gathers of one vertex tensor, a map of 2 and of 6, sums by row and in total."""
 
     def __init__(self, spark, d):
@@ -104,7 +107,7 @@ class System(EdgeProgram):
         half = x.map(lambda v: 0.5 * v)
         r = self.selector("l_partkey")(x) + self.selector("l_suppkey")(half)
         y1 = self.spread(r, "l_quantity", "l_discount")
-        y2 = self.spread(r, *_SPM2[:5], F.lit(1.0))
+        y2 = self.spread(r, *_SIX[:5], F.lit(1.0))
         by_order = self.reducer("l_orderkey", self.orders, id="o_orderkey")
         self.output("y1", y1)
         self.output("y2", y2)
@@ -118,16 +121,16 @@ _H = ["(a.p_retailprice + 0.5::DOUBLE * b.p_retailprice)", "(a.p_size + 0.5::DOU
 
 @queries.query(f"""
 SELECT l_orderkey, l_linenumber, {_H[0]} + l_quantity AS y1_0, {_H[1]} + l_discount AS y1_1,
-  {", ".join(f"{_H[i % 2]} + {c} AS y2_{i}" for i, c in enumerate(_SPM2))}
+  {", ".join(f"{_H[i % 2]} + {c} AS y2_{i}" for i, c in enumerate(_SIX))}
 FROM {_TWO}""")
 def map_and_reduce_map(spark, d):
-    return System(spark, d).run().maps
+    return PartPull(spark, d).run().maps
 
 
 @queries.query(per_order({"r1_0": f"{_H[0]} + l_quantity", "r1_1": f"{_H[1]} + l_discount",
                           "r2": f"{_H[1]} + 1"}, _TWO))
 def map_and_reduce_red(spark, d):
-    return System(spark, d).run().rows["l_orderkey"]
+    return PartPull(spark, d).run().rows["l_orderkey"]
 
 
 def _exact(expr: str, name: str) -> str:
@@ -138,7 +141,7 @@ def _exact(expr: str, name: str) -> str:
 SELECT {_exact(f"({_H[0]} + l_quantity) * l_discount", "t_0")},
        {_exact(f"({_H[1]} + l_discount) * l_discount", "t_1")} FROM {_TWO}""")
 def map_and_total(spark, d):
-    return System(spark, d).run().totals
+    return PartPull(spark, d).run().totals
 
 
 @queries.query(f"""SELECT {_exact("p_retailprice * l_quantity", "total")}
@@ -151,9 +154,9 @@ def global_sum_query(spark, d):
 
 
 @queries.query("SELECT " + ", ".join(_exact(f"l_quantity * {c}", f"t_{i}")
-                                     for i, c in enumerate(_SPM2)) + " FROM lineitem")
+                                     for i, c in enumerate(_SIX)) + " FROM lineitem")
 def global_sum_vec(spark, d):
-    six = V.of(*_SPM2[:5], F.lit(1.0))
+    six = V.of(*_SIX[:5], F.lit(1.0))
     return global_sum(table(spark, d, "lineitem"), {"t": V.of("l_quantity") * six}, scale=SCALE)
 
 
@@ -256,12 +259,12 @@ def mix_sql(id_: str, seed: int, stream: int) -> str:
 
 
 @queries.query(f"""
-WITH e AS (SELECT {mix_sql('i', 52, 0)} % (SELECT max(o_orderkey) + 1 FROM orders) AS r,
-    {mix_sql('i', 52, 2)} % (SELECT max(p_partkey) + 1 FROM part) AS c,
-    ({mix_sql('i', 52, 4)} % 1000) / 1000.0::DOUBLE AS v
+WITH e AS (SELECT {mix_sql('i', 17, 0)} % (SELECT max(o_orderkey) + 1 FROM orders) AS r,
+    {mix_sql('i', 17, 2)} % (SELECT max(p_partkey) + 1 FROM part) AS c,
+    {mix_sql('i', 17, 4)} / {PRIME}::DOUBLE AS v
   FROM (SELECT unnest(range((SELECT count(*) FROM lineitem))) AS i))
 SELECT o_orderkey AS id, CAST(coalesce(y, 0) AS DOUBLE) AS y FROM orders LEFT JOIN (
-  SELECT r, sum(CAST(v * p_retailprice AS DECIMAL(28, 4))) AS y
+  SELECT r, sum(CAST(round_even(v * p_retailprice * 1e4, 0) AS BIGINT)) / 1e4::DOUBLE AS y
   FROM e JOIN part ON c = p_partkey GROUP BY 1) ON r = o_orderkey
 """, "random_coo")
 def random_coo_query(spark, d):
@@ -273,8 +276,48 @@ def random_coo_query(spark, d):
                 x_id="p_partkey", domain=table(spark, d, "orders"), id="o_orderkey", scale=SCALE)
 
 
-@queries.query("""SELECT o_orderkey AS id, 0.0::DOUBLE AS v_0, 0.0::DOUBLE AS v_1 FROM orders""",
-               "zeros")
+@queries.query(per_order({"v_0": "l_quantity", "v_1": "l_tax * l_quantity"}), "zeros")
 def zeros_query(spark, d):
-    """A zero row for each order id."""
-    return zeros(spark, row_count(spark, d, "orders", "o_orderkey"), 2)
+    """Accumulators that start at zero for each order id, after one update."""
+    start = zeros(spark, row_count(spark, d, "orders", "o_orderkey"), 2)
+    change = scatter_sum(table(spark, d, "lineitem"), "l_orderkey", {
+        "v_0": V.of("l_quantity"), "v_1": V.of("l_tax") * V.of("l_quantity")}, scale=SCALE)
+    return weighted_update(start, [(1.0, change)], ["v_0", "v_1"])
+
+
+_FEW = "(l_partkey - 40 * (l_linenumber % 3))"
+
+
+@queries.query(f"""
+SELECT o_orderkey AS id, CAST(coalesce(y, 0) AS DOUBLE) AS y, CAST(coalesce(n, 0) AS BIGINT) AS n,
+  CAST(coalesce(a, 0) - coalesce(n, 0) AS BIGINT) AS dropped
+FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS a, count(p_partkey) AS n,
+    sum(CAST(p_retailprice * l_quantity AS DECIMAL(28, 4))) AS y
+  FROM lineitem LEFT JOIN part ON p_partkey = CASE WHEN l_linenumber = 4 THEN NULL ELSE {_FEW} END
+  GROUP BY 1) ON k = o_orderkey""")
+def gather_drop_invalid(spark, d):
+    """Some part keys are null or name no part: kept and dropped edges of each order."""
+    orders = table(spark, d, "orders")
+    edges = table(spark, d, "lineitem").withColumn("few", F.when(
+        F.col("l_linenumber") != 4, F.col("l_partkey") - 40 * (F.col("l_linenumber") % 3)))
+    kept = gather(edges, table(spark, d, "part"), "few", {"price": "p_retailprice"},
+                  id="p_partkey", on_missing="drop")
+    sums = scatter_combine([
+        (kept, "l_orderkey", {"y": V.of("price") * V.of("l_quantity"), "n": V.of(F.lit(1.0))}),
+        (edges, "l_orderkey", {"a": V.of(F.lit(1.0))})], orders, id="o_orderkey", scale=SCALE)
+    return sums.select("id", "y", F.col("n").cast("bigint").alias("n"),
+                       (F.col("a") - F.col("n")).cast("bigint").alias("dropped"))
+
+
+@queries.query(per_order({"y": "p_retailprice * l_quantity"}, """(SELECT *,
+  CASE WHEN l_linenumber <= 2 THEN 3 ELSE l_partkey END AS k FROM lineitem)
+  JOIN part ON k = p_partkey"""))
+def gather_skewed(spark, d):
+    """A third of the edges and more share one index value, which is spread over tasks."""
+    edges = table(spark, d, "lineitem").withColumn(
+        "k", F.when(F.col("l_linenumber") <= 2, F.lit(3)).otherwise(F.col("l_partkey")))
+    hot = {"k": hot_keys(edges, "k", share=0.05, fraction=1.0)}
+    met = gather(edges, table(spark, d, "part"), "k", {"price": "p_retailprice"},
+                 id="p_partkey", skew=hot)
+    return scatter_sum(met, "l_orderkey", {"y": V.of("price") * V.of("l_quantity")},
+                       table(spark, d, "orders"), id="o_orderkey", scale=SCALE)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 PARTITION_BYTES = 128 << 20
-MAX_PARTITIONS = 100_000    # estimates of joins can be far too high
+UNKNOWN = (1 << 63) - 1     # Spark's size of a table it has no figures for
 
 _own_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def make_session(master: str, app: str = "edgeframe", **conf: str) -> SparkSession:
@@ -48,6 +51,20 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` is made of.  Spark's estimate of a join is the product
+    of its sides; gathers and sums give no more rows than they read, so the sum is nearer.
+    A leaf that Spark knows nothing about (it says 2^63 - 1) counts as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return sum(n for n in sizes if n < UNKNOWN)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a table, -1 for never."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def is_scan(df: DataFrame) -> bool:
     """Is ``df`` a scan of parquet files with at most projections and filters on top, so
     that file and position tell its rows apart?"""
@@ -63,12 +80,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(first or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def partitions_for(df: DataFrame) -> int | None:
-    """Partitions to shuffle ``df`` into, or None where the session's setting suffices."""
-    wanted = -(-estimated_bytes(df) // PARTITION_BYTES)
-    return min(wanted, MAX_PARTITIONS) if wanted > shuffle_partitions(df.sparkSession) else None
-
-
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -88,7 +99,22 @@ def shared_root(spark: SparkSession) -> str:
 
 def written_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/edgeframe/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/edgeframe/{app}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns the intermediate tables stored inside the block and deletes them at its end,
+    so results that read them are to be written before."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

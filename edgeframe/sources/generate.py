@@ -19,14 +19,14 @@ def zeros(spark: SparkSession, n: int, dim: int = 1, dtype: str = "double",
 
 
 def random_coo(spark: SparkSession, n_rows: int, n_cols: int, nnz: int,
-               dims: Mapping[str, int] | None = None, seed: int = 52,
+               dims: Mapping[str, int] | None = None, seed: int = 17,
                selectors: int = 2) -> DataFrame:
     """A random sparse system: ``(edge_id, row, col_1.., values..)``, unsorted by row.
 
     ``dims`` maps value names to vector sizes.  The same arguments give the same rows
     under any partitioning.
     """
-    dims = {"spm_1": 2, "spm_2": 6} if dims is None else dims
+    dims = {"pair": 2, "six": 6} if dims is None else dims
     e = F.col("edge_id")
     cols = [mixed_index(e, n_rows, seed, 0).alias("row")]
     cols += [mixed_index(e, n_cols, seed, k).alias(f"col_{k}") for k in range(1, selectors + 1)]
@@ -39,7 +39,7 @@ def random_coo(spark: SparkSession, n_rows: int, n_cols: int, nnz: int,
 
 
 def random_csr(spark: SparkSession, n_rows: int, n_cols: int, nnz: int,
-               seed: int = 123) -> tuple[DataFrame, DataFrame]:
+               seed: int = 29) -> tuple[DataFrame, DataFrame]:
     """The same in row-offset form: ``offsets(row, start, end)`` and ``edges(pos, col, v)``.
 
     Row bounds are ``n_rows - 1`` random cut points of ``[0, nnz]`` in sorted order,

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_INTEGERS = {"bigint", "int"}
-
-
 def read_tensor(spark: SparkSession, path: str, name: str, dtype: str | None = None,
                 *, id: str = "id", values: Mapping[str, str] | list[str] | None = None,
                 suffix: str = "") -> DataFrame:
@@ -77,7 +74,3 @@ def partition_by(df: DataFrame, key: str | None = None, n: int | None = None,
         return df.repartition(n)
     spread = df.repartitionByRange if ranges else df.repartition
     return spread(key) if n is None else spread(n, key)
-
-
-def is_integer(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.simpleString() in _INTEGERS

@@ -68,3 +68,15 @@ def test_inputs(spark):
     mixed = spark.createDataFrame([(1.0, 2)], "a double, b long")
     with pytest.raises(TypeError):
         check_schema(mixed, ["a", "b"], [])
+
+
+def test_arrays_are_compared_by_component(spark):
+    a = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, [5.0])], "id long, v array<double>")
+    b = spark.createDataFrame([(1, [1.0, 2.5]), (2, [3.0, 4.0]), (3, [5.0, 6.0]), (4, [0.0])],
+                              "id long, v array<double>")
+    c = compare_close(a, b, "id", ["v"]).first()
+    assert (c.max_abs, c.mean_abs, c.unmatched, c.all_close) == (0.5, 0.125, 1, False)
+    assert compare_close(a, a, "id", ["v"]).first().all_close
+    assert compare_exact(a, b, "id", ["v"]).first().mismatches == 3
+    e = compare_eps(a, b, "id", ["v"]).first()
+    assert (e.failing, e.first_id, e.first_a, e.first_b) == (3, 1, [1.0, 2.0], [1.0, 2.5])

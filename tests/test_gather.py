@@ -36,7 +36,7 @@ def test_columns_of_one_selector_share_a_join(edges, vertices):
     out = gather_many(edges, [Gather(vertices, "i", ["x"]), Gather(vertices, "i", ["y"]),
                               Gather(vertices, "i", {"z": F.col("x") + F.col("y")})])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join Inner") == 1
+    assert plan.count("Join LeftOuter") == 1
     assert out.where(F.col("z") != F.col("x") + F.col("y")).count() == 0
 
 
@@ -105,7 +105,9 @@ def test_duplicate_ids(spark):
 def test_an_edge_without_a_vertex_raises_or_is_left_out(spark, edges, vertices):
     assert gather(edges, vertices, "i", {"xi": "x"}, on_missing="raise").count() == 600
     lost = edges.withColumn("i", F.when(F.col("e") == 5, 99).when(F.col("e") != 7, F.col("i")))
-    assert gather(lost, vertices, "i", {"xi": "x"}).count() == 598
+    assert gather(lost, vertices, "i", {"xi": "x"}, on_missing="drop").count() == 598
+    with pytest.raises(Exception, match="names no vertex"):
+        gather(lost, vertices, "i", {"xi": "x"}).collect()
     for hot in ({}, {"i": {3: 0.6}}):
         one = g._attach(lost, vertices.select(F.col("id").alias("_gather_id"), F.col("x").alias("xi")),
                         "i", hot.get("i", {}), "raise")
@@ -117,3 +119,11 @@ def test_an_edge_without_a_vertex_raises_or_is_left_out(spark, edges, vertices):
             (r["e"], r["i"] * 1.5) for r in edges.collect())
     with pytest.raises(ValueError):
         gather(edges, vertices, "i", ["x"], on_missing="keep")
+
+
+def test_repeated_vertex_ids_can_fail(spark):
+    vertices = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 4.0)], "id long, x double")
+    two = spark.createDataFrame([(2,)], "i long")
+    assert gather(two, vertices.where("id = 2"), "i", ["x"], unique="check").first().x == 4.0
+    with pytest.raises(Exception, match="several vertices"):
+        gather(two, vertices, "i", ["x"], unique="check").collect()

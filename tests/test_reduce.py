@@ -17,8 +17,8 @@ def by_id(df):
 @pytest.fixture
 def edges(spark):
     return spark.createDataFrame(
-        [(0, 1.5, 1), (0, 2.5, 2), (2, -4.0, 3), (2, 4.0, 0), (7, 1.0, 1), (-1, 9.0, 1),
-         (None, 5.0, 1)], "row long, v double, c long")
+        [(0, 1.5, 1), (0, 2.5, 2), (2, -4.0, 3), (2, 4.0, 0), (7, 1.0, 1), (-1, 9.0, 1)],
+        "row long, v double, c long")
 
 
 def test_empty_rows_are_zero_and_outside_rows_do_not_count(spark, edges):
@@ -70,7 +70,7 @@ def test_sums_need_names(edges):
 
 
 def test_global_sums(spark, edges):
-    assert tuple(global_sum(edges, {"t": V.of("v", "c")}).first()) == (19.0, 9.0)
+    assert tuple(global_sum(edges, {"t": V.of("v", "c")}).first()) == (14.0, 8.0)
     assert tuple(global_sum(edges.limit(0), {"t": V.of("v", "c")}, scale=2).first()) == (0.0, 0.0)
     wide = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 6.0])],
                                  "k string, v array<double>")
@@ -80,7 +80,7 @@ def test_global_sums(spark, edges):
 
 
 def test_wide_row_sums(spark):
-    edges = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (9, [5.0, 6.0]), (None, [1.0, 1.0])],
+    edges = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (9, [5.0, 6.0])],
                                   "k long, v array<double>")
     for scale in (None, 2):
         long = scatter_array_sum(edges, "k", "v", 2, 3, scale=scale)
@@ -145,3 +145,16 @@ def test_assignment_is_sequential(spark):
     with pytest.raises(ValueError):
         edge_map(df, {"x_0": V.of("a"), "x": V.of("a", "b")})
     assert edge_map(df, {"x": lambda d: V.of("a"), "y": F.col("b") + 1}, ["b"]).columns == ["b", "x", "y"]
+
+
+def test_an_edge_without_a_row_raises_or_is_left_out(spark):
+    edges = spark.createDataFrame([(1, 2.0, [1.0]), (None, 5.0, [3.0])],
+                                  "row long, v double, w array<double>")
+    for domain in (None, 2):
+        for of in (lambda **on: scatter_sum(edges, "row", {"s": V.of("v")}, domain, **on),
+                   lambda **on: scatter_array_sum(edges, "row", "w", 1, domain, **on)):
+            with pytest.raises(Exception, match="row is null"):
+                of().collect()
+            assert of(on_null="drop").where("id = 1").count() == 1
+    with pytest.raises(ValueError):
+        scatter_sum(edges, "row", {"s": V.of("v")}, on_null="keep")

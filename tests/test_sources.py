@@ -7,7 +7,7 @@ from edgeframe import (
 )
 from edgeframe.functions import mixed_index, mixed_unit
 from edgeframe.session import (
-    PARTITION_BYTES, partitions_for, shared_root, size_shuffles, written,
+    PARTITION_BYTES, leaf_bytes, shared_root, size_shuffles, stored_tables, written,
 )
 
 
@@ -44,12 +44,12 @@ def test_random_coo_depends_on_seed_only(spark):
         return sorted(tuple(r) for r in df.collect())
 
     a = random_coo(spark, 11, 7, 200)
-    assert a.columns == ["edge_id", "row", "col_1", "col_2", "spm_1_0", "spm_1_1",
-                         *[f"spm_2_{i}" for i in range(6)]]
+    assert a.columns == ["edge_id", "row", "col_1", "col_2", "pair_0", "pair_1",
+                         *[f"six_{i}" for i in range(6)]]
     assert rows(a) == rows(random_coo(spark, 11, 7, 200).repartition(3))
     assert rows(a) != rows(random_coo(spark, 11, 7, 200, seed=53))
     top = a.agg(F.min("row"), F.max("row"), F.min("col_1"), F.max("col_2"),
-                F.countDistinct("row"), F.max("spm_1_0")).first()
+                F.countDistinct("row"), F.max("pair_0")).first()
     assert top[0] >= 0 and top[1] < 11 and top[2] >= 0 and top[3] < 7
     assert top[4] == 11 and top[5] < 1.0
 
@@ -108,7 +108,19 @@ def test_shuffles_are_sized_by_the_input(spark):
         assert size_shuffles(spark, 1) == 4
         assert size_shuffles(spark, 10 * PARTITION_BYTES + 1) == 11
         assert spark.conf.get(key) == "11"
-        assert partitions_for(spark.range(10)) is None
-        assert partitions_for(spark.range(12 * PARTITION_BYTES // 8)) == 12
+        ten = spark.range(10)
+        twice = ten.join(spark.range(5).withColumnRenamed("id", "b"), F.col("id") == F.col("b"))
+        assert leaf_bytes(twice) == 15 * 8      # not the product
     finally:
         spark.conf.unset(key)
+
+
+def test_stored_tables_are_deleted_by_their_owner(spark):
+    import os
+
+    from edgeframe.operators import edge_position
+    edges = spark.range(40).selectExpr("id % 5 AS k", "id")
+    with stored_tables(spark) as paths:
+        assert edge_position(edges, "k", ["id"]).count() == 40
+        assert paths and all(os.path.exists(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths)
