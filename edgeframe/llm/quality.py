@@ -3,13 +3,12 @@
 Every document is a histogram over character classes and one over common words.  Both are
 compared with references, one per language of the labelled documents, by Jensen-Shannon
 distance.  A document that is far from every reference is rejected, unless it is too short
-to tell.  The references are sums over all labelled documents.
+to tell.  The references are sums over all labelled documents, and so is the histogram of
+their word distances, which says from where on a document is far by its words.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from edgeframe.llm.common import SPACES, free_name, words
@@ -21,11 +20,14 @@ CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": "[
            "stop": "[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>@^_~=+/{}\\[\\]\\\\`]+"}
 SHORT = 5           # a common word has so many characters at most
 COMMON = 24         # common words of a reference
-LEAST_SHARE = 0.01  # of the labelled documents, for a reference: so there are 100 at most
 MIN_WORDS = 50      # fewer: the histograms say too little, the document is kept
 MIN_CHARS = 300
-FAR_CHARS = 0.28    # Jensen-Shannon distances (base 2, 0 to 1) from which on a document
-FAR_WORDS = 0.80    # is far from a reference
+FAR_CHARS = 0.28    # Jensen-Shannon distance (base 2, 0 to 1) from which on a document is far
+LEAST_SHARE = 0.01  # of the labelled documents, for a reference
+# Words are far from the upper fence of the labelled documents on (third quartile and FENCE
+# times the quartiles' distance), within these limits: without common words it is 1.
+FENCE, FAR_WORDS = 1.5, (0.6, 0.95)
+BINS = 1000         # of the histogram that gives the quartiles
 MIN_N, MAX_REPEAT = 50, 50      # base rules: words, per cent of words in repeated windows
 
 
@@ -88,29 +90,31 @@ def features(docs: DataFrame, text: str, id: str, lang: str) -> DataFrame:
              *[f"c_{c}" for c in CLASSES])
 
 
-def references(rows: DataFrame) -> list[dict]:
-    """Per language: shares of the character classes (the last is all other characters),
-    and of its common words.  At most ``1 / LEAST_SHARE`` languages, so the result is small
-    whatever the size of the corpus."""
+def references(rows: DataFrame) -> DataFrame:
+    """One row per language with labelled words: ``classes``, shares of the character classes
+    (the last is all other characters), ``words``, shares of its common words among
+    themselves, and ``q_all``, their share of all words."""
     labelled = rows.where(F.col("lang").isNotNull())
+    total = labelled.agg(F.count("*").alias("every"))
     sums = labelled.groupBy("lang").agg(
         F.count("*").alias("docs"), F.sum("n_words").alias("n"), F.sum("n_chars").alias("chars"),
-        *[F.sum(f"c_{c}").alias(c) for c in CLASSES])
-    total = labelled.agg(F.count("*").alias("every"))
-    known = (sums.join(F.broadcast(total), F.col("docs") >= F.col("every") * LEAST_SHARE)
-             .where((F.col("n") > 0) & (F.col("chars") > 0)).drop("every"))
+        *[F.sum(f"c_{c}").alias(c) for c in CLASSES]).where(
+            (F.col("n") > 0) & (F.col("chars") > 0)).join(
+            F.broadcast(total), F.col("docs") >= F.col("every") * LEAST_SHARE)
     common = (labelled.select("lang", F.explode("short").alias("word"))
               .groupBy("lang", "word").agg(F.count("*").alias("n"))
               .withColumn("rank", F.row_number().over(
                   Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")))
               .where(F.col("rank") <= COMMON)      # each task passes on so many at most
-              .groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("common")))
-    out = []
-    for r in sorted(known.join(common, "lang", "left").collect(), key=lambda r: r["lang"]):
-        shares = [r[c] / r["chars"] for c in CLASSES]
-        out.append({"lang": r["lang"], "classes": [*shares, max(0.0, 1 - sum(shares))],
-                    "words": {x["word"]: x["n"] / r["n"] for x in r["common"] or []}})
-    return out
+              .groupBy("lang").agg(F.sum("n").alias("n_common"),
+                                   F.collect_list(F.struct("word", "n")).alias("common")))
+    shares = [F.col(c) / F.col("chars") for c in CLASSES]
+    q = F.transform("common", lambda x: F.struct(x["word"], x["n"] / F.col("n_common")))
+    return sums.join(common, "lang", "left").select(
+        "lang", F.array(*shares, F.greatest(
+            F.lit(1.0) - sum(shares[1:], shares[0]), F.lit(0.0))).alias("classes"),
+        F.coalesce(F.map_from_entries(q), F.create_map().cast("map<string,double>")).alias("words"),
+        F.coalesce(F.col("n_common") / F.col("n"), F.lit(0.0)).alias("q_all"))
 
 
 def divergence_term(p: Column, q: Column) -> Column:
@@ -124,31 +128,46 @@ def distance(twice: Column) -> Column:
     return F.sqrt(F.greatest(twice / 2, F.lit(0.0)))
 
 
-def char_distance(ref: dict) -> Column:
+def char_distance(ref: Column) -> Column:
     named = [F.col(f"c_{c}") / F.col("n_chars") for c in CLASSES]
     shares = [*named, F.greatest(F.lit(1.0) - sum(named[1:], named[0]), F.lit(0.0))]
-    terms = [divergence_term(p, F.lit(float(q))) for p, q in zip(shares, ref["classes"])]
+    terms = [divergence_term(p, F.get(ref["classes"], F.lit(k))) for k, p in enumerate(shares)]
     return distance(sum(terms[1:], terms[0]))
 
 
-def word_distance(ref: dict, found: Column, n: Column) -> Column:
-    """``found``: array of (word, count) of the document.  A common word that it lacks adds
-    its share of the reference, so only words that it has are looked up."""
-    vocab = F.create_map(*[F.lit(x) for pair in ref["words"].items() for x in pair])
+def word_distance(ref: Column, found: Column, n: Column) -> Column:
+    """``found``: array of (word, count) of the document.  Only the common words of the
+    reference are bins, in shares of the common words it leads one to expect; what the
+    document lacks of them is a bin of its own, so a document without any has distance 1.
+    A common word that it lacks adds its share of the reference, so only words that it has
+    are looked up."""
     mine = F.filter(F.transform(found, lambda x: F.struct(
-        (x["n"] / n).alias("p"), F.element_at(vocab, x["word"]).alias("q"))),
+        (x["n"] / n).alias("p"), F.element_at(ref["words"], x["word"]).alias("q"))),
         lambda x: x["q"].isNotNull())
-    q_all = math.fsum(ref["words"].values())
 
     def total(bins: Column) -> Column:
         p_all = F.aggregate(bins, F.lit(0.0), lambda a, x: a + x["p"])
-        seen = F.aggregate(bins, F.lit(0.0),
-                           lambda a, x: a + divergence_term(x["p"], x["q"]) - x["q"])
-        other = divergence_term(F.greatest(F.lit(1.0) - p_all, F.lit(0.0)),
-                                F.lit(max(0.0, 1 - q_all)))
-        return distance(F.lit(q_all) + seen + other)
+        return _let(F.struct(p_all.alias("p"), F.greatest(p_all, ref["q_all"]).alias("of")),
+                    lambda s: distance(F.aggregate(
+                        bins, F.lit(2.0) - s["p"] / s["of"],
+                        lambda a, x: a + divergence_term(x["p"] / s["of"], x["q"]) - x["q"])))
 
-    return _let(mine, total)
+    # No common words to miss: such a language tells by its characters alone.
+    return F.when(ref["q_all"] > 0, _let(mine, total)).when(
+        char_distance(ref) < FAR_CHARS, F.lit(0.0))
+
+
+def far_words(labelled: DataFrame) -> float:
+    """Word distance from which on a document is far: the upper fence of ``labelled``."""
+    bins = sorted((r["bin"], r["count"]) for r in labelled.groupBy(F.floor(
+        F.col("word_distance") * BINS).alias("bin")).count().collect())     # BINS + 1 at most
+    every, seen, quartiles = sum(n for _, n in bins), 0, []
+    for at, n in bins:
+        seen += n
+        while len(quartiles) < 2 and 4 * seen >= (1 + 2 * len(quartiles)) * every:
+            quartiles.append((at + 1) / BINS)
+    low, high = quartiles or (1.0, 1.0)
+    return min(max(high + FENCE * (high - low), FAR_WORDS[0]), FAR_WORDS[1])
 
 
 def histogram(short: Column, vocabulary: list[str]) -> Column:
@@ -166,29 +185,35 @@ def quality(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     ``kept`` is false for documents that fail a base rule, and for documents of at least
     ``MIN_WORDS`` words and ``MIN_CHARS`` characters whose classes are ``FAR_CHARS`` or
-    more from every reference, or whose common words are ``FAR_WORDS`` or more.  The
-    language of a document is used for references only.  Null and empty texts have no
-    words and fail.  Without labelled documents there is nothing to be far from.  Rows are
-    independent once the references stand; an empty table gives no rows.
+    more from every reference, or whose common words are ``far_words`` or more.  The
+    language of a document is used for
+    references and that bound only.  Null and empty texts have no words and fail.  Without
+    labelled documents there is nothing to be far from.  Rows are independent once the
+    references stand; an empty table gives no rows.
     """
     rows = written(features(docs, text, id, lang), "features")
-    refs = references(rows)
-    out = rows.withColumn("base_failed", (F.col("n_words") < MIN_N) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    none = F.lit(0.0)
-    by_char, by_word = none, none
-    if refs:
-        vocabulary = sorted({w for r in refs for w in r["words"]})
-        by_char = F.array_min(F.array(*[char_distance(r) for r in refs]))
-        with_words = [r for r in refs if r["words"]]
-        if with_words:
-            by_word = _let(histogram(F.col("short"), vocabulary), lambda h: F.array_min(
-                F.array(*[word_distance(r, h, F.col("n_words")) for r in with_words])))
+    refs = written(references(rows), "references")
+    vocabulary = sorted(r[0] for r in refs.select(
+        F.explode(F.map_keys("words"))).distinct().collect())       # COMMON a language at most
+    every = refs.agg(F.collect_list(F.struct("classes", "words", "q_all")).alias("refs"))
+    base_failed = (F.col("n_words") < MIN_N) | (
+        100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     judged = (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
-    out = out.withColumn("char_distance", F.when(judged, by_char)) \
-        .withColumn("word_distance", F.when(judged, by_word)).drop("short")
+
+    def least(of) -> Column:
+        # No reference at all: nothing to be far from.  None that tells by words: far.
+        none = F.when(F.size("refs") > 0, 1.0).otherwise(0.0)
+        return F.when(judged, F.coalesce(F.array_min(F.transform("refs", of)), none))
+
+    by_word = _let(histogram(F.col("short"), vocabulary), lambda h: least(
+        lambda r: word_distance(r, h, F.col("n_words"))))
+    out = written(rows.withColumn("base_failed", base_failed).crossJoin(F.broadcast(every))
+                  .withColumn("char_distance", least(char_distance))
+                  .withColumn("word_distance", by_word).drop("short", "refs"), "distances")
+    far = far_words(out.where(F.col("lang").isNotNull() & ~F.col("base_failed")
+                              & F.col("word_distance").isNotNull()))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(
-        (F.col("char_distance") >= FAR_CHARS) | (F.col("word_distance") >= FAR_WORDS),
+        (F.col("char_distance") >= FAR_CHARS) | (F.col("word_distance") >= far),
         F.lit(False)))
 
 
