@@ -23,7 +23,6 @@ COMMON = 24         # common words of a reference
 MIN_WORDS = 50      # fewer: the histograms say too little, the document is kept
 MIN_CHARS = 300
 FAR_CHARS = 0.28    # Jensen-Shannon distance (base 2, 0 to 1) from which on a document is far
-LEAST_SHARE = 0.01  # of the labelled documents, for a reference
 # Words are far from the upper fence of the labelled documents on (third quartile and FENCE
 # times the quartiles' distance), within these limits: without common words it is 1.
 FENCE, FAR_WORDS = 1.5, (0.6, 0.95)
@@ -95,12 +94,9 @@ def references(rows: DataFrame) -> DataFrame:
     (the last is all other characters), ``words``, shares of its common words among
     themselves, and ``q_all``, their share of all words."""
     labelled = rows.where(F.col("lang").isNotNull())
-    total = labelled.agg(F.count("*").alias("every"))
     sums = labelled.groupBy("lang").agg(
-        F.count("*").alias("docs"), F.sum("n_words").alias("n"), F.sum("n_chars").alias("chars"),
-        *[F.sum(f"c_{c}").alias(c) for c in CLASSES]).where(
-            (F.col("n") > 0) & (F.col("chars") > 0)).join(
-            F.broadcast(total), F.col("docs") >= F.col("every") * LEAST_SHARE)
+        F.sum("n_words").alias("n"), F.sum("n_chars").alias("chars"),
+        *[F.sum(f"c_{c}").alias(c) for c in CLASSES]).where((F.col("n") > 0) & (F.col("chars") > 0))
     common = (labelled.select("lang", F.explode("short").alias("word"))
               .groupBy("lang", "word").agg(F.count("*").alias("n"))
               .withColumn("rank", F.row_number().over(
@@ -185,8 +181,8 @@ def quality(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     ``kept`` is false for documents that fail a base rule, and for documents of at least
     ``MIN_WORDS`` words and ``MIN_CHARS`` characters whose classes are ``FAR_CHARS`` or
-    more from every reference, or whose common words are ``far_words`` or more.  The
-    language of a document is used for
+    more from every reference, or whose common words are ``far_words`` or more.  Every
+    labelled language is a reference, however rare.  The language of a document is used for
     references and that bound only.  Null and empty texts have no words and fail.  Without
     labelled documents there is nothing to be far from.  Rows are independent once the
     references stand; an empty table gives no rows.

@@ -28,8 +28,9 @@ def classes(text):
     return [*found, len(text) - sum(found)]
 
 
-def test_distances(spark):
+def test_distances_and_rare_languages(spark):
     rows = [(k, prose("en"), "en") for k in range(300)]
+    rows += [(300, prose("el"), "el"), (301, prose("el"), "el")]       # under 1 per cent
     rows += [(400 + k, " ".join("".join(g.choice("abcdefghilmnoprstu") for _ in range(
         g.randint(2, 10))) for _ in range(120)), None) for k in range(5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
