@@ -29,8 +29,8 @@ _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
 _dotted = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+").finditer
 _digits = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
-_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-                   r"(?![A-Za-z0-9])").finditer
+_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})").search
+_no_more = re.compile(r"(?![A-Za-z0-9])").match
 _ssn = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])").finditer
 _separators = str.maketrans("", "", " -().+")
 
@@ -47,6 +47,18 @@ _near = {k: re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, w)) + r")").s
          for k, w in WORDS.items()}
 PRIOR = {"email": 0.6, "ip": 0.5, "card": 0.6, "phone": 0.5, "iban": 0.6, "ssn": 0.2}
 
+# Characters of an IBAN by country.
+IBAN = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()
+    for c in cs.split()}
+_groups = {n: re.compile("(?: ?[A-Z0-9]{4}){%d}" % ((n - 4) // 4)
+                         + ("(?: ?[A-Z0-9]{%d})" % (n % 4) if n % 4 else "")).match
+           for n in range(15, 35)}
+
 
 @dataclass(frozen=True)
 class Span:
@@ -112,10 +124,21 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _iban(text):
-        code = m.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    """A country has one length; for others all are tried, the longest first.  Behind an
+    IBAN the search goes on at its end, else behind the country and check digits."""
+    m = _iban(text)
+    while m:
+        start = m.start()
+        known = IBAN.get(text[start:start + 2])
+        at = m.end()
+        for n in [known] if known else range(34, 14, -1):
+            rest = _groups[n](text, m.end())
+            if rest and _no_more(text, rest.end()) \
+                    and mod97(text[start:rest.end()].replace(" ", "")):
+                at = rest.end()
+                yield start, at
+                break
+        m = _iban(text, at)
 
 
 def ssns(text: str) -> Iterator[tuple[int, int]]:
