@@ -172,8 +172,15 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without texts of no language, learned from all of its labelled rows."""
+    """``docs`` without texts of no language, learned from all of its labelled rows.
+
+    Texts without letters go, and with ``least`` over 0 those whose cosine to every
+    language is under it.  Without labelled rows there is nothing to compare with, and all
+    texts with letters stay.
+    """
     pred, score = free_name(docs, "__lang"), free_name(docs, "__score")
-    kept = predict(docs, profiles(docs), pred=pred, score=score).where(
-        (F.col(pred) != NONE) & (F.col(score) >= least))
+    learned = profiles(docs)
+    near = F.col(score) >= least if learned else F.lit(True)
+    kept = predict(docs, learned or {"any": np.ones(DIM)}, pred=pred, score=score).where(
+        (F.col(pred) != NONE) & near)
     return kept.drop(pred, score)
