@@ -1,4 +1,4 @@
-"""One query per operator over the whole table ``documents``, and SQL where it can say it."""
+"""One query per operator over its whole table, and SQL where it can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeframe.llm import (bpe, exact, langid, mixing, pii, quality, shards, simhash,
+from edgeframe.llm import (bpe, chat, exact, langid, mixing, pii, quality, shards, simhash,
                            token_counts, token_files)
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,14 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "op9_mixing": mixing.op9,
     "op10_token_files": token_ids,
 }
-SQL = {"op5_exact_dedup": exact.SQL, "op9_mixing": mixing.SQL}
+CONVERSATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"op11_chat": chat.op11}
+SQL = {"op5_exact_dedup": exact.SQL, "op9_mixing": mixing.SQL, "op11_chat": chat.SQL}
 
 
-def _over_documents(of: Callable[[DataFrame], DataFrame]) -> Build:
-    return lambda spark, sf_dir: of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _over(table: str, of: Callable[[DataFrame], DataFrame]) -> Build:
+    return lambda spark, sf_dir: of(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def queries() -> dict[str, Build]:
-    return {name: _over_documents(of) for name, of in OPERATORS.items()}
+    return {name: _over("documents", of) for name, of in OPERATORS.items()} | {
+        name: _over("conversations", of) for name, of in CONVERSATIONS.items()}
