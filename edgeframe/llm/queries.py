@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeframe.llm import (bpe, chat, exact, langid, manifest, mixing, pii, quality, shards, simhash,
-                           token_counts, token_files)
+from edgeframe.llm import (bpe, chat, exact, langid, manifest, mixing, phrases, pii, quality,
+                           shards, simhash, token_counts, token_files)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -50,11 +50,12 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "op8_token_counts": count,
     "op9_mixing": mixing.op9,
     "op10_token_files": token_ids,
+    "op12_phrases": phrases.op12,
     "op13_manifest": manifest.op13,
 }
 CONVERSATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"op11_chat": chat.op11}
 SQL = {"op5_exact_dedup": exact.SQL, "op9_mixing": mixing.SQL, "op11_chat": chat.SQL,
-       "op13_manifest": manifest.SQL}
+       "op12_phrases": phrases.SQL, "op13_manifest": manifest.SQL}
 
 
 def _over(table: str, of: Callable[[DataFrame], DataFrame]) -> Build:
