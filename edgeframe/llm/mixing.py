@@ -98,7 +98,8 @@ def mix(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     goal = targets(rows, weights, share, most)
     upto = Window.partitionBy("source").orderBy("range")
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)) \
+        .cast("long")
     whole = (per_range.alias("r")
              .withColumn("upto", F.sum("words").over(upto))
              .join(goal.alias("b"), same)
