@@ -23,7 +23,11 @@ from edgeframe.llm.common import free_name, small_batches
 DIM = 1024
 NONE = "und"
 UNIT = 1e6              # weight of a text in a prototype; sums are of whole numbers
-LETTERS = 1 << 16       # letters beyond share vectors with others by their low bits
+SHIFT = 21              # bits of a letter in the code of a trigram
+SLICE = 4_096           # trigram vectors held at a time, 20 MB
+CHARS = 500_000         # characters taken apart at a time
+NOISE = 3 / DIM ** 0.5  # cosine that texts without a common trigram seldom reach
+SURE = 200              # characters of a text that can be told from noise
 
 
 @functools.lru_cache(maxsize=1)
@@ -39,22 +43,49 @@ def letter(code: int) -> np.ndarray:
     return 2 * bits - 1
 
 
-def trigrams(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, trigram code) of all trigrams of all texts, as two arrays.  Letters
-    are lower-cased; a run of anything else is one blank; a blank stands at either end."""
-    is_letter = letter_table()
-    lower = [f" {t.lower()} " if t else "  " for t in texts]
-    codes = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lower])
-    codes = np.where(is_letter[codes], np.maximum(codes & (LETTERS - 1), 1), 0).astype(np.int64)
-    blank = codes == 0
-    keep = np.ones(len(codes), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1] & (owner[1:] == owner[:-1]))
-    codes, owner = codes[keep], owner[keep]
-    if len(codes) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    whole = owner[2:] == owner[:-2]
-    return owner[2:][whole], (codes[:-2] << 32 | codes[1:-1] << 16 | codes[2:])[whole]
+def _codes(text: str) -> np.ndarray:
+    """Code points of letters, 0 for anything else."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.where(letter_table()[codes], codes, 0).astype(np.int64)
+
+
+def trigrams(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, trigram code) of all trigrams of all texts, in pairs of arrays of
+    bounded length.  Letters are lower-cased; a run of anything else is one blank; a blank
+    stands at either end."""
+    codes, owner, size = [], [], 0
+
+    def grams(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blank = c == 0
+        keep = np.ones(len(c), bool)
+        keep[1:] = ~(blank[1:] & blank[:-1] & (o[1:] == o[:-1]))
+        c, o = c[keep], o[keep]
+        whole = o[2:] == o[:-2]
+        return c, o[2:][whole], (c[:-2] << 2 * SHIFT | c[1:-1] << SHIFT | c[2:])[whole]
+
+    def waiting() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal size
+        if codes:
+            yield grams(np.concatenate(codes), np.concatenate(owner))[1:]
+        codes.clear(), owner.clear()
+        size = 0
+
+    for k, text in enumerate(texts):
+        low = f" {text.lower()} " if text else "  "
+        if len(low) <= CHARS:
+            codes.append(_codes(low))
+            owner.append(np.full(len(low), k))
+            size += len(low)
+        else:       # in pieces, each behind the last two letters or blanks before it
+            carry = np.empty(0, np.int64)
+            for at in range(0, len(low), CHARS):
+                c = np.concatenate([carry, _codes(low[at:at + CHARS])])
+                c, *found = grams(c, np.full(len(c), k))
+                yield tuple(found)
+                carry = c[-2:]
+        if size >= CHARS:
+            yield from waiting()
+    yield from waiting()
 
 
 def vectors(codes: np.ndarray) -> np.ndarray:
@@ -64,10 +95,34 @@ def vectors(codes: np.ndarray) -> np.ndarray:
         table = np.stack([np.roll(letter(int(c)), place) for c in used])
         return table[at]
 
-    if not len(codes):
-        return np.empty((0, DIM), np.int8)
-    low = LETTERS - 1
-    return of(codes >> 32, 2) * of(codes >> 16 & low, 1) * of(codes & low, 0)
+    low = (1 << SHIFT) - 1
+    made = of(codes >> 2 * SHIFT, 2)
+    made *= of(codes >> SHIFT & low, 1)
+    made *= of(codes & low, 0)
+    return made
+
+
+def bundles(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: the sum of its trigrams' vectors, the number of trigrams, and whether any
+    has a letter.  ``SLICE`` trigram vectors are held at a time."""
+    total = np.zeros((len(texts), DIM))
+    size = np.zeros(len(texts), np.int64)
+    some = np.zeros(len(texts), bool)
+    for owner, codes in trigrams(texts):
+        size += np.bincount(owner, minlength=len(texts))
+        some[owner[codes != 0]] = True
+        used, at = np.unique(codes, return_inverse=True)
+        pairs, n = np.unique(at * len(texts) + owner, return_counts=True)   # by trigram
+        at, owner = pairs // len(texts), pairs % len(texts)
+        for first in range(0, len(used), SLICE):
+            of_used = vectors(used[first:first + SLICE]).astype(np.float32)
+            begin, end = np.searchsorted(at, [first, first + SLICE])
+            order = np.argsort(owner[begin:end], kind="stable") + begin
+            mine, ends = at[order] - first, np.searchsorted(owner[order], np.arange(len(texts) + 1))
+            count = n[order].astype(np.float32)
+            for k in np.unique(owner[begin:end]).tolist():
+                total[k] += count[ends[k]:ends[k + 1]] @ of_used[mine[ends[k]:ends[k + 1]]]
+    return total, size, some
 
 
 def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -81,20 +136,16 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> dict
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
-            owner, codes = trigrams(texts)
-            used, at = np.unique(codes, return_inverse=True)
-            of_used = vectors(used).astype(np.float32)
-            # Every text weighs the same, so a single long one can't drown the others.
-            weight = UNIT / np.maximum(np.bincount(owner, minlength=len(texts)), 1)[owner]
-            for name in np.unique(langs):
-                mine = langs[owner] == name
-                n = np.bincount(at[mine], weight[mine], minlength=len(used))
-                sums[name] = sums.get(name, 0) + np.rint(
-                    n.astype(np.float32) @ of_used).astype(np.int64)
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            total, size, _ = bundles(texts)
+            # Every text weighs the same, so a single long one can't drown the others;
+            # rounded for itself, so it adds the same in any batch.
+            parts = np.rint(total * (UNIT / np.maximum(size, 1))[:, None]).astype(np.int64)
+            for name, part in zip(langs, parts):
+                sums[name] = sums.get(name, 0) + part
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([str(name)] * DIM), pa.array(np.arange(DIM, dtype=np.int32)),
+                [pa.array([name] * DIM), pa.array(np.arange(DIM, dtype=np.int32)),
                  pa.array(total)], ["lang", "at", "v"])
 
     known = docs.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull())
@@ -109,21 +160,13 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> dict
 
 def scores(texts: list, names: list[str], unit: np.ndarray) -> tuple[list, list]:
     """Language and score of each text.  ``unit``: prototypes of length 1, as columns."""
-    owner, codes = trigrams(texts)
-    used, at = np.unique(codes, return_inverse=True)
-    of_used = vectors(used).astype(np.float32)
-    pairs, n = np.unique(owner * max(1, len(used)) + at, return_counts=True)
-    owner, at = pairs // max(1, len(used)), pairs % max(1, len(used))
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    total, _, some = bundles(texts)
     langs, best = [], []
-    blank = np.flatnonzero(used == 0)
-    for k in range(len(texts)):
-        mine = at[ends[k]:ends[k + 1]]
-        if not len(names) or not len(np.setdiff1d(mine[:2], blank)):
+    for v, any_letter in zip(total, some):
+        if not len(names) or not any_letter:
             langs.append(NONE)
             best.append(0.0)
             continue
-        v = n[ends[k]:ends[k + 1]].astype(np.float32) @ of_used[mine]
         cos = v @ unit / max(float(np.linalg.norm(v)), 1e-9)
         top = int(np.argmax(cos))
         langs.append(names[top])
@@ -171,16 +214,20 @@ def op7(docs: DataFrame) -> DataFrame:
                                          "lang_pred", "score")
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def drop_unknown(docs: DataFrame, least: float = NOISE, sure: int = SURE, *,
+                 text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without texts of no language, learned from all of its labelled rows.
 
-    Texts without letters go, and with ``least`` over 0 those whose cosine to every
-    language is under it.  Without labelled rows there is nothing to compare with, and all
-    texts with letters stay.
+    Texts without letters go, null texts among them, and texts of ``sure`` characters and
+    more whose cosine to every language is under ``least``: such a text shares no more
+    trigrams with any of them than chance gives.  Shorter texts say too little to be
+    rejected.  Without labelled rows there is nothing to compare with, and all texts with
+    letters stay.  Repeated rows all stay or all go; very long texts are judged whole; an
+    empty table gives no rows; other columns are kept as they are.
     """
     pred, score = free_name(docs, "__lang"), free_name(docs, "__score")
-    learned = profiles(docs)
-    near = F.col(score) >= least if learned else F.lit(True)
-    kept = predict(docs, learned or {"any": np.ones(DIM)}, pred=pred, score=score).where(
-        (F.col(pred) != NONE) & near)
+    learned = profiles(docs, text=text, lang=lang)
+    near = (F.col(score) >= least) | (F.char_length(f"`{text}`") < sure) if learned else F.lit(True)
+    kept = predict(docs, learned or {"any": np.ones(DIM)}, text=text, pred=pred,
+                   score=score).where((F.col(pred) != NONE) & near)
     return kept.drop(pred, score)

@@ -269,7 +269,7 @@ def test_a_much_repeated_id_fills_several_buckets(docs):
 
 def test_odd_letters_columns_and_numbers(spark, docs):
     from pyspark.sql import functions as F
-    owner, codes = langid.trigrams(["\U00020000"])      # low bits of this letter are 0
+    ((owner, codes),) = langid.trigrams(["\U00020000"])     # low bits of this letter are 0
     assert codes.any()
     odd = docs.withColumn("__lang", F.struct(F.lit(1).alias("a b"))).withColumn("__score", F.lit(2))
     out = langid.drop_unknown(odd)
