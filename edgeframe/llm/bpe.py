@@ -16,6 +16,7 @@ import functools
 import gc
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -26,6 +27,10 @@ from edgeframe.llm.common import map_rows
 
 MEMO = 300_000          # words and pieces whose encoding is remembered, in two generations
 TRANSITIONS = 800_000   # of the determinised transducer, before it starts afresh
+ENCODER_TRANSITIONS = 400_000
+MEMO_BYTES = 32 << 20   # of words and their ids in one of two generations
+ENTRY = 160             # bytes of an entry besides its characters and ids
+KEY = 48                # characters of the longest key that is remembered
 NO_TOKEN = -1
 
 
@@ -259,14 +264,112 @@ class Words:
         yield from map(self.by_word.__getitem__, rest)
 
 
+class TokenTransducer(Transducer):
+    """The same transducer in flat tables, a third of the size: a transition without output
+    is a number.  One guess at most ends a token at a byte, because the bytes so far have
+    one encoding, so the first that fits is it."""
+
+    def reset(self) -> None:
+        super().reset()
+        self.flat: dict[int, int | tuple[int, tuple]] = {}
+        del self.next[:]
+
+    def step(self, state: int, byte: int) -> int | tuple[int, tuple]:
+        child, token, fits = self.c.child, self.c.token, self.c.fits
+        found, put_out, ended = [], False, False
+        for node, last, out in self.guesses[state]:
+            to = child.get(node * 256 + byte)
+            if to is None:
+                continue
+            found.append((to, last, out))
+            put_out = put_out or out
+            if not ended and (t := token[to]) != NO_TOKEN and (last == NO_TOKEN or fits(last, t)):
+                found.append((0, t, (*out, t)))
+                ended = True
+        emitted: tuple = ()
+        if put_out or len(found) == 1:
+            emitted, rest = self.shared([g[2] for g in found])
+            if emitted:
+                found = [(g[0], g[1], r) for g, r in zip(found, rest)]
+        key = tuple(found)
+        if (to := self.states.get(key)) is None:
+            to = self.states[key] = len(self.guesses)
+            self.guesses.append(key)
+            self.ends.append(next((out for node, _, out in key if node == 0), None))
+        known = self.flat[state << 8 | byte] = (to, emitted) if emitted else to
+        self.made += 1
+        return known
+
+    def run(self, state: int, data: bytes) -> tuple[int, list]:
+        get, outs = self.flat.get, []
+        for b in data:
+            known = get(state << 8 | b)
+            if known is None:
+                known = self.step(state, b)
+            if type(known) is int:
+                state = known
+            else:
+                state, out = known
+                outs.append(out)
+        return state, outs
+
+
+class WordIds:
+    """Ids of words, remembered as bytes in two generations of bounded size.
+
+    A piece that is a blank and a word is looked up as that word, so nothing is kept twice.
+    Long keys (text without blanks) are not kept.
+    """
+
+    def __init__(self, pattern: str, of_piece: Callable[[str], tuple]):
+        self.pieces = regex.compile(pattern).findall
+        self.odd = regex.compile(r" (?:\s|$)").search
+        self.cut = regex.compile(r" (?=\S)").split
+        self.of_piece = of_piece
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def part(self, text: str) -> bytes:
+        """Ids of a part of a text that begins where a piece does."""
+        pieces = self.pieces(text)
+        if len(pieces) == 1:
+            return array("I", self.of_piece(text)).tobytes()
+        return b"".join([self.word(p[1:]) if p[0] == " " and len(p) > 1 and not p.isspace()
+                         else self.word(p, p) for p in pieces])
+
+    def word(self, word: str, text: str | None = None) -> bytes:
+        """Ids of a word behind a blank, or of ``text``, a piece without one."""
+        key = word if text is None else "\n" + word
+        if (ids := self.young.get(key)) is None:
+            if (ids := self.old.get(key)) is None:
+                ids = self.part(" " + word) if text is None else \
+                    array("I", self.of_piece(text)).tobytes()
+            if len(key) <= KEY:
+                self.size += ENTRY + len(key) + len(ids)
+                if self.size > MEMO_BYTES:
+                    self.old, self.young, self.size = self.young, {}, 0
+                self.young[key] = ids
+        return ids
+
+    def of(self, text: str) -> list[bytes]:
+        """Ids of each part, in order: texts are cut before a blank that a character other
+        than white space follows, where a piece begins for certain."""
+        first, *rest = self.cut(text) if self.odd(text) else text.split(" ")
+        out, known = [self.part(first)] if first else [], self.young.get
+        for w in rest:
+            out.append(known(w) or self.word(w))
+        return out
+
+
 class Encoder:
     """Text to ids: pieces by a pattern, each through the transducer, as a library that
     looks a whole piece up before it merges."""
 
     def __init__(self, path: str, pattern: str):
         self.merges = Merges.from_ranks(path)
-        self.transducer = Transducer(Compiled(self.merges))
-        self.words = Words(pattern, self._piece, lambda ids: tuple(chain.from_iterable(ids)))
+        self.transducer = TokenTransducer(Compiled(self.merges), ENCODER_TRANSITIONS)
+        self.words = WordIds(pattern, self._piece)
 
     def _piece(self, piece: str) -> tuple:
         data = piece.encode()
@@ -274,7 +377,7 @@ class Encoder:
         return (whole,) if whole is not None else self.transducer.piece(data)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.words.of(text))) if text else []
+        return array("I", b"".join(self.words.of(text))).tolist() if text else []
 
 
 class Utf8Stream:
