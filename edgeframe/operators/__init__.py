@@ -1,7 +1,14 @@
 """Table operators: assignment, gather, sums, offsets, mesh geometry, flow, checks."""
 
 from .assign import add_in_place, assign, assign_copy, edge_map
-from .check import check_schema, compare_close, compare_eps, compare_exact, validate_inputs
+from .check import (
+    check_schema,
+    compare_close,
+    compare_eps,
+    compare_exact,
+    compare_ranges,
+    validate_inputs,
+)
 from .flow import edge_divergence, edge_interpolate, iterate, weighted_update
 from .gather import Gather, check_index, duplicate_ids, gather, gather_many, hot_values
 from .offsets import (
@@ -32,7 +39,8 @@ from .reduce import (
 
 __all__ = [
     "Gather", "add_in_place", "assign", "assign_copy", "check_index", "check_schema",
-    "compare_close", "compare_eps", "compare_exact", "component_arrays", "coo_to_csr_offsets", "count_by_row",
+    "compare_close", "compare_eps", "compare_exact", "compare_ranges", "component_arrays",
+    "coo_to_csr_offsets", "count_by_row",
     "csr_to_coo", "duplicate_ids", "edge_divergence", "edge_interpolate", "edge_map",
     "edge_map_reduce", "edge_position", "gather", "gather_many", "global_array_sum",
     "global_position", "global_sum", "hot_values", "infer_num_rows", "iterate", "normalise",

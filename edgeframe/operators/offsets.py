@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from edgeframe.functions.vec import V
 from edgeframe.operators.assign import Expr, expand
 from edgeframe.operators.reduce import addend, count_by_row, scatter_sum
-from edgeframe.session import leaf_bytes, size_shuffles, written
+from edgeframe.session import leaf_bytes, sized_shuffles, written
 
 BLOCK = 1 << 14             # positions per block: the most rows one window spans
 ROWS_PER_TASK = 4_000_000   # rows one task generates when ranges are expanded
@@ -104,13 +104,13 @@ def global_position(df: DataFrame, order_by: Sequence[str], pos: str = "pos", *,
     """
     order = [*order_by, "_split"]
     split = df.withColumn("_split", F.spark_partition_id())
-    size_shuffles(df.sparkSession, leaf_bytes(df))      # adaptive execution may merge
-    ranged = split.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = written(ranged.select(
-        *df.columns,
-        F.spark_partition_id().alias("_range"),
-        F.monotonically_increasing_id().bitwiseAND(_long((1 << LOCAL_BITS) - 1)).alias("_at"),
-    ), name)
+    with sized_shuffles(df.sparkSession, leaf_bytes(df)):       # adaptive execution may merge
+        ranged = split.repartitionByRange(*order).sortWithinPartitions(*order)
+        stored = written(ranged.select(
+            *df.columns,
+            F.spark_partition_id().alias("_range"),
+            F.monotonically_increasing_id().bitwiseAND(_long((1 << LOCAL_BITS) - 1)).alias("_at"),
+        ), name)
     sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)

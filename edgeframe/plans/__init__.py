@@ -2,16 +2,18 @@
 
 from .mesh_job import grid_mesh, mesh_job
 from .program import EdgeProgram, ProgramResult
+from .staged import Edges, Result, Tensor, Total, Vertices, run
 
-__all__ = ["EdgeProgram", "ProgramResult", "all_queries", "grid_mesh", "mesh_job"]
+__all__ = ["EdgeProgram", "Edges", "ProgramResult", "Result", "Tensor", "Total", "Vertices",
+           "all_queries", "grid_mesh", "mesh_job", "run"]
 
 
 def all_queries():
     """Every registered query by name."""
-    from . import checks, flows, meshes, positions, sums, vectors
+    from . import checks, flows, meshes, positions, stages, sums, vectors
 
     merged = {}
-    for module in (vectors, sums, positions, meshes, flows, checks):
+    for module in (vectors, sums, stages, positions, meshes, flows, checks):
         for name, q in module.queries.queries.items():
             if name in merged:
                 raise ValueError(f"query {name!r} is registered twice")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from edgeframe.operators import compare_close, compare_eps, compare_exact
+from edgeframe.operators import compare_close, compare_eps, compare_exact, compare_ranges
 from edgeframe.plans.registry import Registry, table
 
 queries = Registry()
@@ -68,21 +68,31 @@ def compare_vectors(spark, d):
     return _rounded(compare_close(a, b, "vec_id", ["embedding"])).drop("max_rel", "mean_rel")
 
 
-@queries.query(_PAIRS + """
+_EXACT = _PAIRS + """
 SELECT 'cust' AS "column", 1 AS same_type, count(ia) AS rows_a, count(ib) AS rows_b,
   count(*) FILTER (NOT coalesce(c = e, false)) AS mismatches,
   CAST(count(*) FILTER (NOT coalesce(c = e, false)) AS DOUBLE) / count(*) AS fraction,
   CAST(max(abs(c - e)) AS DOUBLE) AS max_abs FROM t
 UNION ALL
 SELECT 'id', 1, count(ia), count(ib), count(*) FILTER (NOT coalesce(ia = ib, false)),
-  CAST(count(*) FILTER (NOT coalesce(ia = ib, false)) AS DOUBLE) / count(*), 0 FROM t""",
-    "compare_exact")
+  CAST(count(*) FILTER (NOT coalesce(ia = ib, false)) AS DOUBLE) / count(*), 0 FROM t"""
+
+
+@queries.query(_EXACT, "compare_exact")
 def compare_exact_query(spark, d):
     a, b = copies(spark, d)
     out = compare_exact(a, b, "id", ["cust", "id"])
     return out.withColumn("same_type", F.col("same_type").cast("int"))
 
 
+@queries.query(_EXACT, "compare_ranges")
+def compare_ranges_query(spark, d):
+    """The same by digests of ranges of 64 and 1,024 ids."""
+    a, b = copies(spark, d)
+    out = compare_ranges(a, b, "id", ["cust", "id"], fine=64, coarse=1024)
+    return out.withColumn("same_type", F.col("same_type").cast("int"))
+
+
 def _eps_sql(name: str, x: str, y: str) -> str:
     off = f"NOT coalesce(abs({x} - {y}) <= 1e-5, false)"
     return f"""SELECT '{name}' AS "column", CAST(count(*) FILTER ({off}) = 0 AS INTEGER) AS passed,

@@ -1,5 +1,7 @@
 """Edge-flow queries: lineitems join parts (part key) to parts (supplier key)."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from edgeframe.functions import V
@@ -17,7 +19,7 @@ from edgeframe.operators import (
 )
 from edgeframe.plans.registry import Registry, table
 from edgeframe.session import written_path
-from edgeframe.sources import partition_by, restore, snapshot
+from edgeframe.sources import Snapshots, partition_by, restore, snapshot
 
 queries = Registry()
 SCALE = 4
@@ -158,6 +160,32 @@ def snapshot_roundtrip(spark, d):
         "id", "h", (F.col("h") * 2).alias("h2"), "p_size")
 
 
+_KEPT = "o_orderkey % 11 <> {k}"
+_PRICE = "o_totalprice + CASE WHEN o_orderkey % 5 < {k} THEN {k} ELSE 0 END"
+
+
+@queries.query(" UNION ALL ".join(f"""SELECT {k} AS step, o_orderkey AS id, {_PRICE.format(k=k)} AS h,
+  p_size FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND p_partkey % 4 <> {k}
+  WHERE {_KEPT.format(k=k)}""" for k in range(4)))
+def snapshot_delta(spark, d):
+    """Two tables of four steps, of which every one changes, drops and brings back rows:
+    each step restored from a base and deltas."""
+    orders, part = table(spark, d, "orders"), table(spark, d, "part")
+    log = Snapshots(spark, written_path(spark, "log"), {"orders": "id", "part": "p_partkey"},
+                    deltas=2)
+    for k in range(4):
+        log.commit(k, {
+            "orders": orders.where(_KEPT.format(k=k)).select(
+                F.col("o_orderkey").alias("id"), F.expr(_PRICE.format(k=k)).alias("h")),
+            "part": part.where(f"p_partkey % 4 <> {k}").select("p_partkey", "p_size")})
+    steps = []
+    for k in log.steps():
+        back = log.restore(k)
+        steps.append(back["orders"].join(back["part"], F.col("id") == F.col("p_partkey"), "left")
+                     .select(F.lit(k).alias("step"), "id", "h", "p_size"))
+    return functools.reduce(lambda a, b: a.union(b), steps)
+
+
 @queries.query(_steps_sql() + " UNION ALL ".join(
     f" SELECT {k} AS step, id, h FROM h{k}" for k in range(1, STEPS + 1)))
 def iterate_snapshots(spark, d):

@@ -12,7 +12,7 @@ from edgeframe.functions import V
 from edgeframe.operators import mesh, scatter_combine
 from edgeframe.plans.mesh_job import grid_mesh, mesh_job
 from edgeframe.plans.registry import Registry, row_count, table
-from edgeframe.session import written_path
+from edgeframe.session import written, written_path
 
 queries = Registry()
 DIGITS = 9
@@ -128,7 +128,9 @@ SELECT edge_id, src, dst, round(sx, 9) + 0.0 AS sx, round(sy, 9) + 0.0 AS sy,
   round(alpha, 9) AS alpha FROM shared""")
 def mesh_shared_face(spark, d):
     points, cells, faces, _ = order_mesh(spark, d)
-    shared = mesh.shared_face(faces, mesh.cell_geometry(cells, points))
+    # Stored, because both ends of a face read it.
+    geometry = written(mesh.cell_geometry(cells, points), "geometry")
+    shared = mesh.shared_face(faces, geometry)
     return shared.select("edge_id", "src", "dst",
                          *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in ("sx", "sy", "alpha")])
 
@@ -157,17 +159,67 @@ SELECT g.c AS cell_id, round(x, 9) AS x, round(y, 9) AS y, round(area, 9) AS are
 FROM geo g LEFT JOIN per_cell USING (c)""", "mesh_job")
 def mesh_job_query(spark, d):
     """The whole job, file to files; the result brings its tables together by cell."""
-    path = written_path(spark, "mesh")
-    for name, df in zip(("points", "cells", "faces", "bfaces"), order_mesh(spark, d)):
-        df.write.parquet(f"{path}/in/{name}")
-    out = mesh_job(spark, f"{path}/in", f"{path}/out")
-    shared = spark.read.parquet(f"{out}/faces").select("edge_id", "alpha")
+    path = written_job(spark, d)
+    shared = spark.read.parquet(f"{path}/out/faces").select("edge_id", "alpha")
     ends = spark.read.parquet(f"{path}/in/faces").select(F.col("edge_id").alias("e"), "dst")
     faces = shared.join(ends, F.col("edge_id") == F.col("e"))
-    cells = spark.read.parquet(f"{out}/cells")
+    cells = spark.read.parquet(f"{path}/out/cells")
     sums = scatter_combine([
         (faces, "dst", {"faces": V([F.lit(1.0)]), "alpha": V.of("alpha")})],
         cells, id="cell_id", scale=6)
     return cells.join(sums, cells["cell_id"] == sums["id"]).select(
         "cell_id", *[F.round(c, DIGITS).alias(c) for c in ("x", "y", "area")],
         F.col("faces").cast("bigint").alias("faces"), "alpha")
+
+
+def written_job(spark, d) -> str:
+    """Folder with the input and the output of the mesh job."""
+    path = written_path(spark, "mesh")
+    for name, df in zip(("points", "cells", "faces", "bfaces"), order_mesh(spark, d)):
+        df.write.parquet(f"{path}/in/{name}")
+    mesh_job(spark, f"{path}/in", f"{path}/out")
+    return path
+
+
+def rounded(*columns: str):
+    return [(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in columns]
+
+
+def by_id(spark, path: str, topology: str, geometry: str, id: str):
+    """A topology and a geometry table of the job side by side."""
+    return spark.read.parquet(f"{path}/out/{topology}").join(
+        spark.read.parquet(f"{path}/out/{geometry}"), id)
+
+
+@queries.query(f"""
+WITH {MESH_SQL}, shared AS (SELECT f.id AS edge_id, src, dst, {SHARED_COLUMNS} FROM {SHARED_FROM})
+SELECT edge_id, s.p0 AS src_p0, s.p1 AS src_p1, s.p2 AS src_p2, t.p0 AS dst_p0, t.p1 AS dst_p1,
+  t.p2 AS dst_p2, round(sx, 9) + 0.0 AS sx, round(sy, 9) + 0.0 AS sy, round(alpha, 9) + 0.0 AS alpha
+FROM shared JOIN cells s ON src = s.c JOIN cells t ON dst = t.c""")
+def mesh_job_faces(spark, d):
+    """Tables ``face_points`` and ``faces`` of the job."""
+    both = by_id(spark, written_job(spark, d), "face_points", "faces", "edge_id")
+    return both.select("edge_id", *[f"{e}_p{k}" for e in ("src", "dst") for k in range(3)],
+                       *rounded("sx", "sy", "alpha"))
+
+
+@queries.query(f"""
+WITH {MESH_SQL}, bound AS ({BOUNDARY_SQL})
+SELECT bface_id, a AS bp0, b AS bp1, round(bsx, 9) + 0.0 AS bsx, round(bsy, 9) + 0.0 AS bsy
+FROM bound JOIN bfaces ON id = bface_id""")
+def mesh_job_boundary(spark, d):
+    """Tables ``boundary_points`` and ``bfaces`` of the job."""
+    both = by_id(spark, written_job(spark, d), "boundary_points", "bfaces", "bface_id")
+    return both.select("bface_id", "bp0", "bp1", *rounded("bsx", "bsy"))
+
+
+@queries.query(f"""
+WITH {MESH_SQL}
+SELECT c AS cell_id, p0 AS cells_p0, p1 AS cells_p1, p2 AS cells_p2, round(x, 9) + 0.0 AS x,
+  round(y, 9) + 0.0 AS y, round(area, 9) + 0.0 AS area,
+  round(1 + 0.1::DOUBLE * exp(-100 * (x * x + y * y)), 9) + 0.0 AS h FROM geo JOIN cells USING (c)""")
+def mesh_job_topology(spark, d):
+    """Tables ``cell_points`` and ``cells`` of the job."""
+    both = by_id(spark, written_job(spark, d), "cell_points", "cells", "cell_id")
+    return both.select("cell_id", *[f"cells_p{k}" for k in range(3)],
+                       *rounded("x", "y", "area", "h"))

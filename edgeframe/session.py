@@ -46,6 +46,20 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     return n
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """``size_shuffles`` for what runs inside the block; the setting is as before behind it."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    try:
+        yield size_shuffles(spark, input_bytes)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of the optimized plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,6 +1,7 @@
 """Tables in and out, and generated tables."""
 
 from .generate import random_coo, random_csr, zeros
+from .snapshots import Snapshots
 from .tensors import (
     collect_tensor,
     partition_by,
@@ -11,6 +12,7 @@ from .tensors import (
 )
 
 __all__ = [
+    "Snapshots",
     "collect_tensor",
     "partition_by",
     "random_coo",

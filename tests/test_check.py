@@ -80,3 +80,28 @@ def test_arrays_are_compared_by_component(spark):
     assert compare_exact(a, b, "id", ["v"]).first().mismatches == 3
     e = compare_eps(a, b, "id", ["v"]).first()
     assert (e.failing, e.first_id, e.first_a, e.first_b) == (3, 1, [1.0, 2.0], [1.0, 2.5])
+
+
+@pytest.mark.parametrize("fine,coarse", [(1, 4), (4, 16), (1 << 10, 1 << 20)])
+def test_ranges_give_what_comparing_all_rows_gives(spark, fine, coarse):
+    from edgeframe.operators import compare_exact, compare_ranges
+
+    a = spark.createDataFrame([(k, k * 2.0, None if k == 30 else k, [k]) for k in range(-5, 60)]
+                              + [(None, 1.0, 1, [1])], "id bigint, x double, y bigint, z array<bigint>")
+    b = spark.createDataFrame([(k, k * 2.0 + (k == 17), None if k == 30 else k, [k, 1] if k == 40 else [k])
+                               for k in range(-4, 62)], "id bigint, x double, y bigint, z array<bigint>")
+    for left, right in ((a, b), (a, a.where("id <> 8")), (b, b), (a.limit(0), b), (b, b.limit(0))):
+        want = compare_exact(left, right, "id", ["x", "y", "z"])
+        got = compare_ranges(left, right, "id", ["x", "y", "z"], fine=fine, coarse=coarse)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_equal_tables_have_no_ranges(spark):
+    from edgeframe.operators.check import differing_ranges
+
+    a = spark.range(5000).selectExpr("id", "id % 7 AS x")
+    assert differing_ranges(a, a.repartition(3), "id", ["x"], fine=16, coarse=64).count() == 0
+    b = a.selectExpr("id", "IF(id = 4001, 0, x) AS x")
+    assert [r["range"] for r in differing_ranges(a, b, "id", ["x"], fine=16, coarse=64).collect()] \
+        == [4001 // 16]
