@@ -5,22 +5,25 @@ It is cut by ranges of ids into parts; a part is one Arrow IPC file whose rows a
 sequences of ``LENGTH`` ids (fixed-size list of unsigned 16 or 32-bit integers) with a mask
 of which are real, so row ``k`` of a mapped file is at a known place and read without a
 copy.  Only the last row of a part is padded.  Beside it stands an index file: document,
-first id within the part, ids.  A part is written under a name of its own attempt and then
-moved into place, so a repeated task does no harm.
+first id within the part, ids.  A part is written under a name of its own attempt, and the
+table of parts lists the files of the attempts that counted, so a repeated task does no
+harm.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from edgeframe.llm.bpe import few_collections
 from edgeframe.llm.common import free_name, small_batches, with_row_id
@@ -30,7 +33,11 @@ LENGTH = 2048
 ROWS = 256              # sequences of one record batch
 PART_BYTES = 64 << 20   # of text in one part
 END = 1
-KNOWN = 600_000         # words whose ids are remembered, in two generations
+MEMO_BYTES = 40 << 20   # of words and their ids in one of two generations
+ENTRY = 140             # bytes of an entry besides its characters and ids
+KEY = 40                # characters of the longest word that is remembered
+# How the vocabulary's file cuts a word into pieces, in either case.
+PIECES = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 def blank_separated(text: str) -> list[str]:
@@ -47,8 +54,10 @@ _blank = regex.compile(r"\s+")
 class Texts:
     """Texts to arrays of ids with the tokenizers library.
 
-    Pieces of this vocabulary never hold white space, so a text is encoded word by word and
-    a word once: its ids are remembered.  ``word`` must not depend on its neighbours.
+    Pieces of this vocabulary never hold white space, and words fall into runs of letters,
+    digits and marks that are encoded each for itself, so only runs that are new go
+    to the library.  Words that its normalisation would change across runs, and words with
+    a special string, go there whole.  Ids are remembered in two generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -57,34 +66,61 @@ class Texts:
 
         self.library = Tokenizer.from_file(path)
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.type).char
+        self.pieces = regex.compile(PIECES).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Afterwards ``known`` has every one of ``words``, also those the older table had."""
-        if len(self.known) + len(words - self.known.keys()) > KNOWN:
-            self.older, self.known = self.known, {}
-        new = []
-        for w in words - self.known.keys():
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
+        self.size = 0
+
+    def cut(self, word: str) -> list[str]:
+        if word.isalpha() and word.isascii():
+            return [word]
+        # The one letter that becomes two when lowered, and a control string's beginning.
+        if "\u0130" in word or "<|" in word or not unicodedata.is_normalized("NFC", word):
+            return [word]
+        return self.pieces(word)
+
+    def remember(self, word: str, ids: bytes) -> None:
+        if len(word) <= KEY:
+            self.size += ENTRY + len(word) + len(ids)
+            if self.size > MEMO_BYTES:
+                self.older, self.known, self.size = self.known, {}, 0
+            self.known[word] = ids
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of every one of ``words``."""
+        found: dict[str, bytes] = {}
+        new: dict[str, list[str]] = {}
+        for w in words:
+            if (ids := self.known.get(w)) is not None:
+                found[w] = ids
+            elif (ids := self.older.get(w)) is not None:
+                found[w] = ids
+                self.remember(w, ids)
+            else:
+                new[w] = self.cut(w)
+        runs: dict[str, bytes] = {}
+        todo = []
+        for p in {p for ps in new.values() for p in ps}:
+            ids = found.get(p) or self.known.get(p) or self.older.get(p)
+            if ids is None:
+                todo.append(p)
+            else:
+                runs[p] = ids
+        for p, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
+            runs[p] = array(self.code, e.ids).tobytes()
+            self.remember(p, runs[p])
+        for w, ps in new.items():
+            if len(ps) == 1 and ps[0] == w:
+                found[w] = runs[w]
             else:
-                new.append(w)
-        # A mark behind a letter is a piece of its own, so the word before it is enough.
-        marked = {w for w in new if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()
-                  and len(w[-2].lower()) == 1}
-        missing = ({w[:-1] for w in marked} | {w[-1] for w in marked} | (set(new) - marked)) \
-            - self.known.keys()
-        todo = list(missing)
-        for w, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.type).tobytes()
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+                found[w] = b"".join([runs[p] for p in ps])
+                self.remember(w, found[w])
+        return found
 
     def encode(self, texts: list) -> list[bytes]:
         split = [blank_separated(t) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws})
-        get = self.known.__getitem__
+        get = self.learn({w for ws in split for w in ws}).__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
@@ -95,12 +131,21 @@ def texts_of(path: str) -> Texts:
     return made
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system: without one it lies in Spark's default
+    file system, which need not be the local disk."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(folder).toString()
+
+
 def place(uri: str):
     """File system and path of a folder that every executor reaches."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") \
-        else (fs.LocalFileSystem(), uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 class PartWriter:
@@ -109,8 +154,8 @@ class PartWriter:
     def __init__(self, folder: str, part: int, type, length: int):
         self.fs, self.base = place(folder)
         self.part, self.length, self.type = part, length, type
-        self.name = f"{self.base}/part-{part:06d}"
-        self.own = f"{self.base}/.{uuid.uuid4().hex}"
+        self.name = f"part-{part:06d}-{uuid.uuid4().hex}"       # of this attempt
+        self.own = f"{self.base}/{self.name}"
         self.fs.create_dir(self.base, recursive=True)
         ids = pa.list_(pa.from_numpy_dtype(type), length)
         self.schema = pa.schema([("ids", ids), ("mask", pa.list_(pa.bool_(), length))])
@@ -152,8 +197,6 @@ class PartWriter:
         with self.fs.open_output_stream(f"{self.own}.index") as f, \
                 pa.ipc.new_file(f, index.schema) as out:
             out.write_table(index)
-        for kind in ("arrow", "index"):
-            self.fs.move(f"{self.own}.{kind}", f"{self.name}.{kind}")
 
 
 def in_order(docs: DataFrame, text: str, id: str, part_bytes: int) -> DataFrame:
@@ -171,7 +214,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *,
                  text: str = "text", id: str = "doc_id", end: int = END, length: int = LENGTH,
                  part_bytes: int = PART_BYTES) -> DataFrame:
     """Writes all documents under ``path`` (by default in the shared folder) and returns
-    the parts: path, part, docs, n (ids), start (ids of all parts before).
+    the parts: path, part, name (of its files), docs, n (ids), start (ids of all parts
+    before).
 
     Null and empty texts are their end id alone.  Null ids come first; rows of one id keep
     the order of the input files, and spread over parts like others.  An empty table
@@ -179,7 +223,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = path or written_path(spark, "tokens")
+    folder = qualified(spark, path or written_path(spark, "tokens"))
     id_type = docs.schema[id].dataType
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,25 +249,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *,
                                 "start": pa.array(starts, pa.int64()),
                                 "n": pa.array(sizes, pa.int64())}))
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()),
+                                              "name": pa.array([out.name]),
                                               "docs": pa.array([len(ids)], pa.int64()),
                                               "n": pa.array([out.n], pa.int64())})
 
     rows = in_order(docs, text, id, part_bytes).select("id", "text")
     # Stored, so the parts are written once; one row per part.
-    parts = written(rows.mapInArrow(write, "part int, docs bigint, n bigint"), "parts")
+    parts = written(rows.mapInArrow(write, "part int, name string, docs bigint, n bigint"), "parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(F.lit(folder).alias("path"), "part", "docs", "n",
+    return parts.select(F.lit(folder).alias("path"), "part", "name", "docs", "n",
                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
 
 class Part:
     """Random access to one written part.  A local file is mapped, not read."""
 
-    def __init__(self, folder: str, part: int):
+    def __init__(self, folder: str, name: str):
         from pyarrow import fs
 
         files, base = place(folder)
-        self.name = f"{base}/part-{part:06d}"
+        self.name = f"{base}/{name}"
         local = isinstance(files, fs.LocalFileSystem)
         self.open = pa.memory_map if local else files.open_input_file
         self.ipc = pa.ipc.open_file(self.open(f"{self.name}.arrow"))
@@ -264,7 +309,7 @@ def read_tokens(parts: DataFrame, id_type: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                part = Part(r["path"], r["part"])
+                part = Part(r["path"], r["name"])
                 index = part.index()
                 starts, sizes = index["start"].to_numpy(), index["n"].to_numpy()
                 sums = []

@@ -234,13 +234,13 @@ def test_token_files(docs, monkeypatch):
     ids = [r.id for r in sorted(got, key=lambda r: r.start)]
     assert ids == sorted(ids, key=lambda i: (i is not None, i))
     one = parts.first()
-    seq, mask = token_files.Part(one.path, one.part).sequence(0)
+    seq, mask = token_files.Part(one.path, one.name).sequence(0)
     assert len(seq) == len(mask) == 8
 
 
 def test_words_survive_the_change_of_word_tables(monkeypatch):
     path = queries.tokenizer("word_bpe_49k.json")
-    monkeypatch.setattr(token_files, "KNOWN", 8)
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 1000)
     small = token_files.texts_of.__wrapped__(path)
     for k in range(12):     # words of earlier batches return after the table has changed
         texts = [f"In, the day, w{k}. the", f"x{k - 1} w{k - 1}. In, y{k}", "", None]
@@ -249,6 +249,18 @@ def test_words_survive_the_change_of_word_tables(monkeypatch):
         assert got == want
 
 
+def test_runs_of_words_give_what_the_library_gives():
+    texts = token_files.texts_of.__wrapped__(queries.tokenizer("word_bpe_49k.json"))
+    g = random.Random(6)
+    parts = ["don't", "I'LL", "we'Re", "'s", "'S", "''", "a1b22", "\u0130x", "e\u0301", "\u00e9", "\u0301",
+             "\u03a3\u0391\u03a3", "<|endoftext|>", "<|x", "\u212a", "\u00bd", "\u0663", "\u6f22\u5b57", "...", "!?,", "(a)",
+             "\u200d", "\U0001f600", "'d", "\x1c", "\x85", "\u00a0", "w" * 60, "-", "_", "\u01c5", "\u1e9e"]
+    for _ in range(400):
+        text = "".join(g.choice(parts) + g.choice(["", "", " ", "\n"]) for _ in range(12))
+        want = texts.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(texts.encode([text])[0], texts.type).tolist() == want, ascii(text)
+
+
 def test_rows_that_were_multiplied_are_told_apart(docs):
     from pyspark.sql import functions as F
     twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
