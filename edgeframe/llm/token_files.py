@@ -33,7 +33,7 @@ LENGTH = 2048
 ROWS = 256              # sequences of one record batch
 PART_BYTES = 64 << 20   # of text in one part
 END = 1
-MEMO_BYTES = 40 << 20   # of words and their ids in one of two generations
+MEMO_BYTES = 64 << 20   # of words and their ids in one of two generations
 ENTRY = 140             # bytes of an entry besides its characters and ids
 KEY = 40                # characters of the longest word that is remembered
 # How the vocabulary's file cuts a word into pieces, in either case.
@@ -72,56 +72,52 @@ class Texts:
         self.older: dict[str, bytes] = {}
         self.size = 0
 
-    def cut(self, word: str) -> list[str]:
-        if word.isalpha() and word.isascii():
-            return [word]
-        # The one letter that becomes two when lowered, and a control string's beginning.
-        if "\u0130" in word or "<|" in word or not unicodedata.is_normalized("NFC", word):
-            return [word]
-        return self.pieces(word)
-
-    def remember(self, word: str, ids: bytes) -> None:
-        if len(word) <= KEY:
-            self.size += ENTRY + len(word) + len(ids)
+    def cut(self, text: str) -> list[str]:
+        """Runs of a text, and words that are to stay whole."""
+        if plain(text):
+            return self.pieces(text)
+        return [p for w in blank_separated(text)
+                for p in (self.pieces(w) if plain(w) else (w,))]
+
+    def remember(self, run: str, ids: bytes) -> None:
+        if len(run) <= KEY:
+            self.size += ENTRY + len(run) + len(ids)
             if self.size > MEMO_BYTES:
                 self.older, self.known, self.size = self.known, {}, 0
-            self.known[word] = ids
+            self.known[run] = ids
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of every one of ``words``."""
+    def learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of every one of ``runs``."""
         found: dict[str, bytes] = {}
-        new: dict[str, list[str]] = {}
-        for w in words:
-            if (ids := self.known.get(w)) is not None:
-                found[w] = ids
-            elif (ids := self.older.get(w)) is not None:
-                found[w] = ids
-                self.remember(w, ids)
+        todo, known = [], self.known.get
+        for p in runs:
+            if (ids := known(p)) is not None:
+                found[p] = ids
             else:
-                new[w] = self.cut(w)
-        runs: dict[str, bytes] = {}
-        todo = []
-        for p in {p for ps in new.values() for p in ps}:
-            ids = found.get(p) or self.known.get(p) or self.older.get(p)
-            if ids is None:
                 todo.append(p)
-            else:
-                runs[p] = ids
+        if self.older:
+            old, todo = [p for p in todo if p in self.older], [
+                p for p in todo if p not in self.older]
+            for p in old:
+                found[p] = self.older[p]
+            for p in old:
+                self.remember(p, found[p])
         for p, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
-            runs[p] = array(self.code, e.ids).tobytes()
-            self.remember(p, runs[p])
-        for w, ps in new.items():
-            if len(ps) == 1 and ps[0] == w:
-                found[w] = runs[w]
-            else:
-                found[w] = b"".join([runs[p] for p in ps])
-                self.remember(w, found[w])
+            found[p] = array(self.code, e.ids).tobytes()
+            self.remember(p, found[p])
         return found
 
     def encode(self, texts: list) -> list[bytes]:
-        split = [blank_separated(t) if t else [] for t in texts]
-        get = self.learn({w for ws in split for w in ws}).__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        cut = [self.cut(t) if t else [] for t in texts]
+        get = self.learn({p for ps in cut for p in ps}).__getitem__
+        return [b"".join(map(get, ps)) for ps in cut]
+
+
+def plain(text: str) -> bool:
+    """Can ``text`` be cut before it is normalised?  Not with a letter that becomes two when
+    lowered, characters to be composed, or what may be a special string."""
+    return text.isascii() and "<|" not in text or (
+        "\u0130" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text))
 
 
 @functools.lru_cache(maxsize=2)
