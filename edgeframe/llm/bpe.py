@@ -28,7 +28,7 @@ from edgeframe.llm.common import map_rows
 MEMO = 300_000          # words and pieces whose encoding is remembered, in two generations
 TRANSITIONS = 800_000   # of the determinised transducer, before it starts afresh
 ENCODER_TRANSITIONS = 400_000
-MEMO_BYTES = 32 << 20   # of words and their ids in one of two generations
+MEMO_BYTES = 48 << 20   # of pieces and their ids in one of two generations
 ENTRY = 160             # bytes of an entry besides its characters and ids
 KEY = 48                # characters of the longest key that is remembered
 NO_TOKEN = -1
@@ -314,52 +314,32 @@ class TokenTransducer(Transducer):
         return state, outs
 
 
-class WordIds:
-    """Ids of words, remembered as bytes in two generations of bounded size.
-
-    A piece that is a blank and a word is looked up as that word, so nothing is kept twice.
-    Long keys (text without blanks) are not kept.
-    """
+class PieceIds:
+    """Ids of pieces, remembered as bytes in two generations of bounded size.  Long pieces
+    are not kept."""
 
     def __init__(self, pattern: str, of_piece: Callable[[str], tuple]):
         self.pieces = regex.compile(pattern).findall
-        self.odd = regex.compile(r" (?:\s|$)").search
-        self.cut = regex.compile(r" (?=\S)").split
         self.of_piece = of_piece
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = 0
 
-    def part(self, text: str) -> bytes:
-        """Ids of a part of a text that begins where a piece does."""
-        pieces = self.pieces(text)
-        if len(pieces) == 1:
-            return array("I", self.of_piece(text)).tobytes()
-        return b"".join([self.word(p[1:]) if p[0] == " " and len(p) > 1 and not p.isspace()
-                         else self.word(p, p) for p in pieces])
-
-    def word(self, word: str, text: str | None = None) -> bytes:
-        """Ids of a word behind a blank, or of ``text``, a piece without one."""
-        key = word if text is None else "\n" + word
-        if (ids := self.young.get(key)) is None:
-            if (ids := self.old.get(key)) is None:
-                ids = self.part(" " + word) if text is None else \
-                    array("I", self.of_piece(text)).tobytes()
-            if len(key) <= KEY:
-                self.size += ENTRY + len(key) + len(ids)
+    def piece(self, piece: str) -> bytes:
+        if (ids := self.young.get(piece)) is None:
+            if (ids := self.old.get(piece)) is None:
+                ids = array("I", self.of_piece(piece)).tobytes()
+            if len(piece) <= KEY:
+                self.size += ENTRY + len(piece) + len(ids)
                 if self.size > MEMO_BYTES:
                     self.old, self.young, self.size = self.young, {}, 0
-                self.young[key] = ids
+                self.young[piece] = ids
         return ids
 
     def of(self, text: str) -> list[bytes]:
-        """Ids of each part, in order: texts are cut before a blank that a character other
-        than white space follows, where a piece begins for certain."""
-        first, *rest = self.cut(text) if self.odd(text) else text.split(" ")
-        out, known = [self.part(first)] if first else [], self.young.get
-        for w in rest:
-            out.append(known(w) or self.word(w))
-        return out
+        """Ids of each piece of ``text``, in order."""
+        known, piece = self.young.get, self.piece
+        return [known(p) or piece(p) for p in self.pieces(text)]
 
 
 class Encoder:
@@ -369,7 +349,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.merges = Merges.from_ranks(path)
         self.transducer = TokenTransducer(Compiled(self.merges), ENCODER_TRANSITIONS)
-        self.words = WordIds(pattern, self._piece)
+        self.words = PieceIds(pattern, self._piece)
 
     def _piece(self, piece: str) -> tuple:
         data = piece.encode()
