@@ -33,23 +33,31 @@ MIN_N, MAX_REPEAT = 50, 50      # base rules: words, per cent of words in repeat
 def repeated(w: Column) -> Column:
     """Words in windows of three words that occur twice or more in the text.
 
-    Windows are sorted with their positions; equal neighbours are repeats.
+    Windows are sorted by hashes of their words; those whose hash a neighbour has are the
+    only ones that can repeat.  They are sorted by their words, and equal neighbours repeat.
     """
-    def windows(ws: Column) -> Column:
+    def hashed(ws: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(ws) - 3)
-        return F.array_sort(F.transform(at, lambda i: F.struct(
-            F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"),
-            i.alias("at"))))
+        return _let(F.transform(ws, lambda x: F.xxhash64(x)), lambda h: F.array_sort(F.transform(
+            at, lambda i: F.struct(
+                F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("key"),
+                i.alias("at")))))
+
+    def twice(s: Column) -> Column:
+        return _let(s["key"], lambda keys: F.filter(s, lambda x, k: (
+            x["key"] == F.get(keys, k - 1)) | (x["key"] == F.get(keys, k + 1))))
+
+    def windows(ws: Column, s: Column) -> Column:
+        return F.array_sort(F.transform(s, lambda x: F.struct(F.concat_ws(
+            " ", F.get(ws, x["at"]), F.get(ws, x["at"] + 1), F.get(ws, x["at"] + 2)).alias("key"),
+            x["at"].alias("at"))))
 
     def covered(s: Column) -> Column:
-        twice = F.filter(F.transform(s, lambda x, k: F.when(
-            (x["w"] == F.get(s, k - 1)["w"]) | (x["w"] == F.get(s, k + 1)["w"]), x["at"])),
-            lambda p: p.isNotNull())
         return F.size(F.array_distinct(F.flatten(F.transform(
-            twice, lambda p: F.array(p, p + 1, p + 2)))))
+            twice(s)["at"], lambda p: F.array(p, p + 1, p + 2)))))
 
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(
-        _let(w, lambda ws: _let(windows(ws), covered)))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(_let(w, lambda ws: _let(
+        windows(ws, _let(hashed(ws), twice)), covered)))
 
 
 def _let(value: Column, body) -> Column:
@@ -63,30 +71,39 @@ def dup_lines(text: Column) -> Column:
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def class_counts(text: Column) -> Column:
+    """Characters in all, per class, and among ``SYMBOLS``.
+
+    Classes share no character, so every class is counted in what the classes before it left
+    over: only the first pass reads the whole text.
+    """
+    def taken(left: Column, names: list[str], counts: dict[str, Column]) -> Column:
+        if not names:
+            # What SYMBOLS names is in the last class, and no other.
+            return F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])
+        name, *others = names
+        symbols = {} if others else {"n_symbols": F.regexp_count(
+            left, F.lit("[#*$%&|<>]"))}
+        return _let(F.regexp_replace(left, CLASSES[name], ""), lambda rest: taken(
+            rest, others, counts | symbols | {name: F.char_length(left) - F.char_length(rest)}))
+    return taken(text, list(CLASSES), {"n_chars": F.char_length(text)})
+
+
 def features(docs: DataFrame, text: str, id: str, lang: str) -> DataFrame:
     """One row per document: base counts, characters per class, short words, language."""
     t = free_name(docs, "__text")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     d = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{lang}`").alias("lang"),
                     whole.alias(t))
-    n_chars = F.char_length(t)
-
-    def count(pattern: str) -> Column:
-        return (n_chars - F.char_length(F.regexp_replace(t, pattern, ""))).cast("long")
-
     measured = _let(words(F.col(t)), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         repeated(w).cast("long").alias("n_repeat_words"),
         F.filter(F.transform(w, F.lower), lambda x: F.char_length(x) <= SHORT).alias("short")))
-    classes = {c: count(p) for c, p in CLASSES.items()}
-    return d.select(
-        "id", "lang", measured.alias("m"), n_chars.cast("long").alias("n_chars"),
-        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        dup_lines(F.col(t)).cast("long").alias("n_dup_lines"),
-        *[v.alias(f"c_{c}") for c, v in classes.items()],
-    ).select("id", "lang", "m.n_words", (F.col("n_chars") - F.col("c_space")).alias("word_chars"),
-             "n_symbols", "n_dup_lines", "m.n_repeat_words", "n_chars", "m.short",
-             *[f"c_{c}" for c in CLASSES])
+    return d.select("id", "lang", measured.alias("m"), class_counts(F.col(t)).alias("c"),
+                    dup_lines(F.col(t)).cast("long").alias("n_dup_lines")).select(
+        "id", "lang", "m.n_words", (F.col("c.n_chars") - F.col("c.space")).alias("word_chars"),
+        "c.n_symbols", "n_dup_lines", "m.n_repeat_words", "c.n_chars", "m.short",
+        *[F.col(f"c.{c}").alias(f"c_{c}") for c in CLASSES])
 
 
 def references(rows: DataFrame) -> DataFrame:
