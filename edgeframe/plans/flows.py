@@ -10,11 +10,13 @@ from edgeframe.operators import (
     edge_divergence,
     edge_interpolate,
     gather_many,
+    gather_stored,
     hot_values,
     iterate,
     normalise,
     scatter_combine,
     scatter_sum,
+    store_edges,
     weighted_update,
 )
 from edgeframe.plans.registry import Registry, table
@@ -119,17 +121,23 @@ def _steps_sql() -> str:
     return f"WITH {', '.join(ctes)}"
 
 
-def pull_step(spark, d):
+PULL_EDGES = ["l_partkey", "l_suppkey", "l_quantity"]
+
+
+def pull_step(spark, d, layout=None):
     """The prices of the parts, and a step that moves each towards its neighbours'."""
-    edges = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     start = table(spark, d, "part").select(F.col("p_partkey").alias("id"),
                                            F.col("p_retailprice").alias("h"))
-
-    hot = hot_values(edges, ["l_partkey", "l_suppkey"])     # the edges stay the same
+    if layout is None:
+        edges = table(spark, d, "lineitem").select(*PULL_EDGES)
+        hot = hot_values(edges, PULL_EDGES[:2])     # the edges stay the same
+        take = functools.partial(gather_many, edges, skew=hot)
+    else:
+        take = functools.partial(gather_stored, layout)
 
     def step(state):
-        ends = gather_many(edges, [Gather(state, "l_partkey", {"h_src": "h"}),
-                                   Gather(state, "l_suppkey", {"h_dst": "h"})], skew=hot)
+        ends = take([Gather(state, "l_partkey", {"h_src": "h"}),
+                     Gather(state, "l_suppkey", {"h_dst": "h"})])
         pull = 0.001 * V.of("l_quantity") * (V.of("h_dst") - V.of("h_src"))
         change = scatter_sum(ends, "l_partkey", {"h": pull}, scale=SCALE)
         return weighted_update(state, [(0.1, change)], ["h"])
@@ -144,6 +152,16 @@ def iterate_k(spark, d):
     return iterate(start, step, STEPS, checkpoint_every=1)
 
 
+@queries.query(f"{_steps_sql()} SELECT id, h FROM h{STEPS}")
+def iterate_bucketed(spark, d):
+    """The steps of ``iterate_k`` on edges stored by part key: every step moves prices and
+    sums only."""
+    layout = store_edges(table(spark, d, "lineitem").select(*PULL_EDGES),
+                         written_path(spark, "edges"), by="l_partkey", indices=["l_suppkey"])
+    start, step = pull_step(spark, d, layout)
+    return iterate(start, step, STEPS, checkpoint_every=1)
+
+
 @queries.query("""
 SELECT o_orderkey AS id, o_totalprice AS h, o_totalprice * 2 AS h2, p_size
 FROM orders LEFT JOIN part ON p_partkey = o_orderkey""")

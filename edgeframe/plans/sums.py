@@ -12,6 +12,7 @@ from edgeframe.operators import (
     edge_map_reduce,
     gather,
     gather_many,
+    gather_stored,
     global_array_sum,
     global_sum,
     scatter_array_sum,
@@ -19,12 +20,14 @@ from edgeframe.operators import (
     scatter_sum,
     spmm,
     spmv,
+    store_edges,
     validate_inputs,
     weighted_update,
 )
 from edgeframe.operators.gather import hot_keys
 from edgeframe.plans.program import EdgeProgram
 from edgeframe.plans.registry import Registry, row_count, table
+from edgeframe.session import written_path
 from edgeframe.sources import random_coo, zeros
 
 queries = Registry()
@@ -57,10 +60,13 @@ def spmm_orders(spark, d):
 
 def two_ends(spark, d):
     """Lineitems with price and size of the parts that part key and supplier key name."""
+    return gather_many(table(spark, d, "lineitem"), end_gathers(spark, d))
+
+
+def end_gathers(spark, d):
     part = table(spark, d, "part")
-    return gather_many(table(spark, d, "lineitem"), [
-        Gather(part, "l_partkey", {"a_0": "p_retailprice", "a_1": "p_size"}, id="p_partkey"),
-        Gather(part, "l_suppkey", {"b_0": "p_retailprice", "b_1": "p_size"}, id="p_partkey")])
+    return [Gather(part, "l_partkey", {"a_0": "p_retailprice", "a_1": "p_size"}, id="p_partkey"),
+            Gather(part, "l_suppkey", {"b_0": "p_retailprice", "b_1": "p_size"}, id="p_partkey")]
 
 
 _SIX = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "1"]
@@ -68,18 +74,34 @@ _TWO = "lineitem JOIN part a ON l_partkey = a.p_partkey JOIN part b ON l_suppkey
 _R = ["(a.p_retailprice + b.p_retailprice)", "CAST(a.p_size + b.p_size AS DOUBLE)"]
 
 
-@queries.query(f"""
+_TWO_MAPS = f"""
 SELECT l_orderkey, l_linenumber, {_R[0]} + l_quantity AS by_pair_0, {_R[1]} + l_discount AS by_pair_1,
   {", ".join(f"{_R[i % 2]} + {c} AS by_six_{i}" for i, c in enumerate(_SIX))}
-FROM {_TWO}""")
-def two_selectors_map(spark, d):
+FROM {_TWO}"""
+
+
+def two_maps(ends):
     r = V.of("a_0", "a_1") + V.of("b_0", "b_1")
     six = V.of(*_SIX[:5], F.lit(1.0))
-    return edge_map(two_ends(spark, d),
-                    {"by_pair": r + V.of("l_quantity", "l_discount"), "by_six": r + six},
+    return edge_map(ends, {"by_pair": r + V.of("l_quantity", "l_discount"), "by_six": r + six},
                     ["l_orderkey", "l_linenumber"])
 
 
+@queries.query(_TWO_MAPS)
+def two_selectors_map(spark, d):
+    return two_maps(two_ends(spark, d))
+
+
+@queries.query(_TWO_MAPS)
+def two_selectors_grid(spark, d):
+    """The maps of ``two_selectors_map`` on lineitems stored in blocks of a grid of part keys
+    and supplier keys."""
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", *_SIX[:5])
+    layout = store_edges(lines, written_path(spark, "grid"), by=["l_partkey", "l_suppkey"])
+    return two_maps(gather_stored(layout, end_gathers(spark, d)))
+
+
 @queries.query(per_order({"r1": "0.5 * pow(p_size, 2) * l_quantity",
                           "r2": "0.5 * pow(p_size, 2) * l_tax"}))
 def multi_reducer(spark, d):

@@ -27,6 +27,9 @@ def make_session(master: str, app: str = "edgeframe", **conf: str) -> SparkSessi
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # Hash instead of sort where a shuffled vertex partition is measured to be small.
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+        # Join stored edges where their part lies: part and index are the join's keys, the
+        # part alone is what the tables are placed by.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         # Recording the caller of every column operation makes building a plan slow.
