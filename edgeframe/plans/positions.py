@@ -19,7 +19,8 @@ from edgeframe.operators import (
 )
 from edgeframe.plans.registry import EDGE_ORDER, EDGE_ORDER_SQL, Registry, row_count, table
 from edgeframe.plans.sums import mix_sql
-from edgeframe.sources import random_csr
+from edgeframe.session import written_path
+from edgeframe.sources import random_csr, read_rows, store_rows
 
 queries = Registry()
 SCALE = 4
@@ -152,3 +153,22 @@ def edge_position_gathered(spark, d):
         Gather(table(spark, d, "supplier"), "l_suppkey", {"balance": "s_acctbal"},
                id="s_suppkey")])
     return edge_position(edges, "l_orderkey", EDGE_ORDER)
+
+
+SLICES = 4
+
+
+@queries.query(f"""
+SELECT {EDGE_ORDER_SQL}, CAST(row_number() OVER (ORDER BY {EDGE_ORDER_SQL}) - 1 AS BIGINT) AS pos,
+  CAST(l_orderkey * {SLICES} // (SELECT max(o_orderkey) + 1 FROM orders) AS INTEGER) AS slice
+FROM lineitem""", "read_rows")
+def read_rows_query(spark, d):
+    """All lineitems, stored in row order and read back in slices of rows with their positions."""
+    path, n = written_path(spark, "rows"), row_count(spark, d, "orders", "o_orderkey")
+    store_rows(table(spark, d, "lineitem").select("l_orderkey", *EDGE_ORDER), path, "l_orderkey",
+               EDGE_ORDER)
+    first, *rest = [read_rows(spark, path, -(-k * n // SLICES), -(-(k + 1) * n // SLICES), "pos")
+                    .withColumn("slice", F.lit(k)) for k in range(SLICES)]
+    for r in rest:
+        first = first.union(r)
+    return first
