@@ -7,6 +7,8 @@ from .check import (
     compare_eps,
     compare_exact,
     compare_ranges,
+    input_faults,
+    require_inputs,
     validate_inputs,
 )
 from .flow import edge_divergence, edge_interpolate, iterate, weighted_update
@@ -44,8 +46,8 @@ __all__ = [
     "coo_to_csr_offsets", "count_by_row",
     "csr_to_coo", "duplicate_ids", "edge_divergence", "edge_interpolate", "edge_map",
     "edge_map_reduce", "edge_position", "gather", "gather_many", "gather_stored", "global_array_sum",
-    "global_position", "global_sum", "hot_values", "infer_num_rows", "iterate", "normalise",
-    "offset_pointer", "open_edges", "position_owner", "running_sum", "scatter_array_sum", "scatter_combine", "scatter_sum",
+    "global_position", "global_sum", "hot_values", "infer_num_rows", "input_faults", "iterate", "normalise",
+    "offset_pointer", "open_edges", "position_owner", "require_inputs", "running_sum", "scatter_array_sum", "scatter_combine", "scatter_sum",
     "segment_running_sum", "segment_sum", "spmm", "spmv", "store_edges", "validate_inputs",
     "weighted_update",
 ]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edgeframe.operators.gather import Gather, check_index, duplicate_ids
 from edgeframe.session import written
 
 REL_FLOOR = 1e-15   # added to |a| in relative differences
@@ -269,3 +270,30 @@ def validate_inputs(edges: DataFrame, *, values: Mapping[str, int] | None = None
         F.struct(F.lit(k).alias("check"), v.cast("bigint").alias("violations"))
         for k, v in checks.items()]).alias("_all"))
     return one.select(F.explode("_all").alias("_r")).select("_r.*")
+
+
+def input_faults(edges: DataFrame, gathers: Sequence[Gather], *,
+                 keys: Sequence[str] = ()) -> DataFrame:
+    """``(check, violations)`` of all that a job over ``edges`` reads: null and negative
+    indices and rows, edges that name no vertex, vertex ids that several rows hold.
+
+    One pass over the edges for the columns, one counted by value for each index.
+    """
+    indices = list(dict.fromkeys([*[g.idx for g in gathers], *keys]))
+    found = validate_inputs(edges, indices=indices).where(F.col("check") != "empty_edges")
+    sides = {(id(g.table), g.idx, g.id): g for g in gathers}
+    for g in sides.values():
+        lost = check_index(edges, g.idx, vertices=g.table, id=g.id)
+        twice = duplicate_ids(g.table, g.id).agg(F.count(F.lit(1)).alias("n"))
+        found = found.union(lost.select(F.lit(f"dangling_index:{g.idx}"), "dangling_ids")).union(
+            twice.select(F.lit(f"duplicate_vertex:{g.idx}:{g.id}"), "n"))
+    return found
+
+
+def require_inputs(edges: DataFrame, gathers: Sequence[Gather], *,
+                   keys: Sequence[str] = ()) -> None:
+    """Raises ``ValueError`` with every kind of fault that ``input_faults`` counts."""
+    faults = input_faults(edges, gathers, keys=keys).where("violations > 0").collect()
+    if faults:
+        raise ValueError("inputs are not valid: " + ", ".join(
+            f"{r['check']} {r['violations']}" for r in sorted(faults)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from edgeframe.functions.vec import V
 from edgeframe.operators.assign import Expr, expand
+from edgeframe.operators.check import require_inputs
 from edgeframe.operators.gather import Gather, gather, gather_many
 
 Domain = int | DataFrame | None
@@ -218,8 +219,13 @@ def spmm(coo: DataFrame, x: DataFrame, columns: Mapping[str, str], *, row: str =
 def edge_map_reduce(edges: DataFrame, gathers: Sequence[Gather], *,
                     reduce: Mapping[str, Expr], key: str | None = None, domain: Domain = None,
                     id: str = "id", scale: int | None = None,
-                    on_missing: str = "raise") -> DataFrame:
-    """Gather, map and sum in one plan: by row with a ``key``, over everything without."""
+                    on_missing: str = "raise", validate: bool = False) -> DataFrame:
+    """Gather, map and sum in one plan: by row with a ``key``, over everything without.
+
+    ``validate`` runs ``require_inputs`` first.
+    """
+    if validate:
+        require_inputs(edges, gathers, keys=[] if key is None else [key])
     on_edges = gather_many(edges, gathers, on_missing=on_missing)
     if key is None:
         return global_sum(on_edges, reduce, scale=scale)

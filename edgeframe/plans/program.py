@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 
 from edgeframe.functions.vec import V
 from edgeframe.operators.assign import edge_map
+from edgeframe.operators.check import require_inputs
 from edgeframe.operators.gather import Gather, gather_many
 from edgeframe.operators.reduce import Domain, global_sum, scatter_sum
 
@@ -126,10 +127,14 @@ class EdgeProgram:
 
     # ---- result ----------------------------------------------------------------
 
-    def run(self, *, persist: bool = False) -> ProgramResult:
-        """``persist`` keeps the gathered edges when several results will be read."""
+    def run(self, *, persist: bool = False, validate: bool = False) -> ProgramResult:
+        """``persist`` keeps the gathered edges when several results will be read;
+        ``validate`` runs ``require_inputs`` before anything else."""
         self._gathers, self._maps, self._row_sums, self._totals = [], {}, {}, {}
         self.forward()
+        if validate:
+            require_inputs(self.edges, self._gathers,
+                           keys=list(dict.fromkeys(s.key for s in self._row_sums.values())))
         on_edges = gather_many(self.edges, self._gathers)
         if persist:
             on_edges = on_edges.persist(StorageLevel.MEMORY_AND_DISK)

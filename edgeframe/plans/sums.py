@@ -15,6 +15,7 @@ from edgeframe.operators import (
     gather_stored,
     global_array_sum,
     global_sum,
+    input_faults,
     scatter_array_sum,
     scatter_combine,
     scatter_sum,
@@ -28,7 +29,7 @@ from edgeframe.operators.gather import hot_keys
 from edgeframe.plans.program import EdgeProgram
 from edgeframe.plans.registry import Registry, row_count, table
 from edgeframe.session import written_path
-from edgeframe.sources import random_coo, zeros
+from edgeframe.sources import collect_tensor, random_coo, zeros
 
 queries = Registry()
 SCALE = 4
@@ -271,6 +272,43 @@ def validate_inputs_query(spark, d):
                            indices=["vec_id"])
 
 
+_LOST = """SELECT '{check}:{idx}' AS "check", count(*) AS violations
+  FROM lineitem WHERE {where}"""
+
+
+@queries.query(" UNION ALL ".join(
+    _LOST.format(check=check, idx=idx, where=where.format(idx=idx))
+    for idx in ("l_partkey", "l_suppkey", "l_orderkey")
+    for check, where in (("null_index", "{idx} IS NULL"), ("negative_index", "{idx} < 0"))) + """
+UNION ALL SELECT 'dangling_index:l_partkey', count(*) FROM lineitem
+  WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+UNION ALL SELECT 'duplicate_vertex:l_partkey:p_partkey', count(*) FROM (
+  SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'dangling_index:l_suppkey', count(*) FROM lineitem
+  WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+UNION ALL SELECT 'duplicate_vertex:l_suppkey:s_suppkey', count(*) FROM (
+  SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 GROUP BY 1 HAVING count(*) > 1)""",
+    "input_faults")
+def input_faults_query(spark, d):
+    """What a job over lineitems would lose without the suppliers that owe money."""
+    paid = table(spark, d, "supplier").where("s_acctbal > 0")
+    return input_faults(table(spark, d, "lineitem"), [
+        Gather(table(spark, d, "part"), "l_partkey", {"price": "p_retailprice"}, id="p_partkey"),
+        Gather(paid, "l_suppkey", {"balance": "s_acctbal"}, id="s_suppkey")],
+        keys=["l_orderkey"])
+
+
+@queries.query("""
+SELECT n_nationkey::BIGINT AS id, coalesce(b, 0) AS balance FROM nation LEFT JOIN (
+  SELECT c_nationkey AS k, CAST(sum(CAST(c_acctbal AS DECIMAL(28, 2))) AS DOUBLE) AS b
+  FROM customer GROUP BY 1) ON k = n_nationkey""", "collect_tensor")
+def collect_tensor_query(spark, d):
+    """Balances by nation, one row for each of the nations, to the driver and back."""
+    sums = scatter_sum(table(spark, d, "customer"), "c_nationkey", {"balance": V.of("c_acctbal")},
+                       table(spark, d, "nation"), id="n_nationkey", scale=2)
+    return spark.createDataFrame(collect_tensor(sums), sums.schema)
+
+
 def mix_sql(id_: str, seed: int, stream: int) -> str:
     x = (f"(({id_}) % {PRIME} + (({id_}) // {PRIME}) * {7919 * (stream + 1)}"
          f" + {seed * 1_000_003 + stream * 7_919 + 1}) % {PRIME}")

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeframe import check_schema, compare_close, compare_eps, compare_exact, validate_inputs
+from edgeframe.functions import V
+from edgeframe.operators import Gather, edge_map_reduce, input_faults
+from edgeframe.plans import EdgeProgram
 
 NAN = float("nan")
 
@@ -105,3 +108,26 @@ def test_equal_tables_have_no_ranges(spark):
     b = a.selectExpr("id", "IF(id = 4001, 0, x) AS x")
     assert [r["range"] for r in differing_ranges(a, b, "id", ["x"], fine=16, coarse=64).collect()] \
         == [4001 // 16]
+
+
+def test_inputs_of_a_job(spark):
+    edges = spark.createDataFrame([(0, 1, 2.0), (None, 1, 1.0), (1, 9, 1.0), (1, None, 1.0), (0, -1, 3.0)],
+                                  "r bigint, c bigint, w double")
+    vertices = spark.createDataFrame([(1, 5.0), (1, 6.0), (2, 7.0)], "id bigint, x double")
+    take = [Gather(vertices, "c", {"x": "x"}), Gather(vertices, "c", {"y": "x"})]
+    found = {r["check"]: r["violations"] for r in input_faults(edges, take, keys=["r"]).collect()}
+    assert found == {"null_index:c": 1, "negative_index:c": 1, "null_index:r": 1,
+                     "negative_index:r": 0, "dangling_index:c": 2, "duplicate_vertex:c:id": 1}
+    with pytest.raises(ValueError, match="dangling_index:c 2, duplicate_vertex:c:id 1"):
+        edge_map_reduce(edges, take, reduce={"y": V.of("x")}, key="r", validate=True)
+
+    class Job(EdgeProgram):
+        def forward(self):
+            x = self.selector("c")(self.vertices(vertices, "x"))
+            self.output("y", self.reducer("r")(x * self.edge("w")))
+
+    with pytest.raises(ValueError, match="null_index:r 1"):
+        Job(edges).run(validate=True)
+    vertices = vertices.where("x > 5")
+    assert [tuple(r) for r in Job(edges.where("c = 1 and r = 0")).run(
+        validate=True).rows["r"].collect()] == [(0, 12.0)]
