@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from edgeframe.llm.common import free_name, small_batches, with_row_id
-from edgeframe.session import written_path
+from edgeframe.session import sized_shuffles, written_path
 
 SHARDS = 40
 BUCKET_BYTES = 16 << 20
@@ -38,17 +38,26 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def shard_bytes(docs: DataFrame, *, shards: int = SHARDS, seed: int = 11, text: str = "text",
+                id: str = "doc_id") -> dict[int, int]:
+    """Bytes of the records of each shard, one number per shard."""
+    sums = docs.groupBy(shard_of(F.col(f"`{id}`"), shards, seed).alias("shard")).agg(
+        F.sum(size_of(F.col(f"`{text}`"))).alias("bytes")).collect()
+    return {r["shard"]: r["bytes"] for r in sums}
+
+
 def scatter(docs: DataFrame, *, shards: int = SHARDS, seed: int = 11, text: str = "text",
-            id: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+            id: str = "doc_id", bucket_bytes: int = BUCKET_BYTES,
+            held: dict[int, int] | None = None) -> DataFrame:
     """Pass one: columns doc (the whole record), shard, bucket, tie (an order of records
-    that does not depend on how they arrive)."""
+    that does not depend on how they arrive).  ``held``: ``shard_bytes``, if known."""
     row = free_name(docs, "__row")
     key = F.col(f"`{id}`")
     at = F.col(row)["at"]
-    # One number per shard: a shard of a much repeated id has as many buckets as it fills.
-    sums = docs.groupBy(shard_of(key, shards, seed).alias("shard")).agg(
-        F.sum(size_of(F.col(f"`{text}`"))).alias("bytes")).collect()
-    filled = {r["shard"]: -(-r["bytes"] // bucket_bytes) for r in sums}
+    if held is None:
+        held = shard_bytes(docs, shards=shards, seed=seed, text=text, id=id)
+    # A shard of a much repeated id has as many buckets as it fills.
+    filled = {shard: -(-n // bucket_bytes) for shard, n in held.items()}
     buckets = F.get(F.array(*[F.lit(max(1, filled.get(k, 1))) for k in range(shards)]),
                     F.col("shard"))
     return with_row_id(docs, row).select(
@@ -84,11 +93,18 @@ def write_shards(docs: DataFrame, path: str | None = None, **how) -> str:
 
     Records keep all their columns, in a struct ``doc``, so no name can clash.  A null
     text has no bytes; null ids are one id and share a shard; repeated rows are separate
-    records.  An empty table writes no records.
+    records; a very long text fills a bucket of its own.  An empty table writes no records.
+
+    Pass two starts with a task for every 128 MB of records, so what a task reads does not
+    grow with the table.
     """
-    path = path or written_path(docs.sparkSession, "shards")
+    spark = docs.sparkSession
+    path = path or written_path(spark, "shards")
     seed = how.get("seed", 11)
-    shuffle_buckets(scatter(docs, **how), seed).write.partitionBy("shard").parquet(path)
+    held = shard_bytes(docs, **{k: v for k, v in how.items() if k != "bucket_bytes"})
+    with sized_shuffles(spark, sum(held.values())):
+        shuffle_buckets(scatter(docs, held=held, **how), seed).write.partitionBy(
+            "shard").parquet(path)
     return path
 
 
