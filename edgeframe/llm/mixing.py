@@ -7,7 +7,9 @@ from the top of that order up to the budget.
 
 The order is never made in one task.  Keys fall into ranges of equal width; sums per source
 and range, added up over a bounded number of ranges, say which ranges are taken whole and
-which one holds the edge of the budget.  Only rows of that one range are sorted.
+which one holds the edge of the budget.  In that range the edge is looked for among the
+different keys, and rows that share the key at the edge (repeated or null ids) are divided
+by a hash of the row: only rows of one key and one hash range are sorted.
 """
 
 from __future__ import annotations
@@ -81,6 +83,30 @@ def targets(rows: DataFrame, weights: Sequence[float], share: float, most: float
         "cap", F.max("level").over(every) * F.col("w")).alias("target"))
 
 
+def divided(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of each source by groups in ascending order: those of groups that lie wholly
+    inside or outside the rest of the budget, with ``more``, and those of the one group per
+    source that holds its edge, with ``before`` moved to where the group begins."""
+    words = rows.groupBy("source", *group).agg(
+        F.sum("size").alias("words"), F.max("before").alias("before"), F.max("rest").alias("rest"))
+    upto = F.col("before") + F.sum("words").over(
+        Window.partitionBy("source").orderBy(*group).rowsBetween(Window.unboundedPreceding, 0))
+    begins = F.col("upto") - F.col("words")
+    # Sums only grow, so a source has one such group.
+    held = words.withColumn("upto", upto).where(
+        (begins <= F.col("rest")) & (F.col("upto") > F.col("rest"))).select(
+        F.col("source").alias("_source"), begins.alias("_begins"),
+        F.struct(*group).alias("_group"))
+    met = rows.join(held, F.col("source").eqNullSafe(F.col("_source"))) \
+        .withColumn("_mine", F.struct(*group))
+    same = F.col("_mine").eqNullSafe(F.col("_group"))
+    kept = [c for c in rows.columns if c != "before"]
+    # Structs compare like the window sorts: field by field, nulls first.
+    return (met.where(~same).select(*kept, "before",
+                                    (F.col("_mine") < F.col("_group")).alias("more")),
+            met.where(same).select(*kept, F.col("_begins").alias("before")))
+
+
 def mix(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str = "source",
         weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0,
         seed: int = 7) -> DataFrame:
@@ -89,7 +115,7 @@ def mix(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str
     ``copies`` is the number of complete epochs, and one more for documents in the
     fractional selection: those whose middle, in the order of keys, lies below what the
     budget still holds.  So a source misses its target by half a document at most.  Ties
-    of keys are ordered by id, then row.  Null and empty texts have 0 words and are taken
+    of keys are ordered by id, then by a hash of the row.  Null and empty texts have 0 words and are taken
     in epochs only; an empty table gives no rows.  Null sources are one source; a null id
     has a key like any other.
     """
@@ -112,12 +138,20 @@ def mix(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str
         .select("row", "id", "size", "key", F.col("r.source").alias("source"), "source_size",
                 "target", "epochs", "rest", "upto", "before"))
     edge = (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
-    inside = Window.partitionBy("source").orderBy(F.col("key").desc(), "id", "row")
+    others = placed.where(~edge).withColumn("more", F.col("upto") <= F.col("rest"))
+    # Positions and numbers of files are the same when the rows are stored once more.
+    number = F.regexp_extract(F.col("row")["file"], r"part-(\d+)", 1)
+    at_edge = written(placed.where(edge).drop("upto").withColumns({
+        "far": -F.col("key"), "tie": F.xxhash64(F.col("row")["at"], number)}), "edge").withColumn(
+        "part", F.pmod("tie", F.lit(RANGES)))
+    by_key, at_key = divided(at_edge, ["far", "id"])
+    by_hash, at_hash = divided(at_key, ["part"])
+    inside = Window.partitionBy("source").orderBy("tie", "row")
     sums = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    sorted_edge = placed.where(edge).withColumn(
+    last = at_hash.withColumn(
         "more", F.col("before") + sums - F.col("size") / 2 < F.col("rest"))
-    others = placed.where(~edge).withColumn("more", F.col("upto") <= F.col("rest"))
-    return sorted_edge.unionByName(others).select(
+    return others.unionByName(by_key, True).unionByName(by_hash, True) \
+        .unionByName(last, True).select(
         "row", "id", "size", "source_size", "target", "epochs",
         (F.col("epochs") + (F.col("more") & (F.col("size") > 0)).cast("long")).alias("copies"))
 

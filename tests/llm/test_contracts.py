@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from edgeframe.llm import langid, pii, quality, simhash
+from edgeframe.llm import langid, mixing, pii, quality, shards, simhash
 from edgeframe.session import written
 
 SF = "/root/testdata/sf0.001"
@@ -156,3 +156,43 @@ def test_duplicate_lines(docs):
         if r.doc_id != -4:
             assert rows[r.doc_id] == n
     assert rows[-5] == 2
+
+
+def test_mixing_order_does_not_depend_on_ranges(docs, monkeypatch):
+    want = {(r.id, r.size, r.copies) for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "RANGES", 2)        # half of a source holds the edge
+    assert {(r.id, r.size, r.copies) for r in mixing.mix(docs).collect()} == want
+
+
+@pytest.mark.parametrize("id", ["7", None])
+@pytest.mark.parametrize("ranges", [3, 1 << 14])
+def test_mixing_of_rows_that_share_a_key(docs, monkeypatch, id, ranges):
+    """All rows of a source have one id and the same words, so one key."""
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    same = docs.select(F.lit(id).alias("doc_id"), "source", F.when(
+        F.col("doc_id") % 9 == 0, F.lit(None)).otherwise("a b c d e").alias("text"))
+    same = written(same, "same")
+    got = mixing.mix(same).collect()
+    assert len(got) == same.count()
+    by = {}
+    for r in got:
+        assert r.copies <= 2 and (r.size or not r.copies or r.copies == r.epochs)
+        by.setdefault((r.source_size, r.target), []).append(r.copies * r.size)
+    sources = same.select("source").distinct().count()
+    if len(by) == sources:      # no two sources of one size and target
+        for (_, target), taken in by.items():
+            assert abs(sum(taken) - target) <= 2.5 + 1e-6
+    key = lambda rs: sorted((r.row.at, r.size, r.copies) for r in rs)
+    assert key(mixing.mix(written(same, "again")).collect()) == key(got)
+
+
+def test_equal_ids_share_a_shard_and_slots_have_no_gaps(spark, docs):
+    twice = docs.union(docs).withColumn("doc_id", F.col("doc_id") % 50)
+    got = shards.op2(twice).collect()
+    assert len({(r.doc_id, r.shard) for r in got}) == len({r.doc_id for r in got})
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                          None) is None
