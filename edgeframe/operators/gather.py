@@ -4,6 +4,10 @@ A gather is an equi-join on a unique vertex id that gives one row per edge.  Sma
 broadcast by Spark itself, which knows their size.  For larger ones the edges are
 shuffled by the index; an index value that owns a large share of the edges would then
 land in one task, so such values are looked up first and spread over salts.
+
+Wide vertex values that are summed by another column afterwards do not have to move with every
+edge: with ``near`` the edges of an index value move as a list, with one copy of the vertex, to
+the block of rows they belong to.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeframe.session import broadcast_limit, estimated_bytes, leaf_bytes, shuffle_partitions
+from edgeframe.session import (PARTITION_BYTES, broadcast_limit, estimated_bytes, leaf_bytes,
+                               shuffle_partitions)
 
 HOT_SHARE = 0.001           # least share of the edges that makes an index value hot
 SMALL_EDGES = 1 << 30       # edge tables up to this many bytes need no spreading
 SAMPLE = 0.001              # share of the edges in which hot values are looked for
+SMALL_LISTS = 64 << 20      # edge tables up to this many bytes fit in one list of edges
 
 Skew = str | Mapping[str, Mapping[object, float]]
 
@@ -131,7 +137,7 @@ def _attach(edges: DataFrame, side: DataFrame, idx: str, hot: Mapping,
 def gather(edges: DataFrame, vertices: DataFrame, idx: str,
            columns: Mapping[str, str | Column] | Sequence[str], *, id: str = "id",
            skew: Skew = "auto", on_missing: str = "raise",
-           unique: str = "assume") -> DataFrame:
+           unique: str = "assume", near: str | None = None) -> DataFrame:
     """Each edge with ``columns`` of the vertex that ``idx`` names.
 
     Columns may be expressions over the vertex table, evaluated before the join.  An edge
@@ -139,9 +145,47 @@ def gather(edges: DataFrame, vertices: DataFrame, idx: str,
     it, at the cost of no further shuffle; with ``on_missing="drop"`` it is left out.
     Vertex ids must be unique; with ``unique="check"``, which aggregates the vertex side,
     a table with a repeated id fails the query too.
+
+    ``near`` names a column by which wide ``columns`` are summed next.  The edges of one value
+    of it come out of one task, so the sum moves a row per value; a vertex moves once for each
+    block of values that has edges to it, never more often than it has edges.
     """
-    return gather_many(edges, [Gather(vertices, idx, columns, id)], skew=skew,
-                       on_missing=on_missing, unique=unique)
+    one = Gather(vertices, idx, columns, id)
+    if near is None or edges.columns == [idx]:
+        return gather_many(edges, [one], skew=skew, on_missing=on_missing, unique=unique)
+    return _gather_near(edges, one, near, skew, on_missing, unique)
+
+
+def _gather_near(edges: DataFrame, one: Gather, near: str, skew: Skew, on_missing: str,
+                 unique: str) -> DataFrame:
+    """``gather`` by lists: the edges of an index value and a block of ``near``, and a salt if
+    the value is hot, are one row until the vertex is there and the row is in its block."""
+    clash = set(one.outputs()) & set(edges.columns)
+    if clash:
+        raise ValueError(f"gathered columns {sorted(clash)} already exist")
+    spark, size = edges.sparkSession, leaf_bytes(edges)
+    blocks = max(spark.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
+    if not isinstance(skew, str):
+        hot = skew.get(one.idx, {})
+    else:
+        hot = hot_keys(edges, one.idx, share=max(HOT_SHARE, 0.5 / blocks)) \
+            if skew == "auto" and size > SMALL_LISTS else {}
+    placed = {"_block": F.pmod(F.xxhash64(near), F.lit(blocks).cast("bigint")).cast("int")}
+    if hot:
+        salts = F.create_map(*[F.lit(x) for k, share in hot.items() for x in (
+            k, max(2, math.ceil(2 * share * blocks)))])[F.col(one.idx)]
+        placed["_salt"] = F.when(
+            salts.isNotNull(), F.pmod(F.spark_partition_id(), salts)).otherwise(F.lit(0))
+    rest = [c for c in edges.columns if c != one.idx]
+    keys = [one.idx, *placed]
+    # Moved before they are collected: lists of one map task would seldom hold two edges.
+    lists = (edges.withColumns(placed).repartition(*keys)
+             .groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_edges")))
+    met = gather_many(lists, [one], skew="off", on_missing=on_missing, unique=unique)
+    return (met.repartitionById(blocks, F.col("_block"))
+            .select(one.idx, *one.outputs(), F.explode("_edges").alias("_edge"))
+            .select(*[F.col(c) if c == one.idx else F.col(f"_edge.`{c}`") for c in edges.columns],
+                    *one.outputs()))
 
 
 def gather_many(edges: DataFrame, gathers: Sequence[Gather], *, skew: Skew = "auto",

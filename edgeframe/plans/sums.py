@@ -202,7 +202,8 @@ FROM (SELECT p_partkey, unnest(range(64)) AS i FROM part) LEFT JOIN (
 def wide_gather_scatter(spark, d):
     """Vectors of 64 gathered by supplier key, scaled per edge and summed by part."""
     edges = gather(table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"),
-                   table(spark, d, "embeddings"), "l_suppkey", {"vec": "embedding"}, id="vec_id")
+                   table(spark, d, "embeddings"), "l_suppkey", {"vec": "embedding"}, id="vec_id",
+                   near="l_partkey")
     scaled = array_map(F.col("vec"), lambda x: x.cast("double") * F.col("l_quantity"))
     return scatter_array_sum(edges, "l_partkey", scaled, 64, table(spark, d, "part"),
                              id="p_partkey", scale=SCALE)

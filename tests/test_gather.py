@@ -127,3 +127,50 @@ def test_repeated_vertex_ids_can_fail(spark):
     assert gather(two, vertices.where("id = 2"), "i", ["x"], unique="check").first().x == 4.0
     with pytest.raises(Exception, match="several vertices"):
         gather(two, vertices, "i", ["x"], unique="check").collect()
+
+
+def test_near_moves_a_vertex_once_per_block(spark, vertices, monkeypatch):
+    """Rows of one ``near`` value come out of one task, whatever is hot, null or repeated."""
+    edges = spark.range(0, 900, 1, 6).select(
+        F.col("id").alias("e"),
+        F.when(F.col("id") % 3 == 0, 3).otherwise(F.col("id") % 10).cast("long").alias("i"),
+        F.when(F.col("id") % 50 > 0, F.col("id") % 97).alias("row"))
+    edges = edges.union(edges.where("e < 5"))
+    plain = gather(edges, vertices, "i", {"xi": "x"})
+    for small in (1 << 40, -1):
+        monkeypatch.setattr(g, "SMALL_LISTS", small)
+        monkeypatch.setattr(g, "SAMPLE", 1.0)
+        near = gather(edges, vertices, "i", {"xi": "x"}, near="row")
+        assert ("_salt" in near._jdf.queryExecution().analyzed().toString()) == (small < 0)
+        assert near.schema == plain.schema
+        assert sorted(map(str, near.collect())) == sorted(map(str, plain.collect()))
+        places = near.select("row", F.spark_partition_id().alias("p")).distinct()
+        assert places.count() == edges.select("row").distinct().count()
+    alone = edges.select("i")
+    assert gather(alone, vertices, "i", {"xi": "x"}, near="i").count() == 905
+
+
+def test_near_treats_edges_without_a_vertex_like_gather(spark, vertices):
+    lost = spark.createDataFrame([(1, 3, 0), (2, 77, 0), (3, None, 1)], "e long, i long, row long")
+    kept = gather(lost, vertices, "i", {"xi": "x"}, near="row", on_missing="drop")
+    assert [tuple(r) for r in kept.collect()] == [(1, 3, 0, 4.5)]
+    with pytest.raises(Exception, match="names no vertex"):
+        gather(lost, vertices, "i", {"xi": "x"}, near="row").collect()
+    with pytest.raises(ValueError, match="already exist"):
+        gather(lost, vertices, "i", {"row": "x"}, near="row")
+
+
+def test_wide_vectors_move_by_blocks_of_rows(spark, tmp_path):
+    """wide_gather_scatter: the vectors go to the rows' blocks, not with every edge."""
+    from edgeframe.plans import all_queries
+
+    spark.range(40).select((F.col("id") % 4).alias("l_partkey"), (F.col("id") % 3).alias(
+        "l_suppkey"), F.lit(2.0).alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast(
+        "float"), 64).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = all_queries()["wide_gather_scatter"].build(spark, str(tmp_path))
+    assert "collect_list" in out._jdf.queryExecution().optimizedPlan().toString()
+    sums = {k: sum(2.0 * (i % 3) for i in range(40) if i % 4 == k) for k in range(5)}
+    assert sorted(map(tuple, out.collect())) == sorted(
+        (k, j, sums[k]) for k in range(5) for j in range(64))
