@@ -78,6 +78,18 @@ def _keyed(edges: DataFrame, key: str, on_null: str) -> tuple[DataFrame, Column]
     return edges, F.coalesce(row, F.raise_error(F.lit(f"{key} is null")).cast("bigint"))
 
 
+def _placed(edges: DataFrame, key: str, on_null: str) -> tuple[DataFrame, Column]:
+    """``_keyed`` with the row id as a plain column: edges that a join has just placed by
+    ``key`` are summed where they lie."""
+    if on_null != "raise":
+        return _keyed(edges, key, on_null)
+    # Naming the task makes the check one that Spark neither moves below a join nor infers
+    # for the other side of it.
+    message = F.concat(F.lit(f"{key} is null, in task "), F.spark_partition_id().cast("string"))
+    return edges.where(F.when(F.col(key).isNotNull(), F.lit(True)).otherwise(
+        F.raise_error(message).cast("boolean"))), F.col(key).cast("bigint")
+
+
 def scatter_combine(parts: Sequence[tuple[DataFrame, str, Mapping[str, Expr]]],
                     domain: Domain = None, *, id: str = "id", scale: int | None = None,
                     on_null: str = "raise") -> DataFrame:
@@ -92,7 +104,7 @@ def scatter_combine(parts: Sequence[tuple[DataFrame, str, Mapping[str, Expr]]],
         raise ValueError("give at least one sum, and none named 'id'")
     pieces = []
     for (edges, key, _), flat in zip(parts, flats):
-        edges, row = _keyed(edges, key, on_null)
+        edges, row = (_placed if domain is None else _keyed)(edges, key, on_null)
         pieces.append(edges.select(row.alias("id"),
                                    *[addend(flat[n], scale).alias(n) for n in flat]))
     aggs = [total(F.col(n), scale).alias(n) for n in names]

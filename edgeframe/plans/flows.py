@@ -136,8 +136,9 @@ def pull_step(spark, d, layout=None):
         take = functools.partial(gather_stored, layout)
 
     def step(state):
-        ends = take([Gather(state, "l_partkey", {"h_src": "h"}),
-                     Gather(state, "l_suppkey", {"h_dst": "h"})])
+        # The key of the sum last: the edges are summed where its gather has put them.
+        ends = take([Gather(state, "l_suppkey", {"h_dst": "h"}),
+                     Gather(state, "l_partkey", {"h_src": "h"})])
         pull = 0.001 * V.of("l_quantity") * (V.of("h_dst") - V.of("h_src"))
         change = scatter_sum(ends, "l_partkey", {"h": pull}, scale=SCALE)
         return weighted_update(state, [(0.1, change)], ["h"])

@@ -94,3 +94,57 @@ def test_checkpoints_cut_the_plan(ring):
     sizes = [len(iterate(state, diffuse(edges), n)._jdf.queryExecution().optimizedPlan().toString())
              for n in (2, 5)]
     assert sizes[1] < sizes[0] * 1.1
+
+
+def test_edges_are_summed_where_the_last_gather_put_them(spark):
+    """A sum by the index of the join before it moves no edges; null rows still fail, null
+    vertex ids do not, and rows a join drops are not looked at."""
+    edges = spark.createDataFrame([(k % 5, k % 3, float(k)) for k in range(60)],
+                                  "row long, col long, w double")
+    state = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0), (4, 5.0), (None, 6.0)],
+                                  "id long, h double")
+    lost = edges.union(spark.createDataFrame([(None, 1, 1.0)], edges.schema))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def summed(e, on_missing="raise"):
+            met = gather_many(e, [Gather(state, "col", {"c": "h"}), Gather(state, "row", {"r": "h"})],
+                              on_missing=on_missing)
+            return scatter_sum(met, "row", {"s": V.of("w") * V.of("c") * V.of("r")}, scale=2)
+
+        out = summed(edges)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 4    # two gathers, both sides
+        want = {r: sum(k * (k % 3 + 1.0) * (r + 1) for k in range(60) if k % 5 == r)
+                for r in range(5)}
+        assert {r["id"]: r["s"] for r in out.collect()} == want
+        assert {r["id"]: r["s"] for r in summed(lost, "drop").collect()} == want
+        direct = scatter_sum(lost, "row", {"s": V.of("w")})
+        with pytest.raises(Exception, match="row is null"):
+            direct.collect()
+        with pytest.raises(Exception, match="row is null"):
+            state.join(direct, "id", "left").collect()
+        kept = scatter_sum(lost, "row", {"s": V.of("w")}, on_null="drop").collect()
+        assert sorted(r["id"] for r in kept) == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["iterate_k", "iterate_snapshots"])
+def test_a_step_moves_the_edges_twice(spark, tmp_path, name):
+    from edgeframe.plans import flows
+
+    spark.createDataFrame([(k % 4, k % 3, 1.0) for k in range(24)], "l_partkey long, "
+                          "l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 10.0 * k) for k in range(4)], "p_partkey long, p_retailprice "
+                          "double").write.parquet(f"{tmp_path}/part.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start, step = flows.pull_step(spark, str(tmp_path))
+        plan = step(start)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 5    # edges twice, prices thrice
+        out = flows.queries.queries[name].build(spark, str(tmp_path))
+        assert out.count() == (4 if name == "iterate_k" else 12)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
