@@ -43,7 +43,8 @@ def with_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
     """``cells`` plus their corners: ``x0, y0 … x2, y2``.
 
     One row per corner takes its point in a single join; one aggregation by cell brings
-    the three back together.  Cell ids are unique.
+    the three back together.  Corners move to their cell before they are spread over columns,
+    of which each fills two.  Cell ids are unique.
     """
     rest = [c for c in cells.columns if c != "cell_id"]
     long = cells.select("*", F.posexplode(F.array(*[f"p{i}" for i in CORNERS]))
@@ -51,7 +52,7 @@ def with_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
     met = gather_many(long, [Gather(points, "_point", {"x": "x", "y": "y"}, id="point_id")])
     at = {f"{a}{i}": F.max(F.when(F.col("_corner") == i, F.col(a)))
           for i in CORNERS for a in ("x", "y")}
-    return met.groupBy("cell_id").agg(
+    return met.drop("_point").repartition("cell_id").groupBy("cell_id").agg(
         *[F.max(c).alias(c) for c in rest], *[v.alias(n) for n, v in at.items()]).select(
         *cells.columns, *at)
 
@@ -85,9 +86,14 @@ def triangle_area(cells: DataFrame, points: DataFrame) -> DataFrame:
 
 def cell_geometry(cells: DataFrame, points: DataFrame) -> DataFrame:
     """Corners, centroid ``x, y`` and ``area`` of every cell, in one pass."""
+    return shape_of(with_corners(cells, points))
+
+
+def shape_of(corners: DataFrame) -> DataFrame:
+    """``cell_geometry`` of cells that have their corners."""
     p = [corner(i) for i in CORNERS]
     c = mean_point(*p)
-    return with_corners(cells, points).select(
+    return corners.select(
         "cell_id", *[f"{a}{i}" for i in CORNERS for a in "xy"],
         c[0].column.alias("x"), c[1].column.alias("y"), area_of(*p).column.alias("area"))
 
@@ -124,10 +130,12 @@ def shared_face(faces: DataFrame, geometry: DataFrame) -> DataFrame:
     tried in turn and the last match wins; without a match all are 0.  The normal
     points out of ``src``; ``alpha`` is where the line between the centroids meets it.
     """
+    # The two values of ``dst`` first: they move on to ``src``, whose eight then stay.
     ends = gather_many(faces, [
+        Gather(geometry, "dst", {"d_x": "x", "d_y": "y"}, id="cell_id"),
         Gather(geometry, "src", {f"s_{c}": c for c in
-                                 ("x0", "y0", "x1", "y1", "x2", "y2", "x", "y")}, id="cell_id"),
-        Gather(geometry, "dst", {"d_x": "x", "d_y": "y"}, id="cell_id")], skew="off")
+                                 ("x0", "y0", "x1", "y1", "x2", "y2", "x", "y")}, id="cell_id")],
+        skew="off")
     p = [corner(i, "s_") for i in CORNERS]
     src, dst = V.of("s_x", "s_y"), V.of("d_x", "d_y")
     # Every value used more than once gets a column of its own: nested expressions would

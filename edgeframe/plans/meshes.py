@@ -174,7 +174,7 @@ def written_job(spark, d) -> str:
     """Folder with the input and the output of the mesh job."""
     path = written_path(spark, "mesh")
     for name, df in zip(("points", "cells", "faces", "bfaces"), order_mesh(spark, d)):
-        df.write.parquet(f"{path}/in/{name}")
+        df.write.parquet(f"{path}/in/{name}", compression="zstd")
     mesh_job(spark, f"{path}/in", f"{path}/out")
     return path
 

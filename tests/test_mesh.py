@@ -115,3 +115,26 @@ def test_shared_face_on_a_crooked_mesh(spark, tables):
         want = naive_shared(tri[r["src"]], tri[r["dst"]])
         assert math.isclose(r["sx"], want[0], abs_tol=1e-12)
         assert math.isclose(r["sy"], want[1], abs_tol=1e-12)
+
+
+def test_the_mesh_job_moves_and_stores_little(spark, tables, tmp_path):
+    """Sides move as two numbers, ``dst`` is gathered before ``src``, corners alone are stored."""
+    points, cells, faces, bfaces = tables
+    fresh = spark.range(12).withColumnRenamed("id", "cell_id").union(
+        spark.createDataFrame([(None,), (3,), (-1,)], "cell_id long"))
+    _, some, edge = grid_mesh(fresh, 2)
+    for side in (some, edge):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "struct(k, 0, to" in plan and "struct(k, 0, a" not in plan
+    assert sorted(tuple(r) for r in edge.where("cell = 0").collect()) == [(0, 0, 0, 1)]
+    assert edge.where("cell IS NULL").count() == 3
+    both = some.select("edge_id", "src").union(edge.select("bface_id", "cell"))
+    assert {r[0] for r in both.where("src = -1").collect()} == {-3, -2, -1}
+    geometry = mesh.cell_geometry(cells, points)
+    ends = mesh.shared_face(faces, geometry)._jdf.queryExecution().analyzed().toString()
+    assert ends.index("AS s_x0") < ends.index("AS d_x")       # printed from the last join on
+    for name, df in zip(("points", "cells", "faces", "bfaces"), tables):
+        df.write.parquet(f"{tmp_path}/in/{name}")
+    mesh_job(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/corners").columns == [
+        "cell_id", "x0", "y0", "x1", "y1", "x2", "y2"]
