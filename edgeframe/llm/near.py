@@ -1,8 +1,10 @@
 """Near copies: documents whose sets of five-word shingles have Jaccard similarity 0.8.
 
-Fingerprints do not bound similarity: at 0.8 they differ in so many bits that no cut of the
-Hamming space divides anything.  Here MinHash bands name the pairs to look at, and every
-pair is decided by its whole shingle sets.  Equal sets are one point.
+Fingerprints within two bits of each other are found by the vantage-point trees of
+``simhash``; a component of them is a bucket of points to look at.  Fingerprints do not bound
+similarity, though: at 0.8 most differ in so many bits that no cut of the Hamming space
+divides anything.  So MinHash bands name further buckets, and every pair of a bucket is decided
+by its whole shingle sets.  Equal sets are one point.
 
 Most points of a crowded bucket are near copies of any one of them.  So every point is
 first compared with one center, the point that comes first in a hash order in the buckets
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from edgeframe.llm.common import free_name, map_rows
-from edgeframe.llm.simhash import components
+from edgeframe.llm.simhash import components, majority, tree_roots
 from edgeframe.session import written
 
 SEED = 42               # of XXH64 and of the MinHash functions
@@ -95,7 +97,8 @@ def similar(sets: list[np.ndarray], least: float, comp: np.ndarray) -> list[tupl
 
 
 def _sketches(docs: DataFrame, text: str, id: str, width: int, sets: bool) -> DataFrame:
-    """id, key of the shingle set, and its bands, or with ``sets`` the set itself."""
+    """id, key of the shingle set, its fingerprint, and its bands, or with ``sets`` the set
+    itself."""
     kept = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("t"))
 
     def make():
@@ -103,11 +106,13 @@ def _sketches(docs: DataFrame, text: str, id: str, width: int, sets: bool) -> Da
             found = [shingles(t, width) for t in texts]
             out = {"id": ids, "key": [xxhash.xxh128_hexdigest(s.tobytes()) for s in found]}
             v = found if sets else [bands(s) for s in found]
+            fps = np.array([majority(s) for s in found] if not sets else [0] * len(found), np.uint64)
+            out["fp"] = fps.view(np.int64)
             return out | {"v": [x.view(np.int64) for x in v]}
         return of
 
     return map_rows(kept, make, f"id {docs.schema[id].dataType.simpleString()}, key string, "
-                                "v array<bigint>")
+                                "fp bigint, v array<bigint>")
 
 
 def _sets_of(table: pa.Table) -> list[np.ndarray]:
@@ -194,8 +199,12 @@ def roots_of(links: DataFrame) -> DataFrame:
 
 def connected(docs: DataFrame, points: DataFrame, *, text: str, id: str, width: int,
               least: float, block: int = BLOCK) -> DataFrame:
-    """Stored (key, root) of the ``points`` (stored: key, least_id, v) that have links."""
-    rows = points.select("key", F.explode("v").alias("bucket"))
+    """Stored (key, root) of the ``points`` (stored: key, least_id, fp, v) that have links."""
+    fps = written(points.select("fp").distinct(), "fingerprints")
+    met = tree_roots(fps).select("node", "root")
+    by_tree = points.join(met, points["fp"] == met["node"], "left").select(
+        "key", F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("bucket"))
+    rows = points.select("key", F.explode("v").alias("bucket")).union(by_tree)
     # A bucket with the points of another bucket adds nothing.
     buckets = (rows.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"),
@@ -238,7 +247,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", id: str = "doc_id", widt
         raise ValueError("the bands find pairs of similarity 0.8 and more")
     found = written(_sketches(docs, text, id, width, False), "sketches")
     points = written(found.groupBy("key").agg(
-        F.min("id").alias("least_id"), F.first("v").alias("v")), "points")
+        F.min("id").alias("least_id"), F.first("fp").alias("fp"), F.first("v").alias("v")), "points")
     roots = connected(docs, points, text=text, id=id, width=width, least=least)
     rooted = written(points.join(roots, "key", "left").select(
         "key", "least_id", F.coalesce("root", "key").alias("root")), "rooted")

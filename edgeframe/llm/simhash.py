@@ -42,7 +42,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     begin = [0, *(ends[:n - 1].tolist())]
     end = (ends[min(width, len(parts)) - 1:] - 1).tolist()
     of = xxhash.xxh64_intdigest
-    hashes = np.fromiter((of(whole[a:b], SEED) for a, b in zip(begin, end)), np.uint64, n)
+    return majority(np.fromiter((of(whole[a:b], SEED) for a, b in zip(begin, end)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` have."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         bits = np.unpackbits(hashes[at:at + 8192].view(np.uint8), bitorder="little")
@@ -283,6 +288,12 @@ def star(edges: DataFrame, moved: Column) -> DataFrame:
     return out.union(own).where(F.col("node") > F.col("to")).distinct()
 
 
+def tree_roots(points: DataFrame, radius: int = 2) -> DataFrame:
+    """Stored (node, root) of the values of ``points.fp`` (stored, different) with a link
+    within ``radius``."""
+    return written(components(shard_links(points, radius)), "roots")
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
                     width: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: id, fp, component_id (the least id that links reach).
@@ -294,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     """
     prints = written(fingerprints(docs, text=text, id=id, width=width), "fingerprints")
     points = written(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "points")
-    roots = written(components(shard_links(points, radius)), "roots")
+    roots = tree_roots(points, radius)
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")

@@ -86,3 +86,31 @@ def test_odd_rows(spark):
     assert got.columns == docs.columns
     assert sorted(r["__gone"] for r in got.collect()) == [1, 3, 5, 6, 7, 8, 9]
     assert near.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_trees_name_pairs_within_two_bits(spark):
+    """The pairs that the vantage-point trees name are decided too, with no band in common."""
+    from pyspark.sql import functions as F
+
+    from edgeframe.llm import simhash
+
+    g = random.Random(5)
+    words = [f"w{g.randrange(900)}" for _ in range(4_000)]
+    texts = {0: " ".join(words)}
+    for k in range(1, 30):
+        w = list(words)
+        w[g.randrange(4_000)] = f"x{k}"
+        texts[k] = " ".join(w)
+    texts[30] = " ".join(g.sample(words, 4_000))
+    fp = {k: simhash.majority(near.shingles(t)) for k, t in texts.items()}
+    close = {(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2}
+    assert close
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    points = near._sketches(docs, "text", "doc_id", 5, False).select(
+        "key", F.col("id").alias("least_id"), "fp", F.array(F.xxhash64("key")).alias("v"))
+    points = near.written(points, "points")
+    ids = {r.key: r.least_id for r in points.collect()}
+    roots = near.connected(docs, points, text="text", id="doc_id", width=5, least=0.8)
+    root = {i: key for key, i in ids.items()} | {ids[r.key]: r.root for r in roots.collect()}
+    assert all(root[a] == root[b] for a, b in close if 30 not in (a, b))
+    assert root[30] not in [root[k] for k in range(30)]
