@@ -18,7 +18,7 @@ import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,30 @@ END = 1
 MEMO_BYTES = 64 << 20   # of words and their ids in one of two generations
 ENTRY = 140             # bytes of an entry besides its characters and ids
 KEY = 40                # characters of the longest word that is remembered
+BLOCK = 4 << 20         # characters of texts that are cut at once
+TOGETHER = 1000         # new runs that go to the library as one text
 # How the vocabulary's file cuts a word into pieces, in either case.
 PIECES = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+# The same classes for bytes of UTF-8.  Those from 128 on are told by their letter, if at all.
+SPACE, LETTER, DIGIT, SYMBOL, OTHER = range(5)
+KINDS = bytes(OTHER if c > 127 else SPACE if c == 32 or 9 <= c <= 13 else
+              LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SYMBOL
+              for c in range(256))
+
+
+@functools.lru_cache(maxsize=1)
+def wide_kinds() -> np.ndarray:
+    """Classes of letters of two and three bytes: ``LETTER`` or ``SYMBOL`` where the letter is
+    not changed by normalisation, whatever stands beside it, and else ``OTHER``."""
+    composed = (unicodedata.decomposition(chr(c)).split() for c in range(1 << 16))
+    joins = {int(d[1], 16) for d in composed if len(d) == 2 and d[0][0] != "<"}
+    kinds = np.full(1 << 16, OTHER, np.uint8)
+    for c in range(128, 1 << 16):
+        kind = {"L": LETTER, "P": SYMBOL, "S": SYMBOL}.get(unicodedata.category(chr(c))[0])
+        if (kind and c not in joins and unicodedata.is_normalized("NFC", chr(c))
+                and c != 0x130 and not 0x1100 <= c < 0x1200):       # as in ``plain``; Hangul
+            kinds[c] = kind
+    return kinds
 
 
 def blank_separated(text: str) -> list[str]:
@@ -56,8 +78,10 @@ class Texts:
 
     Pieces of this vocabulary never hold white space, and words fall into runs of letters,
     digits and marks that are encoded each for itself, so only runs that are new go
-    to the library.  Words that its normalisation would change across runs, and words with
-    a special string, go there whole.  Ids are remembered in two generations of bounded size.
+    to the library.  Words of most letters are cut as arrays of bytes; a word with any
+    other, as a combining one, is looked up whole and cut only when it is new.  Words that
+    normalisation would change across runs, and words with a special string, go to the
+    library whole.  Ids are remembered in two generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -68,6 +92,11 @@ class Texts:
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = np.dtype(self.type).char
         self.pieces = regex.compile(PIECES).findall
+        suffix = self.library.model.end_of_word_suffix
+        vocabulary = self.library.get_vocab()
+        self.ends_run = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_run[[i for token, i in vocabulary.items()
+                       if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.size = 0
@@ -79,38 +108,151 @@ class Texts:
         return [p for w in blank_separated(text)
                 for p in (self.pieces(w) if plain(w) else (w,))]
 
-    def remember(self, run: str, ids: bytes) -> None:
-        if len(run) <= KEY:
-            self.size += ENTRY + len(run) + len(ids)
-            if self.size > MEMO_BYTES:
-                self.older, self.known, self.size = self.known, {}, 0
-            self.known[run] = ids
-
-    def learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Ids of every one of ``runs``."""
-        found: dict[str, bytes] = {}
-        todo, known = [], self.known.get
-        for p in runs:
-            if (ids := known(p)) is not None:
-                found[p] = ids
+    def remember(self, words: Iterable[str], ids: Iterable[bytes]) -> None:
+        for word, data in zip(words, ids):
+            if len(word) <= KEY:
+                self.size += ENTRY + len(word) + len(data)
+                if self.size > MEMO_BYTES:
+                    self.older, self.known, self.size = self.known, {}, 0
+                self.known[word] = data
+
+    def singly(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text from the library."""
+        return [array(self.code, e.ids).tobytes()
+                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, runs: list[str]) -> list[bytes]:
+        """Ids of each of some runs from the library, which takes many of them as one text:
+        the last id of a run, and no other, stands for a token that ends a run."""
+        out: list[bytes] = []
+        groups = [runs[at:at + TOGETHER] for at in range(0, len(runs), TOGETHER)]
+        joined = self.library.encode_batch_fast([" ".join(g) for g in groups],
+                                                add_special_tokens=False)
+        for group, e in zip(groups, joined):
+            ids = np.array(e.ids, self.type)
+            ends = np.flatnonzero(self.ends_run[ids]) + 1
+            if len(ends) != len(group):     # a vocabulary that does not mark the ends
+                out += self.singly(group)
+                continue
+            data, to = ids.tobytes(), (ends * ids.itemsize).tolist()
+            out += [data[i:j] for i, j in zip([0, *to], to)]
+        return out
+
+    def fresh(self, words: list[str], run: list[bool]) -> list[bytes]:
+        """Ids of words that are not remembered; ``run`` tells those that are one run."""
+        runs, whole, cut = [], [], {}
+        for w, one in zip(words, run):
+            if one:
+                runs.append(w)
+            elif (parts := self.cut(w)) == [w]:
+                whole.append(w)
             else:
-                todo.append(p)
+                cut[w] = parts
+        found = dict(zip(runs, self.together(runs)))
+        found |= zip(whole, self.singly(whole))
+        if cut:
+            get = self.ids_of(cut.values()).__getitem__
+            found |= {w: b"".join(map(get, ps)) for w, ps in cut.items()}
+        return [found[w] for w in words]
+
+    def learn(self, words: list[str], run: list[bool]) -> list[bytes]:
+        """Ids of each of different words; ``run`` tells those that are one run."""
+        out = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
         if self.older:
-            old, todo = [p for p in todo if p in self.older], [
-                p for p in todo if p not in self.older]
-            for p in old:
-                found[p] = self.older[p]
-            for p in old:
-                self.remember(p, found[p])
-        for p, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False)):
-            found[p] = array(self.code, e.ids).tobytes()
-            self.remember(p, found[p])
-        return found
+            old = [k for k in new if words[k] in self.older]
+            for k in old:
+                out[k] = self.older[words[k]]
+            self.remember([words[k] for k in old], [out[k] for k in old])
+            new = [k for k in new if out[k] is None]
+        unknown = [words[k] for k in new]
+        found = self.fresh(unknown, [run[k] for k in new])
+        for k, ids in zip(new, found):
+            out[k] = ids
+        self.remember(unknown, found)
+        return out
+
+    def ids_of(self, cut: Iterable[list[str]]) -> dict[str, bytes]:
+        """Ids of every part of texts that were cut."""
+        parts = list({p for ps in cut for p in ps})
+        return dict(zip(parts, self.learn(parts, [p.isascii() and "<|" not in p for p in parts])))
 
     def encode(self, texts: list) -> list[bytes]:
-        cut = [self.cut(t) if t else [] for t in texts]
-        get = self.learn({p for ps in cut for p in ps}).__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        out = [b""] * len(texts)
+        special = {k: self.cut(t) for k, t in enumerate(texts) if t and "<|" in t}
+        if special:
+            get = self.ids_of(special.values()).__getitem__
+            for k, ps in special.items():
+                out[k] = b"".join(map(get, ps))
+        block, size = [], 0
+        for k, text in enumerate(texts):
+            if text and k not in special:
+                block.append(k)
+                size += len(text)
+            if block and (size >= BLOCK or k == len(texts) - 1):
+                for j, ids in zip(block, self.block([texts[j].encode() for j in block])):
+                    out[j] = ids
+                block, size = [], 0
+        return out
+
+    def block(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts without special strings, cut at once."""
+        at, runs, one = runs_of(b"\n".join(texts))
+        words = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of_word = np.empty(len(words), bool)
+        of_word[runs.indices.to_numpy()] = one
+        ids = pa.array(self.learn(words, of_word.tolist()), pa.large_binary())
+        _, places, data = ids.take(runs.indices).buffers()
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        to = np.frombuffer(places, np.int64)[np.searchsorted(at, starts)].tolist()
+        return [data[i:j].to_pybytes() if i < j else b"" for i, j in zip(to, to[1:])]
+
+
+def runs_of(data: bytes) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """Where the runs of a UTF-8 text start, the runs, and which of them surely are runs.
+
+    Words of letters of a certain class are cut, and their ASCII letters lowered as the
+    vocabulary does; a word with any other letter is left as it is, in one.
+    """
+    data += b"\n\n"     # two bytes follow every mark
+    low = np.frombuffer(data.lower(), np.uint8)
+    kind = np.frombuffer(data.translate(KINDS), np.uint8)
+    word = kind != SPACE
+    if not data.isascii():
+        kind = kind.copy()
+        for first, n in ((0xC0, 2), (0xE0, 3)):
+            lead = np.flatnonzero((low & (0xF0 if n == 3 else 0xE0)) == first)
+            code = low[lead].astype(np.int32) & 0x0F if n == 3 else low[lead] & np.int32(0x1F)
+            for k in range(1, n):
+                code = code << 6 | low[lead + k] & 0x3F
+            for k in range(n):
+                kind[lead + k] = wide_kinds()[code]
+    if (kind == OTHER).any():
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        number = np.cumsum(begins)
+        odd = np.zeros(number[-1] + 1, bool)
+        odd[number[kind == OTHER]] = True
+        odd = odd[number] & word
+        kind = np.where(odd, OTHER, kind)
+        low = np.where(odd, np.frombuffer(data, np.uint8), low)
+    starts = word.copy()
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    # An apostrophe that starts a run takes the letters of a contraction; what follows them
+    # starts another run.
+    marks = np.flatnonzero(low == ord("'"))
+    marks = marks[starts[marks] & (kind[marks] == SYMBOL)]
+    one, two = low[marks + 1], low[marks + 2]
+    length = np.where(np.isin(one, list(b"stmd")), 2, 0)
+    for a, b in (b"re", b"ve", b"ll"):
+        length[(one == a) & (two == b)] = 3
+    marks, length = marks[length > 0], length[length > 0]
+    starts[marks + 1] = False
+    starts[marks + length] |= kind[marks + length] == LETTER
+    at, body = np.flatnonzero(starts), low[word]
+    bounds = np.append(np.flatnonzero(starts[word]), len(body))
+    runs = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(body))
+    return at, runs.dictionary_encode(), kind[at] != OTHER
 
 
 def plain(text: str) -> bool:

@@ -261,6 +261,45 @@ def test_runs_of_words_give_what_the_library_gives():
         assert np.frombuffer(texts.encode([text])[0], texts.type).tolist() == want, ascii(text)
 
 
+class Counted:
+    """A library that counts the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_new_runs_go_to_the_library_together_and_words_are_cut_as_bytes(monkeypatch):
+    texts = token_files.texts_of.__wrapped__(queries.tokenizer("word_bpe_49k.json"))
+    g = random.Random(9)
+    words = ["".join(g.choices("abcdeGHI", k=9)) + g.choice(["", ".", "'s", "'LL,", "7"])
+             for _ in range(6000)]
+    whole = [" ".join(words[k:k + 60]) for k in range(0, 6000, 60)]
+    want = [texts.library.encode(t, add_special_tokens=False).ids for t in whole]
+    texts.library = Counted(texts.library)
+    monkeypatch.setattr(texts, "pieces", None)      # no word of ASCII letters is cut in Python
+    got = [np.frombuffer(b, texts.type).tolist() for b in texts.encode(whole)]
+    assert got == want
+    assert texts.library.texts < 20                 # one a run before
+    upper = [np.frombuffer(b, texts.type).tolist() for b in texts.encode([whole[0].upper()])]
+    assert upper == want[:1] and texts.library.texts < 20
+
+
+def test_runs_without_a_mark_of_their_end_go_to_the_library_singly(monkeypatch):
+    texts = token_files.texts_of.__wrapped__(queries.tokenizer("word_bpe_49k.json"))
+    whole = ["some words, and 'tis 12 of them", "words's \u00e9t\u00e9, J\u030c j\u030c"]
+    want = [texts.library.encode(t, add_special_tokens=False).ids for t in whole]
+    for block in (token_files.BLOCK, 1):
+        monkeypatch.setattr(token_files, "BLOCK", block)
+        for ends in (texts.ends_run, np.zeros_like(texts.ends_run)):
+            texts.known, texts.older, texts.ends_run = {}, {}, ends
+            got = [np.frombuffer(b, texts.type).tolist() for b in texts.encode(whole)]
+            assert got == want
+
+
 def test_rows_that_were_multiplied_are_told_apart(docs):
     from pyspark.sql import functions as F
     twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
