@@ -257,9 +257,11 @@ def runs_of(data: bytes) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
 
 def plain(text: str) -> bool:
     """Can ``text`` be cut before it is normalised?  Not with a letter that becomes two when
-    lowered, characters to be composed, or what may be a special string."""
+    lowered, characters to be composed, or what may be a special string; nor with characters
+    that Python does not know, whose class may be another one in the library."""
     return text.isascii() and "<|" not in text or (
-        "\u0130" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text))
+        "\u0130" not in text and "<|" not in text and text.isprintable()
+        and unicodedata.is_normalized("NFC", text))
 
 
 @functools.lru_cache(maxsize=2)

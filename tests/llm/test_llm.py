@@ -300,6 +300,15 @@ def test_runs_without_a_mark_of_their_end_go_to_the_library_singly(monkeypatch):
             assert got == want
 
 
+def test_every_letter_gives_what_the_library_gives():
+    texts = token_files.texts_of.__wrapped__(queries.tokenizer("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(128, 1 << 16) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 32):
+        text = "".join(f"q{c}Q '{c}s {c}'s.{c}1{c} " for c in letters[at:at + 32])
+        want = texts.library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(texts.encode([text])[0], texts.type).tolist() == want, at
+
+
 def test_rows_that_were_multiplied_are_told_apart(docs):
     from pyspark.sql import functions as F
     twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
